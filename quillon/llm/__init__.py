@@ -5,6 +5,8 @@ from __future__ import annotations
 from importlib import import_module
 
 QUERIES = {
+    "op4_ngram_jaccard": "op04_jaccard",
+    "op5_line_dedup": "op05_lines",
     "op6_quality_rules": "op06_quality",
     "op7_token_counts": "op07_tokens",
     "op8_best_fit_packing": "op08_packing",
