@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 QUERIES = {
+    "op3_suffix_dedup": "op03_suffix",
     "op4_ngram_jaccard": "op04_jaccard",
     "op5_line_dedup": "op05_lines",
     "op6_quality_rules": "op06_quality",
