@@ -5,6 +5,8 @@ from __future__ import annotations
 from importlib import import_module
 
 QUERIES = {
+    "op1_decontamination": "op01_decontamination",
+    "op2_license_scan": "op02_licenses",
     "op3_suffix_dedup": "op03_suffix",
     "op4_ngram_jaccard": "op04_jaccard",
     "op5_line_dedup": "op05_lines",
