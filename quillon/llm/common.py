@@ -47,7 +47,7 @@ def released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def slices(batches, column: str = "text", limit: int = 4 << 20):
+def slices(batches, column: str = "text", limit: int = 2 << 20):
     """Cut record batches so each holds about `limit` bytes of `column` (one row at least)."""
     for rb in batches:
         n = rb.num_rows

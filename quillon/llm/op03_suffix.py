@@ -11,15 +11,15 @@ document, earlier) is removed, judged on the input; matches never cross document
    contexts are collapsed (in the batch, then in the bucket) to the first; all windows of the
    others are known to start earlier elsewhere.
 3. Transforms. A bucket's differing contexts of repeated anchors form texts, dealt to shards. Each
-   shard gets its Burrows-Wheeler transform over 4-byte symbols. The shards' transforms are merged by
+   shard gets its Burrows-Wheeler transform over 10-byte symbols. The shards' transforms are merged by
    iterative interleave refinement: start with the shards one after another; scan the interleave,
    take from each shard its next symbol, and place the entry in that symbol's class. After k
-   rounds the interleave is that of all suffixes by their first 4 k bytes. The merge never
-   compares or re-sorts suffixes. Class boundaries are carried along, so after 25 rounds each
+   rounds the interleave is that of all suffixes by their first 10 k bytes. The merge never
+   compares or re-sorts suffixes. Class boundaries are carried along, so after 10 rounds each
    class is an interval of suffixes with a common prefix of 100 bytes.
 4. In each repeated interval all window starts but the first in corpus order are removed.
 
-Work is by bucket and in pieces of about 1 MB of contexts; nothing is gathered by document group.
+Work is by bucket and in pieces of about 128 KB of contexts; nothing is gathered by document group.
 Null text is empty. Rows that share a doc_id are told apart by their text; a row repeated in full
 is the same document and is treated alike. Null doc_ids come first. An empty table gives none.
 Other columns are ignored.
@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 from . import common
 from .op05_lines import LEAST, identified
 
-SPAN, GRAM, STEP = 100, 24, 4
+SPAN, GRAM, STEP = 100, 24, 10
 SHARDS = 4
-PIECE = 1 << 20
+PIECE = 1 << 17
 _U = np.uint64
 
 
@@ -190,12 +190,37 @@ def contexts(src: DataFrame, marks: DataFrame, buckets: int) -> DataFrame:
     return j.mapInArrow(run, CONTEXT)
 
 
+def _stable(code: np.ndarray) -> np.ndarray:
+    """Stable order of symbols: numpy's radix sort is for 16 bits, so wider ones take two passes."""
+    if code.dtype == np.uint16:
+        return np.argsort(code, kind="stable")
+    low = np.argsort((code & np.uint32(0xFFFF)).astype(np.uint16), kind="stable")
+    return low[np.argsort((code >> np.uint32(16)).astype(np.uint16)[low], kind="stable")]
+
+
+def _symbols(body: np.ndarray, step: int, ahead) -> np.ndarray:
+    """A number for each distinct cyclic `step`-byte gram; `ahead(k)` gives the places k further."""
+    gram, width, out, done = body.astype(np.uint64), 1, None, 0
+    powers = {1: gram}
+    while 2 * width <= min(step, 8):
+        gram = (gram << _U(8 * width)) | gram[ahead(width)]
+        width *= 2
+        powers[width] = gram
+    while done < step:
+        width = max(w for w in powers if w <= step - done)
+        part = powers[width][ahead(done)] if done else powers[width]
+        part = np.unique(part, return_inverse=True)[1].astype(np.uint64)
+        out = part if out is None else np.unique((out << _U(32)) | part, return_inverse=True)[1].astype(np.uint64)
+        done += width
+    return out
+
+
 def _transform(code: np.ndarray, back: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order of a shard by its first `rounds` symbols, and the symbols before each."""
     order = np.arange(len(code), dtype=np.int32)
     for _ in range(rounds):
         p = back[order]
-        order = p[np.argsort(code[p], kind="stable")]
+        order = p[_stable(code[p])]
     return order, code[back[order]]
 
 
@@ -206,10 +231,7 @@ def repeated_intervals(body: np.ndarray, starts: np.ndarray, shard: np.ndarray,
     lens = ends - starts
     own = np.repeat(np.arange(len(starts)), lens)
     at = np.arange(n) - starts[own]
-    gram = np.zeros(n, np.uint32)
-    for k in range(step):
-        gram = (gram << np.uint32(8)) | body[starts[own] + (at + k) % lens[own]]
-    _, code = np.unique(gram, return_inverse=True)
+    code = _symbols(body, step, lambda k: starts[own] + (at + k) % lens[own])
     wide = int(code.max()) >= 1 << 16
     code = code.astype(np.uint32 if wide else np.uint16)
     back = (starts[own] + (at - step) % lens[own]).astype(np.int32)
@@ -229,7 +251,7 @@ def repeated_intervals(body: np.ndarray, starts: np.ndarray, shard: np.ndarray,
         sym = np.empty(n, code.dtype)
         for s, bwt in enumerate(bwts):
             sym[weave == s] = bwt
-        place = np.argsort(sym, kind="stable")
+        place = _stable(sym)
         weave, sym, group = weave[place], sym[place], group[place]
         new = np.empty(n, np.int32)
         new[0] = 0
@@ -297,7 +319,7 @@ def _later(h, ids, tags, pos, wins, lens, body):
 
 
 def later_spans(ctx: DataFrame, buckets: int) -> DataFrame:
-    """(_id, _tag, spans binary): byte spans to remove, as pairs of int64, per text and bucket."""
+    """(_id, _tag, spans binary): byte spans to remove, as pairs of int64, per text."""
 
     def run(batches):
         rows: dict[int, list] = {}
@@ -323,11 +345,25 @@ def later_spans(ctx: DataFrame, buckets: int) -> DataFrame:
             head = np.flatnonzero(new)
             end = top[np.append(head[1:], len(i)) - 1]
             hi, ht, hx = i[head], t[head], x[head]
-            cut = np.concatenate(([0], np.flatnonzero((hi[1:] != hi[:-1]) | (ht[1:] != ht[:-1])) + 1, [len(hi)]))
-            pair = np.stack([hx, end], 1)
-            yield pa.RecordBatch.from_arrays([pa.array(hi[cut[:-1]]), pa.array(ht[cut[:-1]]), pa.array([pair[a:c].tobytes() for a, c in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["_id", "_tag", "spans"])
+            with np.errstate(over="ignore"):
+                part = (common.mix(hi.view(np.uint64)) % _U(buckets)).astype(np.int64)
+            yield _rows(part, [hi, ht, hx, end], ["ids", "tags", "x", "y"])
 
-    return ctx.repartition(buckets, "b").mapInArrow(run, "_id long, _tag long, spans binary")
+    def gather(batches):
+        got = {c: [] for c in ("ids", "tags", "x", "y")}
+        for rb in batches:
+            for c in got:
+                got[c] += rb.column(c).to_pylist()
+        i, t, x, y = (np.frombuffer(b"".join(v), np.int64) for v in got.values())
+        if not len(i):
+            return
+        o = np.lexsort((x, t, i))
+        i, t, pair = i[o], t[o], np.stack([x[o], y[o]], 1)
+        cut = np.concatenate(([0], np.flatnonzero((i[1:] != i[:-1]) | (t[1:] != t[:-1])) + 1, [len(i)]))
+        yield pa.RecordBatch.from_arrays([pa.array(i[cut[:-1]]), pa.array(t[cut[:-1]]), pa.array([pair[a:c].tobytes() for a, c in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["_id", "_tag", "spans"])
+
+    packed = ctx.repartition(buckets, "b").mapInArrow(run, "b int, ids binary, tags binary, x binary, y binary")
+    return packed.repartition(buckets, "b").mapInArrow(gather, "_id long, _tag long, spans binary")
 
 
 OUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -339,9 +375,10 @@ def deduplicated(docs: DataFrame, with_text: bool = False) -> DataFrame:
     buckets = common.partitions(spark)
     src = identified(docs)
     marks = common.written(repeated_anchors(src, buckets))
+    common.released(spark)
     spans = common.written(later_spans(contexts(src, marks, buckets), buckets))
     common.released(spark)
-    per = spans.groupBy("_id", "_tag").agg(F.collect_list("spans").alias("_s")).withColumnsRenamed({"_id": "_i", "_tag": "_t"})
+    per = spans.withColumnsRenamed({"_id": "_i", "_tag": "_t", "spans": "_s"})  # a row per text
     j = src.join(per, (src["_id"] == per["_i"]) & (src["_tag"] == per["_t"]), "left").select("_id", "text", "_s")
 
     def run(batches):
@@ -352,7 +389,7 @@ def deduplicated(docs: DataFrame, with_text: bool = False) -> DataFrame:
                 if not s:
                     out.append((d, len(t), 0, 0, hashlib.sha256(t).hexdigest(), t))
                     continue
-                p = np.frombuffer(b"".join(s), np.int64).reshape(-1, 2)
+                p = np.frombuffer(s, np.int64).reshape(-1, 2)
                 d0 = np.zeros(len(t) + 1, np.int64)
                 np.add.at(d0, p[:, 0], 1)
                 np.add.at(d0, p[:, 1], -1)
