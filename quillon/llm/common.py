@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -41,10 +43,10 @@ def written(df: DataFrame) -> DataFrame:
 
 def released(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that are no longer referenced."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def slices(batches, column: str = "text", limit: int = 2 << 20):

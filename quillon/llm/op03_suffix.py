@@ -31,6 +31,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,7 +90,7 @@ def _rows(b: np.ndarray, vals: list[np.ndarray], names: list[str]) -> pa.RecordB
 
 
 def repeated_anchors(src: DataFrame, buckets: int) -> DataFrame:
-    """(_id, _tag, at array<int>): ordinals of each text's anchors that occur elsewhere too."""
+    """(_id, _tag, at binary): uint32 ordinals of each text's anchors that occur elsewhere too."""
 
     def spread(batches):
         for rb in common.slices(batches):
@@ -128,15 +129,28 @@ def repeated_anchors(src: DataFrame, buckets: int) -> DataFrame:
         hit[o] = np.repeat(np.diff(g) > 1, np.diff(g))
         hit |= (at >> np.uint32(31)) == 1
         ids, tags, at = ids[hit], tags[hit], at[hit] & np.uint32(0x7FFFFFFF)
-        o = np.lexsort((at, tags, ids))
-        ids, tags, at = ids[o], tags[o], at[o]
         if not len(ids):
             return
+        with np.errstate(over="ignore"):
+            part = (common.mix(ids.view(np.uint64)) % _U(buckets)).astype(np.int64)
+        yield _rows(part, [ids, tags, at], ["ids", "tags", "at"])
+
+    def collect(batches):
+        got = {c: [] for c in ("ids", "tags", "at")}
+        for rb in batches:
+            for c in got:
+                got[c] += rb.column(c).to_pylist()
+        ids, tags, at = (np.frombuffer(b"".join(got[c]), k) for c, k in zip(got, (np.int64, np.int64, np.uint32), strict=True))
+        if not len(ids):
+            return
+        o = np.lexsort((at, tags, ids))
+        ids, tags, at = ids[o], tags[o], at[o]
         cut = np.concatenate(([0], np.flatnonzero((ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])) + 1, [len(ids)]))
         yield pa.RecordBatch.from_arrays([pa.array(ids[cut[:-1]]), pa.array(tags[cut[:-1]]), pa.array([at[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["_id", "_tag", "at"])
 
     packed = src.mapInArrow(spread, "b int, h binary, ids binary, tags binary, at binary")
-    return packed.repartition(buckets, "b").mapInArrow(gather, "_id long, _tag long, at binary")
+    found = packed.repartition(buckets, "b").mapInArrow(gather, "b int, ids binary, tags binary, at binary")
+    return found.repartition(buckets, "b").mapInArrow(collect, "_id long, _tag long, at binary")
 
 
 CONTEXT = "b int, h binary, ids binary, tags binary, pos binary, wins binary, lens binary, body binary"
@@ -144,11 +158,10 @@ CONTEXT = "b int, h binary, ids binary, tags binary, pos binary, wins binary, le
 
 def contexts(src: DataFrame, marks: DataFrame, buckets: int) -> DataFrame:
     """Contexts of repeated anchors by bucket; wins 0: a whole context known to be later."""
-    per = marks.groupBy("_id", "_tag").agg(F.collect_list("at").alias("_at"))
-
-    j = src.join(per, ["_id", "_tag"])
+    j = src.join(marks.withColumnRenamed("at", "_at"), ["_id", "_tag"])  # a row per text
 
     def run(batches):
+        z = zstandard.ZstdCompressor(level=3)
         for rb in common.slices(batches):
             data, offs = common.flat(rb.column("text"))
             own, h, lo, hi = anchors(data, offs)
@@ -157,8 +170,8 @@ def contexts(src: DataFrame, marks: DataFrame, buckets: int) -> DataFrame:
             base = np.searchsorted(own, np.arange(rb.num_rows))
             count = np.searchsorted(own, np.arange(rb.num_rows), "right") - base
             pick = []
-            for d, lists in enumerate(rb.column("_at").to_pylist()):
-                o = np.unique(np.frombuffer(b"".join(lists), np.uint32)).astype(np.int64)
+            for d, at in enumerate(rb.column("_at").to_pylist()):
+                o = np.frombuffer(at, np.uint32).astype(np.int64)
                 pick.append(base[d] + o[o < count[d]])
             pick = np.concatenate(pick)
             own, h, lo, hi = own[pick], h[pick], lo[pick], hi[pick]
@@ -184,7 +197,7 @@ def contexts(src: DataFrame, marks: DataFrame, buckets: int) -> DataFrame:
             vals = [np.where(later, _U(0), h)[r], ids[r], tags[r], (lo - offs[own])[r].astype(np.int64), wins[r], lens[r]]
             cols = [pa.array([v[x:y].tobytes() for x, y in zip(g[:-1], g[1:], strict=True)], pa.binary()) for v in vals]
             rl = r.tolist()
-            body = pa.array([b"".join(bodies[i] for i in rl[x:y]) for x, y in zip(g[:-1], g[1:], strict=True)], pa.binary())
+            body = pa.array([z.compress(b"".join(bodies[i] for i in rl[x:y])) for x, y in zip(g[:-1], g[1:], strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(b[r][g[:-1]], pa.int32()), *cols, body], names=[x.split()[0] for x in CONTEXT.split(", ")])
 
     return j.mapInArrow(run, CONTEXT)
@@ -322,11 +335,12 @@ def later_spans(ctx: DataFrame, buckets: int) -> DataFrame:
     """(_id, _tag, spans binary): byte spans to remove, as pairs of int64, per text."""
 
     def run(batches):
+        z = zstandard.ZstdDecompressor()
         rows: dict[int, list] = {}
         names = [x.split()[0] for x in CONTEXT.split(", ")][1:]
         for rb in batches:
             for b, *v in zip(*(rb.column(c).to_pylist() for c in ["b", *names]), strict=True):
-                rows.setdefault(b, []).append(v)
+                rows.setdefault(b, []).append([*v[:-1], z.decompress(v[-1])])
         for b in sorted(rows):
             raw = [b"".join(x) for x in zip(*rows.pop(b), strict=True)]
             kinds = (np.uint64, np.int64, np.int64, np.int64, np.uint16, np.uint32)
