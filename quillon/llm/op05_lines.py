@@ -83,7 +83,7 @@ def repeated(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     kinds = [np.uint64, np.uint64, np.int64, np.int64, np.int32, np.int32]
 
     def spread(batches):
-        for rb in common.slices(batches, limit=16 << 20):
+        for rb in common.slices(batches, limit=4 << 20):
             data, offs = common.flat(rb.column("text"))
             h, words, bounds = lines_of(data, offs)
             at, n, win, low = windows_of(h, words, bounds, least)
