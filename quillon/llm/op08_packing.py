@@ -12,6 +12,7 @@ empty table gives no rows. Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -22,7 +23,10 @@ from pyspark.sql import functions as F
 from . import common
 
 SIZE = 2048
-WORDS = 400_000
+TABLE_BITS = 21
+_PUNCTUATION, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_PUNCTUATION[list(b".,;:!?|%&*#$")] = True
+_LETTER[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -34,57 +38,131 @@ def vocabulary() -> str:
 
 class WordEncoder:
     """Ids of whole texts. The tokenizer drops white space and no token crosses it, so a text's
-    ids are its words' ids in a row; words are encoded once per cache generation of `WORDS`."""
+    ids are its words' ids in a row. It also lower-cases and parts letters from punctuation, so a
+    word is a unit up to its last letter and, if punctuation follows, a unit of that. Units are
+    found in a table by 64-bit hash; the tokenizer runs once for each unit of a table generation."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
-
-    def learn(self, words: list[bytes]) -> None:
-        """One call for many words: tokens go back to words by their place in the joined text."""
-        parts = [w.decode("utf-8", "replace") for w in words]
-        got = self.tok.encode(" ".join(parts), add_special_tokens=False)
-        ids = np.array(got.ids, "<u4")
-        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
-        at = np.fromiter((a for a, _ in got.offsets), np.int64, len(ids))
-        cuts = np.searchsorted(at, ends) * 4
-        raw, a = ids.tobytes(), 0
-        for w, b in zip(words, cuts.tolist(), strict=True):
-            self.cache[w] = raw[a:b]
-            a = b
-
-    def encode(self, texts: list[bytes]):
-        """For each text its ids as little-endian uint32 bytes."""
-        for t in texts:
-            words = t.split()
-            new = list({w for w in words if w not in self.cache})
-            if len(self.cache) + len(new) > WORDS:
-                self.cache.clear()
-                new = list(set(words))
-            for i in range(0, len(new), 4096):
-                self.learn(new[i : i + 4096])
-            yield b"".join(map(self.cache.__getitem__, words))
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(1 << TABLE_BITS, np.uint64)
+        self.first = np.zeros(1 << TABLE_BITS, np.int64)
+        self.count = np.zeros(1 << TABLE_BITS, np.int32)
+        self.pool, self.held, self.units = np.zeros(1 << 20, np.uint32), 0, 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Slots of hashes, -1 if absent."""
+        mask = np.uint64(len(self.keys) - 1)
+        slot = (h & mask).astype(np.int64)
+        open_ = np.flatnonzero(self.keys[slot] != h)
+        while len(open_):
+            absent = self.keys[slot[open_]] == 0
+            slot[open_[absent]] = -1
+            open_ = open_[~absent]
+            slot[open_] = (slot[open_] + 1) & int(mask)
+            open_ = open_[self.keys[slot[open_]] != h[open_]]
+        return slot
+
+    def insert(self, h: np.ndarray, first: np.ndarray, count: np.ndarray) -> None:
+        """Distinct hashes that are absent."""
+        mask = len(self.keys) - 1
+        slot, left = (h & np.uint64(mask)).astype(np.int64), np.arange(len(h))
+        while len(left):
+            free = left[self.keys[slot[left]] == 0]
+            self.keys[slot[free]] = h[free]
+            won = free[self.keys[slot[free]] == h[free]]
+            self.first[slot[won]], self.count[slot[won]] = first[won], count[won]
+            left = np.setdiff1d(left, won, assume_unique=True)
+            slot[left] = (slot[left] + 1) & mask
+        self.units += len(h)
+
+    def learn(self, h: np.ndarray, units: list[str]) -> None:
+        """One call for many units: tokens go back to units by their place in the joined text."""
+        for i in range(0, len(units), 4096):
+            some = units[i : i + 4096]
+            got = self.tok.encode(" ".join(some), add_special_tokens=False)
+            ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)
+            at = np.fromiter((a for a, _ in got.offsets), np.int64, len(got.ids))
+            cuts = np.searchsorted(at, ends)
+            n = len(got.ids)
+            while self.held + n > len(self.pool):
+                self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+            self.pool[self.held : self.held + n] = got.ids
+            counts = np.diff(cuts, prepend=0)
+            self.insert(h[i : i + 4096], self.held + cuts - counts, counts)
+            self.held += n
+
+    def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a column in a row, and n + 1 bounds."""
+        data, offs = common.flat(col)
+        starts, ends, first = common.word_spans(data, offs)
+        stem = ends.copy()
+        live = np.arange(len(stem))
+        for _ in range(8):
+            live = live[(stem[live] > starts[live]) & _PUNCTUATION[data[stem[live] - 1]]]
+            stem[live] -= 1
+        tail = data[stem - 1] if len(stem) else data[:0]
+        letter = _LETTER[tail] | ((tail >= 0x80) & (tail != 0x97) & (tail != 0xB7) & (stem - starts >= 2) & (data[stem - 2] == 0xC3))
+        stem = np.where((stem > starts) & letter, stem, ends)
+        more = stem < ends
+        pos = np.arange(len(stem)) + np.cumsum(more) - more
+        a, b = (np.empty(len(stem) + int(more.sum()), np.int64) for _ in range(2))
+        a[pos], b[pos] = starts, stem
+        a[pos[more] + 1], b[pos[more] + 1] = stem[more], ends[more]
+        raw = data.tobytes()
+        # a special token's string is found before lower-casing, so it must keep its case
+        low = data if b"<|" in raw else common.lower(data)
+        with np.errstate(over="ignore"):
+            h = common.mix(common.span_hash(common.prefix_hash(low), a, b) + (b - a).astype(np.uint64)) | np.uint64(1)
+        slot = self.find(h)
+        new, where = np.unique(h[slot < 0], return_index=True)
+        if self.units + len(new) > len(self.keys) // 2:
+            self.clear()
+            new, where = np.unique(h, return_index=True)
+            while 2 * len(new) > len(self.keys):
+                self.keys, self.first, self.count = (np.concatenate((x, x)) for x in (self.keys, self.first, self.count))
+        else:
+            where = np.flatnonzero(slot < 0)[where]
+        if len(new):
+            raw = low.tobytes()
+            self.learn(new, [raw[x:y].decode("utf-8", "replace") for x, y in zip(a[where].tolist(), b[where].tolist(), strict=True)])
+            slot = self.find(h)
+        count = self.count[slot].astype(np.int64)
+        total = np.concatenate(([0], np.cumsum(count)))
+        ids = self.pool[np.repeat(self.first[slot] - total[:-1], count) + np.arange(total[-1])]
+        return ids, total[np.append(pos, len(a))[first]]
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """One for each Python worker, which keeps the words of its earlier tasks."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 def pieces(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
     """One row per piece of each document: (doc_id, piece, start, length, ids_crc32)."""
 
     def run(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        enc = None
+        enc = encoder(path)
         for rb in common.slices(batches):
-            enc = enc or WordEncoder(path)
             out: list[tuple] = []
-            texts = [x or b"" for x in rb.column("text").cast(pa.binary()).to_pylist()]
-            for doc, ids in zip(rb.column("doc_id").to_pylist(), enc.encode(texts), strict=True):
-                ids = memoryview(ids + b"\0\0\0\0")
-                for k, at in enumerate(range(0, len(ids), 4 * size)):
-                    part = ids[at : at + 4 * size]
-                    out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            ids, at = enc.encode(rb.column("text"))
+            raw = ids.astype("<u4").tobytes()
+            at = (4 * at).tolist()
+            for doc, x, y in zip(rb.column("doc_id").to_pylist(), at[:-1], at[1:], strict=True):
+                own = raw[x:y] + b"\0\0\0\0"
+                for k, p in enumerate(range(0, len(own), 4 * size)):
+                    part = own[p : p + 4 * size]
+                    out.append((doc, k, p // 4, len(part) // 4, zlib.crc32(part)))
             cols = list(zip(*out, strict=True))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
