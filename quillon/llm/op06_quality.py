@@ -83,14 +83,12 @@ def thresholds(thin: DataFrame, fence: float = FENCE, group_min: int = GROUP_MIN
     good = thin.where(~F.col("base_failed"))
     by_source = common.written(good.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(m, KLL).alias(m) for m in METRICS)))
     merged = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(m, KLL).alias(m) for m in METRICS)]
-    by_lang = by_source.groupBy("lang").agg(*merged)
-    by_all = by_source.agg(*merged)
-    lang = by_lang.select(F.col("lang").alias("_lang"), F.col("n").alias("ln"), *(F.col(m).alias(f"l_{m}") for m in METRICS))
-    every = by_all.select(F.lit(1).alias("_one"), *(F.col(m).alias(f"a_{m}") for m in METRICS))
-    j = by_source.withColumn("_one", F.lit(1)).join(lang, F.col("lang").eqNullSafe(F.col("_lang"))).join(every, "_one")
+    lang = by_source.groupBy("lang").agg(*merged).select(F.col("lang").alias("_lang"), F.col("n").alias("ln"), *(F.col(m).alias(f"l_{m}") for m in METRICS))
+    every = by_source.agg(*merged).first()  # one row: three sketches of bounded size
+    j = by_source.join(lang, F.col("lang").eqNullSafe(F.col("_lang")))
     out = ["lang", "source"]
     for m, (width, two_sided) in METRICS.items():
-        sketch = F.when(F.col("n") >= group_min, F.col(m)).when(F.col("ln") >= group_min, F.col(f"l_{m}")).otherwise(F.col(f"a_{m}"))
+        sketch = F.when(F.col("n") >= group_min, F.col(m)).when(F.col("ln") >= group_min, F.col(f"l_{m}")).otherwise(F.lit(every[m]))
         q = lambda p, sketch=sketch: F.kll_sketch_get_quantile_double(sketch, F.lit(p))
         reach = fence * F.greatest(q(0.75) - q(0.25), F.lit(width))
         out += [(q(0.75) + reach).alias(f"hi_{m}"), ((q(0.25) - reach) if two_sided else F.lit(float("-inf"))).alias(f"lo_{m}")]
