@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import time
@@ -49,6 +51,24 @@ def released(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
+def trim() -> None:
+    """Give freed memory back: an idle Python worker shares its executor's limit with the JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def trimming(run):
+    """The function of a task, after which the worker gives its memory back."""
+
+    def task(batches):
+        yield from run(batches)
+        trim()
+
+    return task
+
+
 def slices(batches, column: str = "text", limit: int = 2 << 20):
     """Cut record batches so each holds about `limit` bytes of `column` (one row at least)."""
     for rb in batches:

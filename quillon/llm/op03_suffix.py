@@ -148,9 +148,9 @@ def repeated_anchors(src: DataFrame, buckets: int) -> DataFrame:
         cut = np.concatenate(([0], np.flatnonzero((ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])) + 1, [len(ids)]))
         yield pa.RecordBatch.from_arrays([pa.array(ids[cut[:-1]]), pa.array(tags[cut[:-1]]), pa.array([at[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["_id", "_tag", "at"])
 
-    packed = src.mapInArrow(spread, "b int, h binary, ids binary, tags binary, at binary")
-    found = packed.repartition(buckets, "b").mapInArrow(gather, "b int, ids binary, tags binary, at binary")
-    return found.repartition(buckets, "b").mapInArrow(collect, "_id long, _tag long, at binary")
+    packed = src.mapInArrow(common.trimming(spread), "b int, h binary, ids binary, tags binary, at binary")
+    found = packed.repartition(buckets, "b").mapInArrow(common.trimming(gather), "b int, ids binary, tags binary, at binary")
+    return found.repartition(buckets, "b").mapInArrow(common.trimming(collect), "_id long, _tag long, at binary")
 
 
 CONTEXT = "b int, h binary, ids binary, tags binary, pos binary, wins binary, lens binary, body binary"
@@ -200,7 +200,7 @@ def contexts(src: DataFrame, marks: DataFrame, buckets: int) -> DataFrame:
             body = pa.array([z.compress(b"".join(bodies[i] for i in rl[x:y])) for x, y in zip(g[:-1], g[1:], strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(b[r][g[:-1]], pa.int32()), *cols, body], names=[x.split()[0] for x in CONTEXT.split(", ")])
 
-    return j.mapInArrow(run, CONTEXT)
+    return j.mapInArrow(common.trimming(run), CONTEXT)
 
 
 def _stable(code: np.ndarray) -> np.ndarray:
@@ -376,8 +376,8 @@ def later_spans(ctx: DataFrame, buckets: int) -> DataFrame:
         cut = np.concatenate(([0], np.flatnonzero((i[1:] != i[:-1]) | (t[1:] != t[:-1])) + 1, [len(i)]))
         yield pa.RecordBatch.from_arrays([pa.array(i[cut[:-1]]), pa.array(t[cut[:-1]]), pa.array([pair[a:c].tobytes() for a, c in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["_id", "_tag", "spans"])
 
-    packed = ctx.repartition(buckets, "b").mapInArrow(run, "b int, ids binary, tags binary, x binary, y binary")
-    return packed.repartition(buckets, "b").mapInArrow(gather, "_id long, _tag long, spans binary")
+    packed = ctx.repartition(buckets, "b").mapInArrow(common.trimming(run), "b int, ids binary, tags binary, x binary, y binary")
+    return packed.repartition(buckets, "b").mapInArrow(common.trimming(gather), "_id long, _tag long, spans binary")
 
 
 OUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -415,7 +415,7 @@ def deduplicated(docs: DataFrame, with_text: bool = False) -> DataFrame:
             names = ["_id", *(x.split()[0] for x in OUT.split(", "))]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(c[5], pa.binary())] * with_text, names=names + ["kept"] * with_text)
 
-    got = j.mapInArrow(run, "_id long, " + OUT + ", kept binary" * with_text)
+    got = j.mapInArrow(common.trimming(run), "_id long, " + OUT + ", kept binary" * with_text)
     return got.withColumn("doc_id", F.when(F.col("_id") != LEAST, F.col("_id"))).select("doc_id", *(c for c in got.columns if c != "_id"))
 
 

@@ -82,7 +82,7 @@ def thin(docs: DataFrame) -> DataFrame:
             sets = list(shingle_sets(rb.column("text")))
             yield pa.RecordBatch.from_arrays([rb.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64())], names=["doc_id", "n_shingles", "key"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, key long")
+    return docs.mapInArrow(common.trimming(run), "doc_id long, n_shingles long, key long")
 
 
 def _six(t: np.ndarray) -> bytes:
@@ -144,7 +144,7 @@ def packed(docs: DataFrame, buckets: int, hold: int = 3_000_000) -> DataFrame:
         if sets:
             yield batch(list(flush(sets)))
 
-    return docs.mapInArrow(run, PACK)
+    return docs.mapInArrow(common.trimming(run), PACK)
 
 
 def shared(pack: DataFrame, parts: int, groups: int) -> DataFrame:
@@ -185,7 +185,7 @@ def shared(pack: DataFrame, parts: int, groups: int) -> DataFrame:
             cols = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["b", "keys", "ns", "counts", "toks", "dfs"])
 
-    return pack.repartition(parts, "b").mapInArrow(run, PACK + ", dfs binary")
+    return pack.repartition(parts, "b").mapInArrow(common.trimming(run), PACK + ", dfs binary")
 
 
 def candidates(pack: DataFrame, parts: int) -> DataFrame:
@@ -222,7 +222,7 @@ def candidates(pack: DataFrame, parts: int) -> DataFrame:
         c = list(zip(*out, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.binary()), pa.array(c[4], pa.binary())], names=["key", "n_shingles", "p", "toks", "dfs"])
 
-    return pack.repartition(parts, "b").mapInArrow(run, "key long, n_shingles long, p int, toks binary, dfs binary")
+    return pack.repartition(parts, "b").mapInArrow(common.trimming(run), "key long, n_shingles long, p int, toks binary, dfs binary")
 
 
 def prefix_links(cand: DataFrame, buckets: int) -> DataFrame:
@@ -259,7 +259,7 @@ def prefix_links(cand: DataFrame, buckets: int) -> DataFrame:
         pairs = np.unique(np.stack([r, low], 1)[r != low], axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return cand.select("rep", "p", "toks").mapInArrow(spread, "b int, toks binary, reps binary").repartition(buckets, "b").mapInArrow(gather, "a long, b long")
+    return cand.select("rep", "p", "toks").mapInArrow(common.trimming(spread), "b int, toks binary, reps binary").repartition(buckets, "b").mapInArrow(common.trimming(gather), "a long, b long")
 
 
 class Sets:
@@ -362,7 +362,7 @@ def verified(cand: DataFrame, groups: DataFrame, block: int = BLOCK) -> DataFram
                 cols = list(zip(*out, strict=True)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.bool_())], names=["rep", "centre", "ok"])
 
-        marks = common.written(faced.select("rep", "n_shingles", "p", "toks", "dfs", "c").mapInArrow(face, "rep long, centre long, ok boolean"))
+        marks = common.written(faced.select("rep", "n_shingles", "p", "toks", "dfs", "c").mapInArrow(common.trimming(face), "rep long, centre long, ok boolean"))
         links = marks.where("ok and rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b"))
         n_blocks = F.ceil(F.col("size") / block).cast("int")
         dealt = big.join(marks.select("rep", "ok"), "rep").withColumn("k", F.pmod(F.xxhash64("rep"), n_blocks.cast("long")).cast("int"))

@@ -140,8 +140,8 @@ def repeated(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
         if len(i):
             yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(t), pa.array(a.astype(np.int32)), pa.array((a + n).astype(np.int32))], names=["_id", "_tag", "a", "b"])
 
-    packed = identified(docs).mapInArrow(spread, "b int, " + ", ".join(f"{c} binary" for c in cols))
-    return packed.repartition(buckets, "b").mapInArrow(join, "_id long, _tag long, a int, b int")
+    packed = identified(docs).mapInArrow(common.trimming(spread), "b int, " + ", ".join(f"{c} binary" for c in cols))
+    return packed.repartition(buckets, "b").mapInArrow(common.trimming(join), "_id long, _tag long, a int, b int")
 
 
 def cleaned(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
@@ -180,7 +180,7 @@ def cleaned(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64())], names=[*names, "_n_lines", "_n_removed", "_n_runs"])
 
     schema = j.drop("_spans").schema.add("_n_lines", "long").add("_n_removed", "long").add("_n_runs", "long")
-    return j.mapInArrow(run, schema)
+    return j.mapInArrow(common.trimming(run), schema)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

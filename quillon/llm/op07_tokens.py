@@ -100,7 +100,7 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
             n = [c.count(x) if x else 0 for x in rb.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([rb.column("doc_id"), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(common.trimming(run), "doc_id long, n_tokens long")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

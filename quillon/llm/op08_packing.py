@@ -167,7 +167,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(common.trimming(run), PIECES)
 
 
 def price(value: np.ndarray, lengths: np.ndarray, most: np.ndarray, size: int) -> dict[int, int]:
@@ -288,7 +288,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFram
                 seq[m], off[m] = b[k] + rank[m] - first[k], o[k]
             yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(seq), pa.array(off)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    return ranked.mapInArrow(common.trimming(place), PIECES + ", sequence_id long, offset long")
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

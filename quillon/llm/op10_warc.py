@@ -160,7 +160,7 @@ def write(pages: DataFrame, least: int = 0) -> DataFrame:
         if w:
             yield closed()
 
-    return common.written(rows.mapInArrow(run, "bundle string, content binary, keys array<long>, frames array<int>, offsets array<long>"))
+    return common.written(rows.mapInArrow(common.trimming(run), "bundle string, content binary, keys array<long>, frames array<int>, offsets array<long>"))
 
 
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, payload binary"
@@ -191,7 +191,7 @@ def read(bundles: DataFrame) -> DataFrame:
                     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in READ.split(", ")])
 
-    return bundles.mapInArrow(run, READ)
+    return bundles.mapInArrow(common.trimming(run), READ)
 
 
 def lookup(bundles: DataFrame, page_ids: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def lookup(bundles: DataFrame, page_ids: DataFrame) -> DataFrame:
                 recs.append(data[off : parse(data, off)[2]])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(recs, pa.binary())], names=["page_id", "record"])
 
-    return wanted.select("page_id", "frame", "offset", "content").mapInArrow(run, "page_id long, record binary")
+    return wanted.select("page_id", "frame", "offset", "content").mapInArrow(common.trimming(run), "page_id long, record binary")
 
 
 def export(bundles: DataFrame, uri: str) -> DataFrame:
@@ -226,7 +226,7 @@ def export(bundles: DataFrame, uri: str) -> DataFrame:
                     f.write(raw)
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(list(map(len, raws)), pa.int64())], names=["bundle", "bytes"])
 
-    return bundles.select("bundle", "content").mapInArrow(run, "bundle string, bytes long")
+    return bundles.select("bundle", "content").mapInArrow(common.trimming(run), "bundle string, bytes long")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
