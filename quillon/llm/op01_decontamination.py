@@ -131,9 +131,9 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents that hold no benchmark item, with all their columns."""
-    bad = matches(docs, benchmark).select(F.col("doc_id").alias("_d"), F.col("_tag").alias("_t")).distinct()
-    src = docs.withColumn("_h", F.xxhash64(F.col("text").cast("string")))
-    return src.join(bad, src["doc_id"].eqNullSafe(bad["_d"]) & (src["_h"] == bad["_t"]), "left_anti").drop("_h")
+    bad = matches(docs, benchmark).select(F.col("doc_id").alias("__q_d"), F.col("_tag").alias("__q_t")).distinct()
+    src = docs.withColumn("__q_h", F.xxhash64(F.col("text").cast("string")))
+    return src.join(bad, src["doc_id"].eqNullSafe(bad["__q_d"]) & (src["__q_h"] == bad["__q_t"]), "left_anti").drop("__q_h")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,18 +57,18 @@ VOCABULARY = sorted({t for _, x in TEMPLATES for t in _terms(x)})
 
 
 def blocks(files: DataFrame) -> DataFrame:
-    """(_f, block, known array<string>, n_other): each block's templates' terms and how many others."""
+    """(__q_f, block, known array<string>, n_other): each block's templates' terms and how many others."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     parts = F.when(F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False)), F.array(text)).otherwise(F.split(text, "\n"))
-    lines = files.select("_f", F.posexplode(parts).alias("block", "line"))
+    lines = files.select("__q_f", F.posexplode(parts).alias("block", "line"))
     terms = F.array_distinct(F.filter(F.split(F.lower("line"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    b = lines.select("_f", "block", terms.alias("t"))
+    b = lines.select("__q_f", "block", terms.alias("t"))
     known = F.array_intersect("t", F.array(*map(F.lit, VOCABULARY)))
-    return b.where(F.size("t") > 0).select("_f", "block", known.alias("known"), F.size("t").alias("n")).select("_f", "block", "known", (F.col("n") - F.size("known")).alias("n_other"))
+    return b.where(F.size("t") > 0).select("__q_f", "block", known.alias("known"), F.size("t").alias("n")).select("__q_f", "block", "known", (F.col("n") - F.size("known")).alias("n_other"))
 
 
 def scanned(files: DataFrame) -> DataFrame:
-    """(_f, license, score): the best template of each file's blocks, if it reaches THRESHOLD."""
+    """(__q_f, license, score): the best template of each file's blocks, if it reaches THRESHOLD."""
     spark = files.sparkSession
     b = common.written(blocks(files))
     # at most one count per templates' term, and one of all blocks
@@ -82,11 +82,11 @@ def scanned(files: DataFrame) -> DataFrame:
     b = b.where(F.col("on") >= THRESHOLD**2 * F.col("norm2"))
     rows = [(k, name, t, idf[t] ** 2, sum(idf[u] ** 2 for u in _terms(text))) for k, (name, text) in enumerate(TEMPLATES) for t in _terms(text)]
     table = spark.createDataFrame(rows, "template int, license string, t string, w2 double, tnorm2 double")
-    dots = b.select("_f", "block", "norm2", F.explode("known").alias("t")).join(F.broadcast(table), "t")
-    scores = dots.groupBy("_f", "block", "norm2", "template", "license", "tnorm2").agg(F.sum("w2").alias("dot"))
+    dots = b.select("__q_f", "block", "norm2", F.explode("known").alias("t")).join(F.broadcast(table), "t")
+    scores = dots.groupBy("__q_f", "block", "norm2", "template", "license", "tnorm2").agg(F.sum("w2").alias("dot"))
     scores = scores.withColumn("score", F.round(F.col("dot") / F.sqrt(F.col("norm2") * F.col("tnorm2")), 6)).where(F.col("score") >= THRESHOLD)
-    best = scores.groupBy("_f").agg(F.max("score").alias("score"), F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("m"))
-    return best.select("_f", F.col("m.license").alias("license"), "score")
+    best = scores.groupBy("__q_f").agg(F.max("score").alias("score"), F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("m"))
+    return best.select("__q_f", F.col("m.license").alias("license"), "score")
 
 
 def _directory(path: Column) -> Column:
@@ -96,20 +96,20 @@ def _directory(path: Column) -> Column:
 def licenses(files: DataFrame) -> DataFrame:
     """Adds license, score and how (`own`, `inherited` or null) to files of (path, text)."""
     names = files.columns
-    rows = files.withColumn("_f", F.struct(F.coalesce("path", F.lit("")).alias("p"), F.xxhash64("text").alias("h")))
-    found = common.written(scanned(rows.select("_f", "path", "text")))
-    thin = rows.drop("text").join(found, "_f", "left").withColumn("_dir", _directory(F.col("path")))
+    rows = files.withColumn("__q_f", F.struct(F.coalesce("path", F.lit("")).alias("p"), F.xxhash64("text").alias("h")))
+    found = common.written(scanned(rows.select("__q_f", "path", "text")))
+    thin = rows.drop("text").join(found, "__q_f", "left").withColumn("__q_dir", _directory(F.col("path")))
     thin = common.written(thin)
-    held = thin.where(F.col("path").rlike(LICENCE_FILE) & F.col("license").isNotNull()).groupBy("_dir").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("m"))
-    held = held.select(F.col("_dir").alias("_up"), F.col("m.license").alias("_lic"))
-    dirs = thin.where(F.col("path").isNotNull()).select("_dir").distinct()
-    steps = F.split("_dir", "/")
-    ups = dirs.select("_dir", F.explode(F.sequence(F.lit(0), F.size(steps))).alias("k"))
-    ups = ups.withColumn("_up", F.array_join(F.slice(F.split("_dir", "/"), F.lit(1), F.col("k")), "/")).join(held, "_up")
-    near = common.written(ups.groupBy("_dir").agg(F.max(F.struct("k", "_lic")).alias("m")).select(F.col("_dir").alias("_d"), F.col("m._lic").alias("_lic")))
-    out = thin.join(near, (thin["_dir"] == near["_d"]) & thin["license"].isNull() & thin["path"].isNotNull(), "left")
-    how = F.when(F.col("license").isNotNull(), "own").when(F.col("_lic").isNotNull(), "inherited")
-    return out.select(*(c for c in names if c != "text"), F.coalesce("license", "_lic").alias("license"), "score", how.alias("how"))
+    held = thin.where(F.col("path").rlike(LICENCE_FILE) & F.col("license").isNotNull()).groupBy("__q_dir").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("m"))
+    held = held.select(F.col("__q_dir").alias("__q_up"), F.col("m.license").alias("__q_lic"))
+    dirs = thin.where(F.col("path").isNotNull()).select("__q_dir").distinct()
+    steps = F.split("__q_dir", "/")
+    ups = dirs.select("__q_dir", F.explode(F.sequence(F.lit(0), F.size(steps))).alias("k"))
+    ups = ups.withColumn("__q_up", F.array_join(F.slice(F.split("__q_dir", "/"), F.lit(1), F.col("k")), "/")).join(held, "__q_up")
+    near = common.written(ups.groupBy("__q_dir").agg(F.max(F.struct("k", "__q_lic")).alias("m")).select(F.col("__q_dir").alias("__q_d"), F.col("m.__q_lic").alias("__q_lic")))
+    out = thin.join(near, (thin["__q_dir"] == near["__q_d"]) & thin["license"].isNull() & thin["path"].isNotNull(), "left")
+    how = F.when(F.col("license").isNotNull(), "own").when(F.col("__q_lic").isNotNull(), "inherited")
+    return out.select(*(c for c in names if c != "text"), F.coalesce("license", "__q_lic").alias("license"), "score", how.alias("how"))
 
 
 def tree(docs: DataFrame) -> DataFrame:

@@ -408,7 +408,7 @@ def components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 def survivors(docs: DataFrame) -> DataFrame:
     """One document of each component, the one of the smallest id, with all its columns."""
     comp = components(docs).where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(comp.withColumnRenamed("doc_id", "_keep"), docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
+    return docs.join(comp.withColumnRenamed("doc_id", "__q_keep"), docs["doc_id"].eqNullSafe(F.col("__q_keep")), "left_semi")
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,16 +145,16 @@ def repeated(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
 
 
 def cleaned(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """Documents with later repeated runs deleted, and n_lines, n_removed_lines, n_runs."""
+    """Documents with later repeated runs deleted, and __q_lines, __q_removed, __q_runs."""
     spans = common.written(repeated(docs, least))
-    per = spans.groupBy("_id", "_tag").agg(F.collect_list(F.struct("a", "b")).alias("_spans")).withColumnsRenamed({"_id": "_i", "_tag": "_t"})
+    per = spans.groupBy("_id", "_tag").agg(F.collect_list(F.struct("a", "b")).alias("__q_spans")).withColumnsRenamed({"_id": "__q_i", "_tag": "__q_t"})
     names = docs.columns
-    src = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST))).withColumn("_tag", F.xxhash64(F.col("text").cast("string")))
-    j = src.join(per, (src["_id"] == per["_i"]) & (src["_tag"] == per["_t"]), "left").select(*names, "_spans")
+    src = docs.withColumn("__q_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST))).withColumn("__q_tag", F.xxhash64(F.col("text").cast("string")))
+    j = src.join(per, (src["__q_id"] == per["__q_i"]) & (src["__q_tag"] == per["__q_t"]), "left").select(*names, "__q_spans")
 
     def run(batches):
         for rb in common.slices(batches):
-            texts, spans = rb.column("text").cast(pa.string()).to_pylist(), rb.column("_spans").to_pylist()
+            texts, spans = rb.column("text").cast(pa.string()).to_pylist(), rb.column("__q_spans").to_pylist()
             lines, gone, runs = [], [], []
             for i, (t, s) in enumerate(zip(texts, spans, strict=True)):
                 parts = (t or "").encode().split(b"\n")
@@ -177,16 +177,16 @@ def cleaned(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
                 elif c == "n_chars":
                     v = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(v.type)
                 cols.append(v)
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64())], names=[*names, "_n_lines", "_n_removed", "_n_runs"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64())], names=[*names, "__q_lines", "__q_removed", "__q_runs"])
 
-    schema = j.drop("_spans").schema.add("_n_lines", "long").add("_n_removed", "long").add("_n_runs", "long")
+    schema = j.drop("__q_spans").schema.add("__q_lines", "long").add("__q_removed", "long").add("__q_runs", "long")
     return j.mapInArrow(common.trimming(run), schema)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed_lines, n_runs, kept_sha256 and the kept text of every document."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return cleaned(docs).select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed_lines"), F.col("_n_runs").alias("n_runs"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), "text")
+    return cleaned(docs).select("doc_id", F.col("__q_lines").alias("n_lines"), F.col("__q_removed").alias("n_removed_lines"), F.col("__q_runs").alias("n_runs"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), "text")
 
 
 def brute_force(rows: list[tuple[int, str | None]], least: int = MIN_WORDS) -> dict[int, tuple[int, str]]:

@@ -23,7 +23,7 @@ from . import common
 WORD = f"[^{common.SPACE}]+"
 FENCE = 4.0
 GROUP_MIN = 50
-KLL = 200
+KLL = 800
 # metric: (narrowest width that an interquartile range counts as, both sides)
 METRICS = {"m_symbols": (0.05, False), "m_dup_lines": (0.1, False), "m_word_chars": (1.0, True)}
 
@@ -97,30 +97,30 @@ def thresholds(thin: DataFrame, fence: float = FENCE, group_min: int = GROUP_MIN
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """(doc_id, _h, base columns, base_failed, kept) of every row; no text is shuffled or kept."""
-    src = tagged(docs).select("doc_id", "_h", F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"))
+    src = tagged(docs).select("doc_id", "__q_h", F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"))
     thin = common.written(_metrics(measured(src).drop("text")))
     bounds = thresholds(thin).withColumnsRenamed({"lang": "_lang", "source": "_source"})
     fit = ~F.col("base_failed")
     for m in METRICS:
         fit = fit & F.coalesce(F.col(m).between(F.col(f"lo_{m}"), F.col(f"hi_{m}")), F.lit(True))
     j = thin.join(bounds, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    return j.select("doc_id", "_h", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", fit.alias("kept"))
+    return j.select("doc_id", "__q_h", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", fit.alias("kept"))
 
 
 def tagged(docs: DataFrame) -> DataFrame:
     """Rows that share a doc_id are told apart by a hash of what they are judged on."""
-    return docs.withColumn("_h", F.xxhash64("text", "lang", "source"))
+    return docs.withColumn("__q_h", F.xxhash64("text", "lang", "source"))
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    return verdicts(docs).drop("_h")
+    return verdicts(docs).drop("__q_h")
 
 
 def kept_rows(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with all their own columns."""
-    good = verdicts(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("_h").alias("_g"))
+    good = verdicts(docs).where("kept").select(F.col("doc_id").alias("__q_id"), F.col("__q_h").alias("__q_g"))
     src = tagged(docs)
-    return src.join(good, src["doc_id"].eqNullSafe(good["_id"]) & (src["_h"] == good["_g"]), "left_semi").drop("_h")
+    return src.join(good, src["doc_id"].eqNullSafe(good["__q_id"]) & (src["__q_h"] == good["__q_g"]), "left_semi").drop("__q_h")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

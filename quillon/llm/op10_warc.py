@@ -129,14 +129,15 @@ def plan(pages: DataFrame, least: int = 0) -> DataFrame:
     """(page_id, _h, refers_to): thin rows that say which records are revisits."""
     thin = common.written(pages.select("page_id", F.sha1(F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))).alias("_h"), F.coalesce(F.octet_length("html"), F.lit(0)).alias("_n")))
     top = common.written(thin.where(F.col("_n") >= least).groupBy("_h").agg(F.max("page_id").alias("_top")))
-    return thin.join(top, "_h", "left").select("page_id", F.when(F.col("_top") != F.col("page_id"), F.col("_top")).alias("refers_to")).distinct()
+    return thin.join(top, "_h", "left").select("page_id", "_h", F.when(F.col("_top") != F.col("page_id"), F.col("_top")).alias("refers_to")).distinct()
 
 
 def write(pages: DataFrame, least: int = 0) -> DataFrame:
     """Archives of all rows: (bundle, content, keys, frames, offsets), one row per bundle."""
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    marks = plan(pages, least).withColumnRenamed("page_id", "_p")
-    rows = pages.join(marks, pages.page_id.eqNullSafe(marks["_p"]), "left").drop("_p")
+    marks = plan(pages, least).withColumnsRenamed({"page_id": "_p", "_h": "_g"})
+    rows = pages.withColumn("_h", F.sha1(F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))))
+    rows = rows.join(marks, rows["page_id"].eqNullSafe(marks["_p"]) & (rows["_h"] == marks["_g"]), "left").drop("_p", "_g", "_h")
 
     def run(batches):
         w, k = None, 0
