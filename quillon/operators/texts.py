@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # (pattern, replacement) in the order in which they are applied.
 REDACTIONS = (
@@ -36,37 +39,83 @@ def compact(c: Column) -> Column:
     return F.regexp_replace(c, r"[ \t\n\r\x0B\f]+", "")
 
 
-def locate_quotes(quotes: DataFrame, texts: DataFrame, size: int = 32) -> DataFrame:
+def _window_hashes(raw: bytes, width: int, weights: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    """A hash of each `width`-byte window, from prefix sums (linear in the text)."""
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_MARK[np.frombuffer(raw, np.uint8)] * weights[: len(raw)], out=total[1:])
+    return (total[width:] - total[:-width]) * inverse[: len(total) - width]
+
+
+_MARK = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_KEY = (T.StructField("n", T.IntegerType()), T.StructField("key", T.LongType()))
+_STEP = 0x9E3779B97F4A7C15
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (_STEP, pow(_STEP, -1, 2**64)):
+        x = np.full(n, base, np.uint64)
+        x[0] = 1
+        out.append(np.cumprod(x, dtype=np.uint64))
+    return out[0], out[1]
+
+
+def _compact_bytes(text: str | None) -> bytes:
+    return b"".join((text or "").encode().split())
+
+
+def locate_quotes(quotes: DataFrame, texts: DataFrame, size: int = 32, block: int = 500_000) -> DataFrame:
     """(quote_id, text_id, exact) of texts that hold a quote, ignoring white space.
 
-    The quote's first `size` compact characters are its key. Texts are cut at every place into
-    keys by hash and joined on it, then verified; shorter quotes are keyed by what they have.
-    No pair of a quote and a text is formed without a common key."""
-    q = quotes.select("quote_id", "quote", compact(F.col("quote")).alias("q")).where("q <> ''").withColumn("n", F.least(F.length("q"), F.lit(size)))
-    q = q.withColumn("key", F.xxhash64(F.slice(_chars(F.col("q")), F.lit(1), F.col("n"))))
-    widths = [r["n"] for r in q.select("n").distinct().collect()]  # at most `size` of them
+    A quote's first `size` compact bytes are its key. The quotes are the query set: their keys go
+    to the texts in blocks of bounded size, each text's windows are hashed in one linear pass, and
+    texts with a common key are verified. No pair without a common key is formed."""
+    q = quotes.select("quote_id", "quote", compact(F.col("quote")).alias("q")).where("q <> ''")
+
+    def keyed(batches):
+        for rb in batches:
+            raws = [_compact_bytes(t)[:size] for t in rb.column("quote").to_pylist()]
+            w, v = _powers(size + 1)
+            keys = [int(_window_hashes(r, len(r), w, v)[0].view(np.int64)) for r in raws]
+            yield pa.RecordBatch.from_arrays([rb.column("quote_id"), rb.column("quote"), rb.column("q"), pa.array([len(r) for r in raws], pa.int32()), pa.array(keys, pa.int64())], names=["quote_id", "quote", "q", "n", "key"])
+
+    q = q.mapInArrow(keyed, T.StructType([*q.schema.fields, *_KEY]))
+    blocks = -(-q.count() // block)
     out = None
-    for n in sorted(widths):
-        t = texts.select("text_id", _chars(compact(F.col("text"))).alias("t"))
-        # outer: an inner explode would have its non-empty test pushed below the characters
-        keys = t.select("text_id", F.explode_outer(F.when(F.size("t") >= n, _keys(n))).alias("key"))
-        hit = keys.join(q.where(F.col("n") == n), "key").select("quote_id", "text_id", "quote", "q").distinct()
+    for k in range(blocks):
+        part = q.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == k)
+        wanted: dict[int, list] = {}
+        for r in part.select("n", "key").distinct().collect():  # about `block` rows
+            wanted.setdefault(r["n"], []).append(r["key"])
+        wanted = {n: np.sort(np.array(v, np.int64).view(np.uint64)) for n, v in wanted.items()}
+
+        def scan(batches, wanted=wanted):
+            w, v = _powers(1 << 16)
+            for rb in batches:
+                ids, widths, keys = [], [], []
+                for tid, text in zip(rb.column("text_id").to_pylist(), rb.column("text").to_pylist(), strict=True):
+                    raw = _compact_bytes(text)
+                    if len(raw) + 1 > len(w):
+                        w, v = _powers(2 * len(raw))
+                    for n, own in wanted.items():
+                        if len(raw) >= n:
+                            h = _window_hashes(raw, n, w, v)
+                            at = np.minimum(np.searchsorted(own, h), len(own) - 1)
+                            for x in np.unique(h[own[at] == h]).view(np.int64).tolist():
+                                ids.append(tid)
+                                widths.append(n)
+                                keys.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, rb.column("text_id").type), pa.array(widths, pa.int32()), pa.array(keys, pa.int64())], names=["text_id", "n", "key"])
+
+        found = texts.select("text_id", "text").mapInArrow(scan, T.StructType([texts.schema["text_id"], *_KEY]))
+        hit = found.join(part, ["n", "key"]).select("quote_id", "text_id", "quote", "q")
         out = hit if out is None else out.union(hit)
     if out is None:
-        return quotes.select("quote_id").limit(0).crossJoin(texts.select("text_id").limit(0)).withColumn("exact", F.lit(True))
-    j = out.join(texts.select("text_id", "text"), "text_id")
+        return texts.select(F.lit(None).cast(quotes.schema["quote_id"].dataType).alias("quote_id"), "text_id", F.lit(True).alias("exact")).limit(0)
+    j = out.distinct().join(texts.select("text_id", "text"), "text_id")
     return j.where(F.contains(compact(F.col("text")), F.col("q"))).select("quote_id", "text_id", F.contains("text", F.col("quote")).alias("exact"))
 
 
-def _chars(c: Column) -> Column:
-    return F.filter(F.split(c, ""), lambda x: x != "")
-
-
-def _keys(n: int) -> Column:
-    """Hashes of all n-character runs; slices of an array cost n each, wherever they start."""
-    return F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.xxhash64(F.slice("t", i, F.lit(n))))
-
-
 def html_text(html: Column, least: int = 0, most: int | None = None) -> Column:
     """Text of a page: scripts, styles and tags out, white space collapsed."""
     t = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
