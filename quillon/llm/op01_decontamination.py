@@ -140,3 +140,18 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contaminated documents and their items: (doc_id, item_id, n_words, similarity)."""
     docs, bench = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark")
     return matches(docs, bench).groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"), F.round(F.max("similarity"), 6).alias("similarity"))
+
+
+# DuckDB: the same definition over aligned windows, without fingerprints.
+_GRAMS = """CASE WHEN len(w) >= 5 THEN [array_to_string(w[k:k+4], ' ') FOR k IN range(1, len(w) - 3)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"""
+_WORDS = "[x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+') IF x <> '']"
+SQL = f"""
+WITH i AS (SELECT item_id, len(w) AS n, {_GRAMS} AS gs FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)),
+ip AS (SELECT item_id, n, m, g, min(pl) AS pl, count(*) AS c FROM (SELECT item_id, n, len(gs) AS m, unnest(gs) AS g, generate_subscripts(gs, 1) - 1 AS pl FROM i) GROUP BY ALL),
+d AS (SELECT doc_id, {_GRAMS} AS gs FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+dg AS (SELECT doc_id, len(gs) AS dm, unnest(gs) AS g, generate_subscripts(gs, 1) - 1 AS pos FROM d),
+c AS (SELECT DISTINCT doc_id, dm, item_id, n, m, greatest(least(pos - pl, dm - greatest(n - 4, 1)), 0) AS s FROM dg JOIN ip USING (g)),
+w AS (SELECT c.doc_id, c.item_id, c.n, c.m, c.s, least(c.m, c.dm - c.s) AS size, dg.g, count(*) AS cw FROM c JOIN dg ON dg.doc_id = c.doc_id AND dg.pos >= c.s AND dg.pos < c.s + c.m GROUP BY ALL),
+l AS (SELECT w.doc_id, w.item_id, w.n, w.m, w.s, w.size, sum(least(cw, ip.c)) AS low FROM w JOIN ip ON ip.item_id = w.item_id AND ip.g = w.g GROUP BY ALL)
+SELECT doc_id, item_id, CAST(max(n) AS INT) AS n_words, round(max(CAST(low AS DOUBLE) / CAST(size + m - low AS DOUBLE)), 6) AS similarity FROM l WHERE 100 * low >= 75 * (size + m - low) GROUP BY 1, 2
+"""
