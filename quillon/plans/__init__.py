@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identifiers as ids
-from ..operators import compare, events, identity, materials, mentions, texts
+from ..operators import compare, events, graph, identity, materials, mentions, review, texts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -325,3 +325,49 @@ def candidate_merge(spark, d):
     j = _t(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("fingerprint")).join(_t(spark, d, "labels"), "doc_id", "left")
     cut = lambda cond: j.where(cond).select("fingerprint", "doc_id")
     return identity.merge_candidates(cut("quality = 1"), cut("quality is null"), cut("quality = 0"))
+
+
+@query(
+    """SELECT * FROM (SELECT l_suppkey AS surface, arg_max('subject:' || CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderkey AS VARCHAR) ELSE o_orderkey || ':' || l_suppkey END, (o_orderdate, o_orderkey)) AS subject_id
+FROM orders JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) ON l_orderkey = o_orderkey WHERE o_orderstatus IN ('F', 'O') GROUP BY 1)"""
+)
+def decided_subjects(spark, d):
+    """Orders stand in for decided candidates (F merges, O keeps separate, P defers), suppliers for surfaces."""
+    o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("candidate_id"), F.when(F.col("o_orderstatus") == "F", "MERGE").when(F.col("o_orderstatus") == "O", "KEEP_SEPARATE").otherwise("DEFER").alias("decision"), F.col("o_orderdate").alias("decided_at"))
+    s = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("candidate_id"), F.col("l_suppkey").alias("surface")).distinct()
+    return review.subjects(o, s).select("surface", "subject_id")
+
+
+@query(
+    """SELECT src, dst, status, weight FROM (SELECT least('u' || user_id, 't' || event_type) AS src, greatest('u' || user_id, 't' || event_type) AS dst,
+arg_max(s, list_position(['inferred', 'pending', 'recorded', 'confirmed'], s)) AS status, count(*) AS weight FROM (SELECT *, CASE WHEN value > 100 THEN 'confirmed' WHEN value > 50 THEN 'recorded' ELSE 'inferred' END AS s FROM events) GROUP BY 1, 2)"""
+)
+def graph_edges(spark, d):
+    s = F.when(F.col("value") > 100, "confirmed").when(F.col("value") > 50, "recorded").otherwise("inferred")
+    e = _t(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("src"), F.concat(F.lit("t"), "event_type").alias("dst"), F.lit("appear").alias("kind"), s.alias("status"))
+    return graph.merged_edges(e).select("src", "dst", "status", "weight")
+
+
+@query(
+    """WITH v AS (SELECT c_nationkey AS case_id, o_custkey AS document_id, o_orderkey AS uploaded_at, o_orderpriority AS sha256 FROM orders JOIN customer ON o_custkey = c_custkey),
+f AS (SELECT case_id, sha256, min(uploaded_at) AS first_at, arg_min(document_id, uploaded_at) AS first_doc FROM v GROUP BY 1, 2)
+SELECT document_id, uploaded_at, CAST(row_number() OVER (PARTITION BY document_id ORDER BY uploaded_at) AS INT) AS version_no, CASE WHEN first_at < uploaded_at OR first_doc <> document_id THEN 'DUPLICATE_PENDING' ELSE 'READY' END AS status FROM v JOIN f USING (case_id, sha256)"""
+)
+def version_chain(spark, d):
+    u = _t(spark, d, "orders").join(_t(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    u = u.select(F.col("c_nationkey").alias("case_id"), F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("uploaded_at"), F.col("o_orderpriority").alias("sha256"), F.lit("UPLOAD").alias("source_type"))
+    return review.version_chain(u).select("document_id", "uploaded_at", "version_no", "status")
+
+
+@query(
+    """WITH w AS (SELECT source || ':' || lang AS document_version_id, n_chars % 100 / 100.0 AS c FROM documents)
+SELECT document_version_id, round(avg(CAST(c AS DOUBLE)), 4) AS avg_confidence, CAST(min(c) AS DOUBLE) AS min_confidence, count(*) AS page_count, CAST(count_if(c < 0.75) AS BIGINT) AS low_pages FROM w GROUP BY 1"""
+)
+def page_quality(spark, d):
+    p = _t(spark, d, "documents").select(F.concat_ws(":", "source", "lang").alias("document_version_id"), ((F.col("n_chars") % 100) / 100.0).alias("confidence"), F.lit("PARSED").alias("status"))
+    return materials.quality_summary(p).drop("statuses")
+
+
+@query("SELECT object_type, CASE object_type WHEN 'ACCOUNT' THEN 'R001' ELSE NULL END AS rule_id, count(*) AS n FROM (" + _RUNS + ") GROUP BY 1, 2")
+def rule_lookup(spark, d):
+    return review.rule_of(_mentions(spark, d)).groupBy("object_type", "rule_id").agg(F.count(F.lit(1)).alias("n"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import identifiers as ids
-from quillon.operators import compare, events, identity, ledger, materials, mentions, texts
+from quillon.operators import compare, events, graph, identity, ledger, materials, mentions, review, texts
 from quillon.sources import files
 from quillon.streaming import ingest
 
@@ -191,3 +191,27 @@ def test_stream(spark, tmp_path):
         stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
         ingest.start(stream, str(tmp_path / "out"), str(tmp_path / f"ck{k}"), kinds=("ACCOUNT",)).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_review(spark):
+    c = spark.createDataFrame([("PHONE", ["A", "B"], [("A", "h"), ("B", "h")], "s"), ("X", ["A"], [("A", "")], "s" * 151), ("PHONE", ["A", "B"], [("A", "h")], None)], "entity_type string, case_ids array<string>, evidence array<struct<case_id:string,quote_hash:string>>, agent_summary string")
+    got = [sorted(r.errors) for r in review.contract(c, ("PHONE",)).collect()]
+    assert got == [[], ["CASES", "HASH", "SUMMARY", "TYPE"], ["COVERAGE"]]
+    k = spark.createDataFrame([("ACCOUNT",), ("NAME",), ("PHONE",), ("DEVICE",), ("IP",)], "object_type string")
+    assert [r.rule_id for r in review.rule_of(k).collect()] == ["R001", "R006", "R002", "R003", None]
+    assert [r.rule_id for r in review.rule_of(k, compat=True).collect()] == [None, None, "R002", "R003", None]
+    d = spark.createDataFrame([(1, "MERGE", 1), (1, "DEFER", 2), (2, "MERGE", 3), (3, "KEEP_SEPARATE", 4)], "candidate_id int, decision string, decided_at int")
+    s = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b"), (3, "b"), (3, "c")], "candidate_id int, surface string")
+    assert {r.surface: r.subject_id for r in review.subjects(d, s).collect()} == {"a": "subject:2", "b": "subject:3:b", "c": "subject:3:c"}
+    clues = spark.createDataFrame([("x", "ID", [2], None), ("y", "FUND", [2], "PROMOTED"), ("z", "ID", [9], "PROMOTED")], "clue_id string, aspect string, linked_candidate_ids array<int>, promotion string")
+    assert {r.clue_id: r.promotion for r in review.promoted(clues, d.where("decided_at = 3")).collect()} == {"x": "PROMOTED", "y": None, "z": "PROMOTED"}
+    names = spark.createDataFrame([(1, "A", "老王", "王", "nick"), (2, "B", "王某", "王", "anon"), (3, "A", "李四", "李", "full"), (4, "B", "小四", "", "full"), (5, "C", "赵某", "赵", "anon"), (6, "D", "赵某某", "赵", "anon")], "name_id long, case_id string, surface string, surname string, kind string")
+    seeds = spark.createDataFrame([("李四", "小四")], "canonical string, alias string")
+    assert {(r.root, r.members, r.from_table) for r in review.alias_suspects(names, seeds).collect()} == {(1, 2, False), (3, 2, True)}
+
+
+def test_graph(spark):
+    e = spark.createDataFrame([("case:a", "e1", "appear", "pending"), ("e1", "case:a", "appear", "confirmed"), ("e1", "case:b", "appear", "recorded"), ("case:a", "e2", "appear", "inferred"), ("e2", "case:c", "appear", "recorded")], "src string, dst string, kind string, status string")
+    got = {(r.src, r.dst): (r.status, r.weight) for r in graph.merged_edges(e).collect()}
+    assert got["case:a", "e1"] == ("confirmed", 2)
+    assert [(r.node, r.distance, r.path) for r in graph.shortest_paths(e, "case:a", "case:").collect()] == [("case:b", 2, ["case:a", "e1", "case:b"])]
