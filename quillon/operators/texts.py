@@ -145,6 +145,46 @@ def clauses(lines: DataFrame, heading: str = r"^第[一二三四五六七八九
     return g.groupBy("file", "clause").agg(F.max_by("text", "_g").alias("text"))
 
 
+# Policy types by title word, patterns of numbers, issuers and headings.
+POLICY_TYPES = (("意见", "意见"), ("通知", "通知"), ("办法", "办法"), ("规定", "规定"), ("规则", "规定"), ("决定", "决定"), ("公告", "公告"), ("批复", "批复"), ("函", "函"))
+TITLE_WORDS = "意见|通知|办法|规定"
+NUMBERS = ("[一-龥]{1,5}〔[0-9]{4}〕[0-9]+号", "[（）()“”\"'][^（）()“”\"'的]{0,20}[〔\\[][0-9]{4}[〕\\]]\\s*第?\\s*[0-9]+\\s*号?")
+ISSUERS = ("^([\\x{4e00}-\\x{9fa5}]{2,10}(?:部|委|办|局|署|院|厅|人民政府|办公厅))", "([\\x{4e00}-\\x{9fa5}]{2,8}(?:委员会|办公室|领导小组))")
+HEADING = "^([一二三四五六七八九十]+、|（[一二三四五六七八九十]+）|[0-9]+[.、．]|第[一二三四五六七八九十百零0-9]+条)"
+
+
+def _strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def policy_meta(files: DataFrame) -> DataFrame:
+    """(file, title, policy_type, doc_number, issuer) of (file, text). The title is the file's name
+    without extension and 【…】, or the first of the first five lines that reads like one; the
+    number is sought in 2000 characters, the issuer in the lines of 1000."""
+    text = F.coalesce("text", F.lit(""))
+    name = _strip(F.regexp_replace(F.regexp_replace("file", r"(?i)\.(pdf|docx)$", ""), "【.*?】", ""))
+    lines = F.transform(F.slice(F.split(text, "\n"), 1, 5), _strip)
+    title = F.coalesce(F.get(F.filter(lines, lambda x: F.length(x).between(6, 99) & x.rlike(TITLE_WORDS)), F.lit(0)), name)
+    head = F.left(text, F.lit(2000))
+    number = F.coalesce(*(F.regexp_substr(head, F.lit(p)) for p in NUMBERS), F.lit(""))
+    per = F.transform(F.split(F.left(text, F.lit(1000)), "\n"), lambda x: F.coalesce(*(F.when(x.rlike(p), F.regexp_extract(x, p, 1)) for p in ISSUERS), F.lit("")))
+    issuer = F.coalesce(F.get(F.filter(per, lambda x: x != ""), F.lit(0)), F.lit(""))
+    kind = F.coalesce(*(F.when(F.contains(F.col("title"), F.lit(word)), F.lit(to)) for word, to in POLICY_TYPES), F.lit("其他"))
+    return files.select("file", title.alias("title"), number.alias("doc_number"), issuer.alias("issuer")).withColumn("policy_type", kind)
+
+
+def policy_sections(files: DataFrame) -> DataFrame:
+    """(file, section, title, text) of (file, text): a heading opens a section, lines of fewer than
+    five characters are left out, and what stands before the first heading is 段落1."""
+    lines = files.select("file", F.posexplode(F.split("text", "\n")).alias("ordinal", "line")).withColumn("line", _strip(F.col("line")))
+    head = F.col("line").rlike(HEADING)
+    lines = lines.withColumn("_h", head).where("line <> ''").where(head | (F.length("line") >= 5))
+    g = lines.withColumn("_g", F.sum(F.col("_h").cast("int")).over(Window.partitionBy("file").orderBy("ordinal")))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("_h"), F.struct("ordinal", "line")))), lambda x: x["line"]), "\n")
+    s = g.groupBy("file", "_g").agg(F.coalesce(F.max(F.when(F.col("_h"), F.col("line"))), F.lit("段落1")).alias("title"), body.alias("text"))
+    return s.withColumn("section", F.row_number().over(Window.partitionBy("file").orderBy("_g"))).select("file", "section", "title", "text")
+
+
 def chat_groups(rows: DataFrame) -> DataFrame:
     """Chat rows whose tool calls are all answered by the run of tool rows right after them.
 
