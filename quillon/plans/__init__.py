@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identifiers as ids
-from ..operators import compare, events, graph, identity, materials, mentions, review, texts
+from ..operators import citations, compare, events, graph, identity, materials, mentions, review, texts
+from ..sources import reports
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -371,3 +372,31 @@ def page_quality(spark, d):
 @query("SELECT object_type, CASE object_type WHEN 'ACCOUNT' THEN 'R001' ELSE NULL END AS rule_id, count(*) AS n FROM (" + _RUNS + ") GROUP BY 1, 2")
 def rule_lookup(spark, d):
     return review.rule_of(_mentions(spark, d)).groupBy("object_type", "rule_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """WITH s AS (SELECT doc_id, text AS t, length(text) AS n, regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}') AS m FROM documents),
+a AS (SELECT *, strpos(t, m) - 1 AS a, strpos(t, m) - 1 + length(m) AS b FROM s WHERE m <> ''),
+k AS (SELECT *, length(regexp_extract(substr(t, 1, a), '(?s)^.*[。！？；\\n]')) AS l, length(regexp_extract(substr(t, b + 1), '^[^。！？；\\n]*[。！？；\\n]')) AS r FROM a),
+w AS (SELECT *, CASE WHEN l > 0 THEN least(l, greatest(a - 48, 0)) ELSE greatest(a - 48, 0) END AS lo, CASE WHEN r > 0 THEN greatest(b + r, least(n, b + 48)) ELSE least(n, b + 48) END AS hi FROM k),
+g AS (SELECT *, least(180, n) - (hi - lo) AS need FROM w),
+h AS (SELECT *, least(lo, greatest((need + 1) // 2, need - (n - hi))) AS take, greatest(a - least(a - lo, greatest(24, (180 - (b - a)) // 3)), 0) AS cl FROM g),
+e AS (SELECT doc_id, t, CASE WHEN need > 0 THEN lo - take WHEN need < 0 THEN cl ELSE lo END AS lo, CASE WHEN need > 0 THEN hi + need - take WHEN need < 0 THEN least(n, cl + 180) ELSE hi END AS hi FROM h)
+SELECT doc_id, trim(substr(t, lo + 1, hi - lo), chr(10)) AS quote FROM e"""
+)
+def quote_windows(spark, d):
+    """The quote around each document's first e-mail address."""
+    docs = _t(spark, d, "documents").select("doc_id", "text", F.regexp_extract("text", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 0).alias("m")).where("m <> ''")
+    return docs.select("doc_id", citations.locate_window(F.col("text"), F.col("m")).alias("quote"))
+
+
+@query(
+    """WITH l AS (SELECT doc_id, unnest(x) AS raw, generate_subscripts(x, 1) AS k FROM (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0B\\f\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]') AS x FROM documents)),
+t AS (SELECT doc_id, k, regexp_replace(raw, '^[\\s\\pZ\\x0B]+|[\\s\\pZ\\x0B]+$', '', 'g') AS x FROM l),
+b AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS ordinal, x, CASE WHEN x LIKE '### %' THEN 'h3' WHEN x LIKE '## %' THEN 'h2' WHEN x LIKE '# %' THEN 'h1' WHEN regexp_matches(x, '^[-*•] ') THEN 'ul' WHEN regexp_matches(x, '^[0-9]+[.)]\\s+') THEN 'ol' ELSE 'body' END AS kind
+  FROM t WHERE x <> '' AND NOT starts_with(x, '```') AND NOT regexp_matches(x, '^[-—*_]{3,}$'))
+SELECT doc_id AS report_id, CAST(ordinal AS INT) AS ordinal, kind, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '^(#{1,3} |[-*•] |[0-9]+[.)]\\s+|>+)', ''), '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '\\*\\*|__|\\*|_|`', '', 'g'), '^[\\s\\pZ\\x0B]+|[\\s\\pZ\\x0B]+$', '', 'g') AS text FROM b"""
+)
+def report_blocks(spark, d):
+    """Documents stand in for reports."""
+    return reports.report_blocks(_t(spark, d, "documents").select(F.col("doc_id").alias("report_id"), F.col("text").alias("markdown")))
