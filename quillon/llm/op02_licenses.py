@@ -124,3 +124,32 @@ def tree(docs: DataFrame) -> DataFrame:
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = licenses(tree(common.table(spark, sf_dir, "documents")))
     return got.where("doc_id is not null").select("doc_id", "path", "license", "score", "how")
+
+
+# DuckDB: the same scores of every block against every template, and inheritance by path prefixes.
+_ROWS = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(TEMPLATES))
+_TREE = ", ".join(f"('{path}', '{dict(TEMPLATES[::-1])[name]}')" for path, name in TREE)
+_TERMS = "list_distinct([x FOR x IN regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+') IF x <> ''])"
+SQL = f"""
+WITH tpl AS (SELECT k, license, {_TERMS.format("text")} AS ts FROM (VALUES {_ROWS}) AS v(k, license, text)),
+tt AS (SELECT k, license, unnest(ts) AS t FROM tpl),
+vocab AS (SELECT DISTINCT t FROM tt),
+docs AS (SELECT row_number() OVER () AS f, doc_id, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || doc_id || '.txt' AS path, regexp_split_to_array(coalesce(text, ''), '\n') AS parts FROM documents),
+files AS (SELECT f, doc_id, path, parts FROM docs UNION ALL SELECT -row_number() OVER (), NULL, path, [text] FROM (VALUES {_TREE}) AS v(path, text)),
+lines AS (SELECT f, unnest(parts) AS line, generate_subscripts(parts, 1) AS b FROM files),
+blocks AS (SELECT f, b, ts FROM (SELECT f, b, {_TERMS.format("line")} AS ts FROM lines) WHERE len(ts) > 0),
+terms AS (SELECT f, b, unnest(ts) AS t FROM blocks),
+total AS (SELECT count(*) AS n FROM blocks),
+idf AS (SELECT t, ln((1 + any_value(n)) / (1 + count(f))) + 1 AS w FROM vocab LEFT JOIN terms USING (t), total GROUP BY t),
+known AS (SELECT f, b, t, w FROM terms JOIN idf USING (t)),
+size AS (SELECT f, b, len(ts) AS m FROM blocks),
+norm AS (SELECT f, b, sum(w * w) + (any_value(m) - count(*)) * pow(ln(1 + any_value(n)) + 1, 2) AS norm2 FROM known JOIN size USING (f, b), total GROUP BY f, b),
+tnorm AS (SELECT k, license, sum(w * w) AS tnorm2 FROM tt JOIN idf USING (t) GROUP BY k, license),
+dots AS (SELECT f, b, k, sum(w * w) AS dot FROM known JOIN tt USING (t) GROUP BY f, b, k),
+scores AS (SELECT f, license, round(dot / sqrt(norm2 * tnorm2), 6) AS score FROM dots JOIN norm USING (f, b) JOIN tnorm USING (k)),
+own AS (SELECT f, max(score) AS score, arg_min(license, (-score, license)) AS license FROM scores WHERE score >= {THRESHOLD} GROUP BY f),
+held AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, license FROM files JOIN own USING (f) WHERE doc_id IS NULL),
+near AS (SELECT f, arg_max(held.license, length(dir)) AS license FROM docs JOIN held ON starts_with(path, dir || '/') GROUP BY f)
+SELECT doc_id, path, coalesce(own.license, near.license) AS license, own.score, CASE WHEN own.license IS NOT NULL THEN 'own' WHEN near.license IS NOT NULL THEN 'inherited' END AS how
+FROM docs LEFT JOIN own USING (f) LEFT JOIN near USING (f)
+"""
