@@ -438,3 +438,18 @@ def brute_force(rows: list[tuple[int, bytes]], span: int = SPAN) -> dict[int, tu
         runs = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
         out[d] = (len(t), sum(gone), runs, hashlib.sha256(kept).hexdigest())
     return out
+
+
+# DuckDB: every window by its bytes (in hex), without transforms.
+SQL = f"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, i, substr(x, 2 * i + 1, {2 * SPAN}) AS s FROM h, LATERAL (SELECT unnest(range(0, CAST(length(x) / 2 AS BIGINT) - {SPAN - 1})) AS i)),
+f AS (SELECT s, min({{'d': doc_id, 'i': i}}) AS first FROM w GROUP BY s HAVING count(*) > 1),
+r AS (SELECT doc_id, i FROM w JOIN f USING (s) WHERE doc_id <> first.d OR i <> first.i),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {SPAN} THEN 0 ELSE 1 END AS new FROM r)),
+t AS (SELECT doc_id, min(i) AS a, max(i) + {SPAN} AS b FROM g GROUP BY doc_id, run),
+k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM t),
+c AS (SELECT k.doc_id, sum(b - a) AS gone, count(*) AS n, max(b) AS last, string_agg(substr(x, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS head FROM k JOIN h USING (doc_id) GROUP BY k.doc_id)
+SELECT doc_id, CAST(length(x) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM h LEFT JOIN c USING (doc_id)
+"""

@@ -210,3 +210,22 @@ def brute_force(rows: list[tuple[int, str | None]], least: int = MIN_WORDS) -> d
         kept = b"\n".join(x for k, x in enumerate((t or "").encode().split(b"\n")) if k not in drop)
         out[d] = (len(drop), hashlib.sha256(kept).hexdigest())
     return out
+
+
+# DuckDB: every window by its text, without fingerprints.
+SQL = f"""
+WITH p AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+l AS (SELECT doc_id, unnest(parts) AS raw, generate_subscripts(parts, 1) AS k FROM p),
+u AS (SELECT doc_id, k, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS x, len(regexp_extract_all(raw, '[^\\x20\\x09-\\x0D]+')) AS w FROM l),
+c AS (SELECT doc_id, k, x, row_number() OVER d AS i, sum(w) OVER d AS cum, sum(w) OVER d - w AS before FROM u WHERE w > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY k)),
+a AS (SELECT doc_id, list(x ORDER BY i) AS xs, list(k ORDER BY i) AS ks FROM c GROUP BY doc_id),
+e AS (SELECT c.doc_id, c.i, b.i AS j FROM c ASOF JOIN c b ON c.doc_id = b.doc_id AND b.cum >= c.before + {MIN_WORDS}),
+w AS (SELECT doc_id, i, j, row_number() OVER (PARTITION BY array_to_string(xs[i:j], chr(10)) ORDER BY doc_id, i) AS turn FROM e JOIN a USING (doc_id)),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM w WHERE turn > 1),
+r AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM g),
+d AS (SELECT r.doc_id, count(*) AS n, count_if(coalesce(gap, 2) > 1) AS runs, list(k) AS ks FROM r JOIN c ON c.doc_id = r.doc_id AND c.i = r.i GROUP BY r.doc_id),
+o AS (SELECT p.doc_id, coalesce(len(a.ks), 0) AS n_lines, coalesce(d.n, 0) AS n_removed_lines, coalesce(runs, 0) AS n_runs,
+  CASE WHEN d.n IS NULL THEN text ELSE array_to_string([x FOR x, k IN parts IF NOT list_contains(d.ks, k)], chr(10)) END AS text
+  FROM p LEFT JOIN a USING (doc_id) LEFT JOIN d USING (doc_id))
+SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed_lines AS BIGINT) AS n_removed_lines, CAST(n_runs AS BIGINT) AS n_runs, sha256(coalesce(text, '')) AS kept_sha256, text FROM o
+"""

@@ -125,3 +125,33 @@ def kept_rows(docs: DataFrame) -> DataFrame:
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(common.table(spark, sf_dir, "documents"))
+
+
+# DuckDB: exact quartiles. The sketches are exact too while a group has fewer than KLL documents;
+# beyond that a document close to a threshold may be judged otherwise.
+def _sql() -> str:
+    names = list(METRICS)
+    q = lambda alias: ", ".join(f"quantile_disc({m}, 0.25) AS {alias}1_{m}, quantile_disc({m}, 0.75) AS {alias}3_{m}" for m in names)
+    pick = lambda m, k: f"CASE WHEN s.n >= {GROUP_MIN} THEN s{k}_{m} WHEN l.n >= {GROUP_MIN} THEN l{k}_{m} ELSE a{k}_{m} END"
+    bounds = ", ".join(f"{pick(m, 1)} AS q1_{m}, {pick(m, 3)} AS q3_{m}" for m in names)
+    reach = lambda m: f"{FENCE} * greatest(q3_{m} - q1_{m}, {METRICS[m][0]})"
+    fits = " AND ".join(f"coalesce({m} <= q3_{m} + {reach(m)}" + (f" AND {m} >= q1_{m} - {reach(m)}" if METRICS[m][1] else "") + ", true)" for m in names)
+    return f"""
+WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS x FROM documents),
+w AS (SELECT *, regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+') AS ws, [y FOR y IN string_split(x, chr(10)) IF regexp_matches(y, '[^\\x20\\x09-\\x0D]')] AS ls FROM t),
+k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i+4], ' ')) AS c FROM w, LATERAL (SELECT unnest(range(1, len(ws) - 3)) AS i)),
+r AS (SELECT doc_id, sum(own) AS n FROM (SELECT doc_id, least(5, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i), 5)) AS own FROM k WHERE c > 1) GROUP BY doc_id),
+b AS (SELECT doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(x, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(x, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, len(ls) AS nl, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN r USING (doc_id)),
+m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_symbols / CAST(greatest(n_words, 1) AS DOUBLE) AS m_symbols, n_dup_lines / CAST(greatest(nl, 1) AS DOUBLE) AS m_dup_lines, word_chars / CAST(greatest(n_words, 1) AS DOUBLE) AS m_word_chars FROM b),
+g AS (SELECT * FROM m WHERE NOT base_failed),
+s AS (SELECT lang, source, count(*) AS n, {q("s")} FROM g GROUP BY lang, source),
+l AS (SELECT lang, count(*) AS n, {q("l")} FROM g GROUP BY lang),
+a AS (SELECT {q("a")} FROM g),
+q AS (SELECT s.lang, s.source, {bounds} FROM s JOIN l ON s.lang IS NOT DISTINCT FROM l.lang, a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {fits} AS kept
+FROM m LEFT JOIN q ON m.lang IS NOT DISTINCT FROM q.lang AND m.source IS NOT DISTINCT FROM q.source
+"""
+
+
+SQL = _sql()
