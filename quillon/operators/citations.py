@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Sentence breaks, the window's least side and largest size, the placeholder format.
+# Sentence breaks, the window's least side and largest size, the placeholder format,
+# and what counts as an anchor inside a quote.
 BREAKS = "。！？；\\n"
 SIDE, TOTAL, CLIP = 48, 180, 40
 PLACEHOLDER = r"(?i)(?:PERSON|NAME|PHONE|ACCOUNT|ID|ORG|ORGANIZATION|DEVICE|BANK_CARD|CREDIT_CARD)_[a-f0-9]{1,16}"
+INNER, RUN = "[“「\"']([^”」\"']{2,40})[”」\"']", "[\\x{4e00}-\\x{9fff}]{2,12}(?:有限公司|公司|银行|账户)?"
 
 
 def _s(c: Column) -> Column:
@@ -164,8 +166,8 @@ def quote_variants(quote: Column) -> Column:
 def anchor_terms(quote: Column, terms: Column) -> Column:
     """Given terms, then what the quote itself sets in quotation marks, then its runs of Chinese."""
     q = _s(quote)
-    inner = F.regexp_extract_all(q, F.lit("[“「\"']([^”」\"']{2,40})[”」\"']"), F.lit(1))
-    runs = F.regexp_extract_all(q, F.lit("[\\x{4e00}-\\x{9fff}]{2,12}(?:有限公司|公司|银行|账户)?"), F.lit(0))
+    inner = F.regexp_extract_all(q, F.lit(INNER), F.lit(1))
+    runs = F.regexp_extract_all(q, F.lit(RUN), F.lit(0))
     given = F.transform(F.coalesce(terms, F.array().cast("array<string>")), lambda t: F.trim(_s(t)))
     return F.array_distinct(F.filter(F.concat(given, inner, runs), lambda t: F.length(t) >= 2))
 

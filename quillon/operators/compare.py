@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from . import citations
 
-# Labels that name bystanders, values that mean none, and the most rows of a table.
+# Patterns of labels and keys, values that mean none, and the most rows of a table.
+RELATED = "关联|related|associated|同段|其他人员|对手"
+NAME_KEY, NAME_LABEL = "(^|_)(name|person_name|primary_name)(_|$)", "姓名|称谓|主标识|人物名称"
+ACCOUNT = "account|card|账户|账号|卡号"
 BYSTANDERS = "同段其他|关联人员|其他被告人|其他人员"
 NO_VALUE = ("null", "none", "未记载", "无")
 TABLE_ROWS = 7
@@ -29,14 +32,14 @@ def field_matrix(cells: DataFrame, scaffold: DataFrame) -> DataFrame:
 
 def primary_name(key, label):
     """Whether a row of a field table is the one of the person's own name."""
-    other = F.lower(F.concat_ws(" ", key, label)).rlike("关联|related|associated|同段|其他人员|对手")
-    return ~other & (key.rlike("(^|_)(name|person_name|primary_name)(_|$)") | label.rlike("姓名|称谓|主标识|人物名称"))
+    other = F.lower(F.concat_ws(" ", key, label)).rlike(RELATED)
+    return ~other & (key.rlike(NAME_KEY) | label.rlike(NAME_LABEL))
 
 
 def plausible(key, label, value):
     """Account fields take tails, masked numbers and 11 to 19 digits; no field takes a bare person placeholder."""
     n = F.length(F.regexp_replace(value, "[^0-9]", ""))
-    account = F.lower(F.concat_ws(" ", key, label)).rlike("account|card|账户|账号|卡号")
+    account = F.lower(F.concat_ws(" ", key, label)).rlike(ACCOUNT)
     return ~value.startswith("PERSON_") & (~account | (n <= 6) | value.rlike("[*＊]") | n.between(11, 19))
 
 
