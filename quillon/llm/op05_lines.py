@@ -1,17 +1,20 @@
 """Line dedup: winnowing over line hashes, later repeated runs are deleted.
 
-The units are the lines that hold a word, compared without the white space around them. From
-each line starts a window: the fewest lines that hold `min_words` words together. A line is
-deleted if a window over it also starts earlier in the corpus (smaller doc_id, or an earlier line
-of the same document), judged on the input. So a run of lines goes exactly if it holds at least
-`min_words` words and repeats an earlier run, and its first occurrence stays.
+The units are the lines that hold a word, compared without the white space around them. A line is
+deleted if it lies in a run of lines that holds at least `min_words` words together and that also
+starts earlier in the corpus (smaller doc_id, or an earlier line of the same document), judged on
+the input; the first occurrence of a run stays.
+
+Windows: from each line starts the fewest lines that hold `min_words` words, and with each line
+ends the fewest that do. In a repeated run, the window from its first line and the windows that
+end at the lines behind that one cover every line, so a line lies in a repeated run exactly if a
+repeated window covers it: matches are extended to the left and right up to where the runs differ.
 
 Winnowing: the smallest line hash of a window is its fingerprint, chosen by content alone, so
-equal runs share it wherever they are (guaranteed for runs of a window or more). Positions are
-joined on fingerprints; a fingerprint met once ends there. Where it is met again, the windows
-around it are compared, which extends a match to both sides as far as the runs agree; windows
-that overlap make up the run. A window that a batch holds twice is known to be later there, and
-goes to the join once, so a passage in a third of all rows costs a row per batch.
+equal windows share it wherever they are. Positions are joined on fingerprints; a fingerprint met
+once ends there. Where it is met again, the windows around it are compared; windows that overlap
+make up the run. A window that a batch holds twice is known to be later there, and goes to the
+join once, so a passage in a third of all rows costs a row per batch.
 
 Blank lines stay. Null text stays null. Rows that share a doc_id are told apart by their text;
 rows repeated in full are one document and are treated alike. A null doc_id comes first. An empty
@@ -56,13 +59,18 @@ def lines_of(data: np.ndarray, offs: np.ndarray):
 
 
 def windows_of(h: np.ndarray, words: np.ndarray, bounds: np.ndarray, least: int):
-    """Of each line that starts a window: line, lines in the window, window hash, fingerprint."""
+    """Of each window that a line starts or ends: first line, lines, window hash, fingerprint."""
     n = len(h)
     total = np.concatenate(([0], np.cumsum(words)))
     end = np.searchsorted(total, total[:-1] + least)  # first end with enough words
     doc_end = np.repeat(bounds[1:], np.diff(bounds))
     at = np.flatnonzero(end <= doc_end) if n else np.zeros(0, np.int64)
     end = end[at]
+    start = np.searchsorted(total, total[1:] - least, "right") - 1  # last start with enough words
+    last = np.flatnonzero(start >= np.repeat(bounds[:-1], np.diff(bounds))) if n else np.zeros(0, np.int64)
+    start = start[last]
+    more = total[last] - total[start] >= least  # else its first line starts the same window
+    at, end = np.concatenate((at, start[more])), np.concatenate((end, last[more] + 1))
     with np.errstate(over="ignore"):
         p, q = common.powers(n + 1)
         s = np.zeros(n + 1, np.uint64)
