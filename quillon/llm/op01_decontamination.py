@@ -3,9 +3,9 @@
 A document holds an item if some window of it, as long as the item in words, has a weighted
 5-word-shingle similarity (sum of smaller counts over sum of larger ones) of 0.75 or more with it.
 
-1. Such a window shares a shingle with the item, so windows are cut only where a document's
-   shingle is one of the benchmark's, aligned to that shingle's place in the item: every edit
-   leaves some shingles aligned, and nothing within the threshold is lost.
+1. A window within the threshold holds a certain number of places whose shingle is the item's, of
+   its own length and the item's. Every window with that many is cut, wherever it starts and in
+   whatever order the shingles come; no other can reach the threshold.
 2. Each window gets a 64-bit SimHash of its weighted shingles. The items' fingerprints are indexed by
    item size in 13 blocks, each with its neighbours at one bit: two fingerprints that differ in
    at most 25 bits agree up to one bit in some block, so the block join finds all within the
@@ -96,11 +96,33 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     return b.dropDuplicates(["item_id", "ref"]).withColumn("ih", simhash(F.col("ig")))
 
 
+def _needed(sizes: Column) -> Column:
+    """Fewest common shingles of a window and an item of so many shingles together."""
+    return F.ceil(NUM * sizes / (NUM + DEN)).cast("int")
+
+
+def _starts(at: Column, need: Column, span: Column, m: Column) -> Column:
+    """Ranges (lo, hi) of starts of the windows of `span` of `m` places that hold `need` of the sorted places `at`."""
+
+    def led(j: Column) -> Column:
+        """Of the windows whose first held place is the j-th."""
+        low = F.greatest(F.when(j > 0, F.get(at, j - 1) + 1).otherwise(F.lit(0)), F.get(at, j + need - 1) - span + 1, F.lit(0))
+        return F.struct(low.alias("lo"), F.least(F.get(at, j), F.greatest(m - span, F.lit(0))).alias("hi"))
+
+    def joined(r: Column) -> Column:
+        """Ranges that follow each other without a gap, as one."""
+        heads = F.filter(r, lambda x, i: (i == 0) | (F.get(r, i - 1)["hi"] + 1 < x["lo"]))
+        tails = F.filter(r, lambda x, i: (i == F.size(r) - 1) | (F.get(r, i + 1)["lo"] > x["hi"] + 1))
+        return F.zip_with(heads, tails, lambda x, y: F.struct(x["lo"].alias("lo"), y["hi"].alias("hi")))
+
+    found = F.filter(F.transform(F.sequence(F.lit(0), F.size(at) - need), led), lambda x: x["lo"] <= x["hi"])
+    return F.get(F.transform(F.array(found), joined), 0)
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, _tag, item_id, start_word, n_words, hamming, similarity): best window of each pair."""
     items = common.written(items_of(benchmark))
-    places = items.select("ref", "n", F.posexplode("ig").alias("at", "g")).groupBy("ref", "n", "g").agg(F.min("at").alias("at"))
-    places = common.written(places)
+    places = common.written(items.select("ref", "n", F.explode("ig").alias("g")).distinct())
     if places.count() <= BROADCAST:
         places = F.broadcast(places)
     src = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("_tag"), F.col("text").cast("string").alias("text"))
@@ -109,13 +131,16 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = dg.select("doc_id", "_tag", F.size("dg").alias("m"), F.posexplode_outer("dg").alias("pos", "g")).join(places, "g")
     # windows of as many shingles as the item has, inside the document
     span = F.greatest(F.col("n") - 4, F.lit(1))
-    start = F.greatest(F.least(F.col("pos") - F.col("at"), F.col("m") - span), F.lit(0))
-    cand = common.written(hits.select("doc_id", "_tag", "n", start.alias("start"), span.alias("span")).distinct())
-    per = cand.groupBy("doc_id", "_tag").agg(F.collect_set(F.struct("n", "start", "span")).alias("wins")).withColumnsRenamed({"doc_id": "_d", "_tag": "_t"})
+    held = hits.groupBy("doc_id", "_tag", "ref", "n", "m").agg(F.collect_set("pos").alias("at")).withColumn("span", span)
+    held = held.withColumn("need", _needed(F.least("m", "span") + F.col("span"))).where(F.size("at") >= F.col("need")).withColumn("at", F.array_sort("at"))
+    cand = held.select("doc_id", "_tag", "n", "span", F.explode(_starts(F.col("at"), F.col("need"), F.col("span"), F.col("m"))).alias("r"))
+    cand = common.written(cand.select("doc_id", "_tag", "n", "span", "r.lo", "r.hi").distinct())
+    per = cand.groupBy("doc_id", "_tag").agg(F.collect_set(F.struct("n", "span", "lo", "hi")).alias("wins")).withColumnsRenamed({"doc_id": "_d", "_tag": "_t"})
     held = src.join(per, src["doc_id"].eqNullSafe(per["_d"]) & (src["_tag"] == per["_t"]))
     held = _with_grams(held, "wins")
-    win = held.select("doc_id", "_tag", F.explode_outer(F.transform("wins", lambda x: F.struct(x["n"].alias("n"), x["start"].alias("start"), F.slice(F.col("dg"), x["start"] + 1, x["span"]).alias("wg")))).alias("x"))
-    win = common.written(win.select("doc_id", "_tag", "x.n", "x.start", "x.wg").distinct().withColumn("wh", simhash(F.col("wg"))))
+    win = held.select("doc_id", "_tag", "dg", F.explode_outer("wins").alias("x")).select("doc_id", "_tag", "dg", "x.n", "x.span", F.explode_outer(F.sequence("x.lo", "x.hi")).alias("start"))
+    win = win.select("doc_id", "_tag", "n", "start", F.slice("dg", F.col("start") + 1, F.col("span")).alias("wg"))
+    win = common.written(win.distinct().withColumn("wh", simhash(F.col("wg"))))
     left = win.withColumn("b", F.explode(_block_values(F.col("wh"))))
     right = items.select("n", "item_id", "ref", "ih", F.explode(_neighbours(F.col("ih"))).alias("b"))
     near = left.join(right, ["n", "b"]).where(F.bit_count(F.col("wh").bitwiseXOR(F.col("ih"))) <= RADIUS)

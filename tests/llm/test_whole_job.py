@@ -2,7 +2,11 @@
 
 import hashlib
 import random
+from collections import Counter
 
+import pytest
+
+from quillon.llm import op01_decontamination as op1
 from quillon.llm import op05_lines as op5
 
 R = random.Random(11)
@@ -44,3 +48,37 @@ def test_lines_go_with_their_whole_run(spark):
     assert got == maximal_runs(rows)
     assert got[1] == (2, hashlib.sha256(texts[1].split("\n")[0].encode()).hexdigest()) and got[2][0] == 2
     assert op5.brute_force(rows) != got
+
+
+def shingles(t):
+    w = (t or "").lower().split()
+    return [tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else ([tuple(w)] if w else [])
+
+
+def all_windows(rows, items):
+    """{(doc_id, item_id): best similarity of 0.75 or more}, by every window."""
+    out = {}
+    for d, t in rows:
+        g = shingles(t)
+        for item, x in items:
+            c, n = Counter(shingles(x)), len(shingles(x))
+            for s in range(max(1, len(g) - n + 1)) if n else ():
+                w = Counter(g[s : s + n])
+                low = sum((w & c).values())
+                if 4 * low >= 3 * (sum(w.values()) + n - low):
+                    out[d, item] = max(out.get((d, item), 0), low / (sum(w.values()) + n - low))
+    return out
+
+
+def test_items_are_found_swapped_rotated_and_trimmed(spark):
+    a, b, c, rep = words(80).split(), words(60).split(), words(80).split(), words(6)
+    items = [(0, " ".join(a)), (1, " ".join(b)), (2, " ".join(c)), (3, " ".join([rep] * 5)), (4, "p q r"), (5, words(5)), (6, None)]
+    texts = [[*a[40:], *a[:40]], [*b[20:], *b[:20]], [*c[2:40], *words(5).split(), *c[40:78]]]
+    rows = [(i, " ".join([words(25), *t, words(25)])) for i, t in enumerate(texts)]
+    rows += [(3, " ".join([rep] * 9)), (4, "P q  r"), (5, items[5][1]), (6, " ".join(a[:70])), (7, " ".join(a[:60])), (8, " ".join([*a[33:], *a[:33]])), (9, None), (10, " ".join([rep] * 4)), (None, " ".join(b))]
+    rows += [(20 + k, " ".join([words(k), *b[k:], words(4), *b[:k], *a])) for k in range(0, 60, 7)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string").repartition(5), spark.createDataFrame(items, "item_id long, text string")
+    want = all_windows(rows, items)
+    got = {(r.doc_id, r.item_id): r.similarity for r in op1.matches(docs, bench).collect()}
+    assert got == pytest.approx(want) and {(0, 0), (1, 1), (2, 2)} <= set(want)
+    assert {r.doc_id for r in op1.clean_rows(docs, bench).collect()} == {d for d, _ in rows} - {d for d, _ in want}
