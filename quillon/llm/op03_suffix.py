@@ -144,6 +144,8 @@ def repeated_anchors(src: DataFrame, buckets: int) -> DataFrame:
         if not len(ids):
             return
         o = np.lexsort((at, tags, ids))
+        # an anchor once per text: rows repeated in full give each again
+        o = o[np.concatenate(([True], (ids[o][1:] != ids[o][:-1]) | (tags[o][1:] != tags[o][:-1]) | (at[o][1:] != at[o][:-1])))]
         ids, tags, at = ids[o], tags[o], at[o]
         cut = np.concatenate(([0], np.flatnonzero((ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])) + 1, [len(ids)]))
         yield pa.RecordBatch.from_arrays([pa.array(ids[cut[:-1]]), pa.array(tags[cut[:-1]]), pa.array([at[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["_id", "_tag", "at"])
@@ -178,19 +180,23 @@ def contexts(src: DataFrame, marks: DataFrame, buckets: int) -> DataFrame:
             ids, tags = rb.column("_id").to_numpy()[own], rb.column("_tag").to_numpy()[own]
             order = np.lexsort((lo, tags, ids))
             raw = data.tobytes()
-            seen: set[bytes] = set()
-            bodies, later = [b""] * len(own), np.zeros(len(own), bool)
+            seen: dict[bytes, tuple] = {}
+            bodies, later, again = [b""] * len(own), np.zeros(len(own), bool), np.zeros(len(own), bool)
+            places = list(zip(ids.tolist(), tags.tolist(), (lo - offs[own]).tolist(), strict=True))
             los, his = lo.tolist(), (hi + SPAN).tolist()
             for i in order.tolist():
                 x = raw[los[i] : his[i]]
-                if x in seen:
-                    later[i] = True
-                else:
-                    seen.add(x)
+                first = seen.setdefault(x, places[i])
+                if first is places[i]:
                     bodies[i] = x
+                elif first == places[i]:
+                    again[i] = True  # the same place, in a row repeated in full
+                else:
+                    later[i] = True
             with np.errstate(over="ignore"):
                 b = np.where(later, common.mix(ids.view(np.uint64)) % _U(buckets), h % _U(buckets)).astype(np.int64)
             r = np.argsort(b, kind="stable")
+            r = r[~again[r]]
             g = common.group_bounds(b[r])
             wins = np.where(later, 0, hi - lo + 1).astype(np.uint16)
             lens = (hi - lo + SPAN).astype(np.uint32)

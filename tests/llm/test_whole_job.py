@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 
 from quillon.llm import op01_decontamination as op1
+from quillon.llm import op03_suffix as op3
 from quillon.llm import op05_lines as op5
 
 R = random.Random(11)
@@ -82,3 +83,13 @@ def test_items_are_found_swapped_rotated_and_trimmed(spark):
     got = {(r.doc_id, r.item_id): r.similarity for r in op1.matches(docs, bench).collect()}
     assert got == pytest.approx(want) and {(0, 0), (1, 1), (2, 2)} <= set(want)
     assert {r.doc_id for r in op1.clean_rows(docs, bench).collect()} == {d for d, _ in rows} - {d for d, _ in want}
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_rows_repeated_in_full_keep_their_text(spark, parts):
+    passage = words(60)
+    rows = [(0, words(50)), (1, passage), (2, f"{words(9)} {passage} {words(9)}"), (3, words(30) + passage), (4, "z " * 300), (5, "short"), (6, None), (7, f"{passage}\n{passage}")]
+    docs = spark.createDataFrame(rows * 2, "doc_id long, text string").repartition(parts)
+    want = op3.brute_force([(d, (t or "").encode()) for d, t in rows])
+    got = Counter((r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in op3.deduplicated(docs).collect())
+    assert got == {(d, v): 2 for d, v in want.items()} and want[0][1] == 0 < want[2][1]
