@@ -125,7 +125,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """n + 1 prefix sums; span_hash() takes any span's hash from them."""
+    """n + 1 prefix sums; span_hash() takes any span's hash from them. Fast, and for short spans
+    whose bytes are compared afterwards: spans of 1,024 bytes and more can be made to clash."""
     p, _ = powers(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * p[: len(data)], dtype=np.uint64, out=out[1:])
@@ -137,6 +138,60 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return (prefix[end] - prefix[start]) * q[start]
 
 
+PRIME = _U(2**31 - 1)
+_BASES = tuple(int(x) for x in _rng.integers(2**29, 2**31 - 2, 2))
+_STEP = 1 << 20
+_tables: list = []
+
+
+def _field(x: np.ndarray) -> np.ndarray:
+    """Values of fewer than 62 bits modulo 2^31 - 1."""
+    x = (x & PRIME) + (x >> _U(31))
+    x = (x & PRIME) + (x >> _U(31))
+    return np.where(x == PRIME, _U(0), x)
+
+
+def _power_tables() -> list:
+    """Of each base: its powers below _STEP, and those of its inverse, in the field."""
+    if not _tables:
+        for base in _BASES:
+            pair = []
+            for b in (base, pow(base, -1, int(PRIME))):
+                x, m = np.ones(_STEP, np.uint64), 1
+                while m < _STEP:
+                    x[m : 2 * m] = _field(x[:m] * _U(pow(b, m, int(PRIME))))
+                    m *= 2
+                pair.append(x)
+            _tables.append((base, *pair))
+    return _tables
+
+
+def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of any spans of `data` by their bytes: polynomials at two random points of a
+    prime field, so no texts of a form (say, of two letters in Thue and Morse's order) clash.
+    Powers are kept for _STEP places; longer data are taken in steps."""
+    out = (end - start).astype(np.uint64)
+    inv = start % _STEP
+    for base, p, q in _power_tables():
+        prefix = np.zeros(len(data) + 1, np.uint64)
+        for at in range(0, len(data), _STEP):
+            part = data[at : at + _STEP]
+            sums = np.cumsum((part.astype(np.uint64) + _U(1)) * p[: len(part)])
+            if at:
+                sums = _field(_field(sums) * _U(pow(base, at, int(PRIME)))) + prefix[at]
+            prefix[at + 1 : at + 1 + len(part)] = sums
+            if at + _STEP < len(data):
+                prefix[at + len(part)] = prefix[at + len(part)] % PRIME
+        x = _field(_field(_field(prefix[end]) + PRIME - _field(prefix[start])) * q[inv])
+        if len(data) > _STEP:
+            far = pow(pow(base, _STEP, int(PRIME)), -1, int(PRIME))
+            steps = np.array([pow(far, k, int(PRIME)) for k in range(len(data) // _STEP + 1)], np.uint64)
+            x = _field(x * steps[start // _STEP])
+        with np.errstate(over="ignore"):
+            out = mix(out + (x << _U(20)) + x)
+    return out
+
+
 def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words `[^\\x20\\x09-\\x0D]+`, and each text's first word (n + 1 bounds)."""
     w = ~_IS_SPACE[data]

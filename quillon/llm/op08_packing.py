@@ -2,9 +2,13 @@
 
 The corpus is read once: a tokenising pass gives thin piece rows (no ids), which are written to
 the shared folder. Only the histogram of piece lengths, at most `size` rows, reaches the driver.
-There multiplicative weights price configurations with a knapsack DP, the fractional solution is
-rounded down, and the rest is placed by best fit on the histogram. Rows then find their sequence
-through their rank within their length, counted in hash buckets so that a hot length is split.
+There multiplicative weights price configurations with a knapsack DP, whose first prices give a
+dual bound; lengths are answered by the best full configurations in whole steps, so the solution
+is rounded down as it grows. At least nine tenths of the pieces are placed so; the last few per
+cent, an even sample of all lengths by then, fill up by best fit. Plain best fit of all is computed
+too, and is taken should it need fewer sequences. Rows then find their sequence through their rank
+within their length, counted in hash buckets so that a hot length is split.
+Ids of a word are found by hash, and the word's bytes are compared with those they were made from.
 
 Null text is the empty text (the end id alone). Repeated rows are packed each on their own. An
 empty table gives no rows. Other columns are ignored, whatever their names.
@@ -53,6 +57,9 @@ class WordEncoder:
         self.first = np.zeros(1 << TABLE_BITS, np.int64)
         self.count = np.zeros(1 << TABLE_BITS, np.int32)
         self.pool, self.held, self.units = np.zeros(1 << 20, np.uint32), 0, 0
+        self.spell = np.zeros(1 << TABLE_BITS, np.int64)  # where a unit's bytes are, and how many
+        self.size = np.zeros(1 << TABLE_BITS, np.int64)
+        self.letters, self.spelt = np.zeros(1 << 20, np.uint8), 0
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Slots of hashes, -1 if absent."""
@@ -67,7 +74,7 @@ class WordEncoder:
             open_ = open_[self.keys[slot[open_]] != h[open_]]
         return slot
 
-    def insert(self, h: np.ndarray, first: np.ndarray, count: np.ndarray) -> None:
+    def insert(self, h: np.ndarray, first: np.ndarray, count: np.ndarray, spell: np.ndarray, size: np.ndarray) -> None:
         """Distinct hashes that are absent."""
         mask = len(self.keys) - 1
         slot, left = (h & np.uint64(mask)).astype(np.int64), np.arange(len(h))
@@ -76,14 +83,21 @@ class WordEncoder:
             self.keys[slot[free]] = h[free]
             won = free[self.keys[slot[free]] == h[free]]
             self.first[slot[won]], self.count[slot[won]] = first[won], count[won]
+            self.spell[slot[won]], self.size[slot[won]] = spell[won], size[won]
             left = np.setdiff1d(left, won, assume_unique=True)
             slot[left] = (slot[left] + 1) & mask
         self.units += len(h)
 
-    def learn(self, h: np.ndarray, units: list[str]) -> None:
+    def learn(self, h: np.ndarray, raw: list[bytes]) -> None:
         """One call for many units: tokens go back to units by their place in the joined text."""
-        for i in range(0, len(units), 4096):
-            some = units[i : i + 4096]
+        for i in range(0, len(raw), 4096):
+            some = [x.decode("utf-8", "replace") for x in raw[i : i + 4096]]
+            size = np.fromiter(map(len, raw[i : i + 4096]), np.int64, len(some))
+            while self.spelt + int(size.sum()) > len(self.letters):
+                self.letters = np.concatenate((self.letters, np.zeros_like(self.letters)))
+            spell = self.spelt + np.cumsum(size) - size
+            self.letters[self.spelt : self.spelt + int(size.sum())] = np.frombuffer(b"".join(raw[i : i + 4096]), np.uint8)
+            self.spelt += int(size.sum())
             got = self.tok.encode(" ".join(some), add_special_tokens=False)
             ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)
             at = np.fromiter((a for a, _ in got.offsets), np.int64, len(got.ids))
@@ -93,7 +107,7 @@ class WordEncoder:
                 self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
             self.pool[self.held : self.held + n] = got.ids
             counts = np.diff(cuts, prepend=0)
-            self.insert(h[i : i + 4096], self.held + cuts - counts, counts)
+            self.insert(h[i : i + 4096], self.held + cuts - counts, counts, spell, size)
             self.held += n
 
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -116,26 +130,57 @@ class WordEncoder:
         raw = data.tobytes()
         # a special token's string is found before lower-casing, so it must keep its case
         low = data if b"<|" in raw else common.lower(data)
-        with np.errstate(over="ignore"):
-            h = common.mix(common.span_hash(common.prefix_hash(low), a, b) + (b - a).astype(np.uint64)) | np.uint64(1)
+        h = common.spans_hash(low, a, b) | np.uint64(1)
         slot = self.find(h)
         new, where = np.unique(h[slot < 0], return_index=True)
         if self.units + len(new) > len(self.keys) // 2:
             self.clear()
             new, where = np.unique(h, return_index=True)
             while 2 * len(new) > len(self.keys):
-                self.keys, self.first, self.count = (np.concatenate((x, x)) for x in (self.keys, self.first, self.count))
+                self.keys, self.first, self.count, self.spell, self.size = (np.concatenate((x, x)) for x in (self.keys, self.first, self.count, self.spell, self.size))
         else:
             where = np.flatnonzero(slot < 0)[where]
         if len(new):
             raw = low.tobytes()
-            self.learn(new, [raw[x:y].decode("utf-8", "replace") for x, y in zip(a[where].tolist(), b[where].tolist(), strict=True)])
+            self.learn(new, [raw[x:y] for x, y in zip(a[where].tolist(), b[where].tolist(), strict=True)])
             slot = self.find(h)
+        clash = self.differ(low, a, b, slot)
+        if len(clash):  # two units of one hash: texts that hold the other one are encoded as they are
+            bad = np.unique(np.searchsorted(np.append(pos, len(a))[first], clash, "right") - 1)
+            return self.patched(col, slot, pos, first, len(a), bad)
         count = self.count[slot].astype(np.int64)
         total = np.concatenate(([0], np.cumsum(count)))
         ids = self.pool[np.repeat(self.first[slot] - total[:-1], count) + np.arange(total[-1])]
         return ids, total[np.append(pos, len(a))[first]]
 
+    def differ(self, low: np.ndarray, a: np.ndarray, b: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Units whose bytes are not those that the ids in their slot were made from."""
+        n = b - a
+        odd = n != self.size[slot]
+        shift = self.spell[slot] - a
+        out = [np.flatnonzero(odd)]
+        for i in range(0, len(a), 1 << 16):
+            m = np.flatnonzero(~odd[i : i + (1 << 16)]) + i
+            k = n[m]
+            ends = np.cumsum(k)
+            if not len(m):
+                continue
+            here = np.repeat(a[m] - (ends - k), k) + np.arange(ends[-1])
+            wrong = self.letters[here + np.repeat(shift[m], k)] != low[here]
+            if wrong.any():
+                out.append(np.unique(m[np.searchsorted(ends, np.flatnonzero(wrong), "right")]))
+        return np.concatenate(out)
+
+    def patched(self, col, slot, pos, first, n, bad) -> tuple[np.ndarray, np.ndarray]:
+        count = self.count[slot].astype(np.int64)
+        total = np.concatenate(([0], np.cumsum(count)))
+        at = total[np.append(pos, n)[first]]
+        ids = self.pool[np.repeat(self.first[slot] - total[:-1], count) + np.arange(total[-1])]
+        texts = [ids[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+        for d in bad.tolist():
+            texts[d] = np.array(self.tok.encode(col[d].as_py() or "", add_special_tokens=False).ids, np.uint32)
+        return np.concatenate(texts), np.concatenate(([0], np.cumsum([len(x) for x in texts])))
+
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -170,66 +215,93 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(common.trimming(run), PIECES)
 
 
-def price(value: np.ndarray, lengths: np.ndarray, most: np.ndarray, size: int) -> dict[int, int]:
-    """Knapsack DP: the configuration of largest total value in `size` tokens (index: count)."""
-    best, last = np.zeros(size + 1), np.full(size + 1, -1)
+def price(value: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Knapsack DP over lengths: of each capacity the largest total value, and a length of a
+    configuration that has it (0: the capacity below is as good). `value` is by length, from 0."""
+    best, last = np.zeros(size + 1), np.zeros(size + 1, np.int64)
     for c in range(1, size + 1):
-        k = int(np.searchsorted(lengths, c, "right"))
-        best[c], last[c] = best[c - 1], -1
-        if k:
-            v = best[c - lengths[:k]] + value[:k]
-            i = int(v.argmax())
-            if v[i] > best[c]:
-                best[c], last[c] = v[i], i
-    out: dict[int, int] = {}
-    c = size
+        v = value[1 : c + 1] + best[c - 1 :: -1][:c]
+        i = int(v.argmax())
+        best[c], last[c] = (v[i], i + 1) if v[i] > best[c - 1] else (best[c - 1], 0)
+    return best, last
+
+
+def holding(ln: int, last: list[int], rest: np.ndarray, prices: np.ndarray, size: int) -> dict[int, int]:
+    """The configuration of largest value among those that hold a piece of `ln`, as far as there are
+    pieces; where a length runs out, the best one or two others that fill what is left."""
+    out, c = {ln: 1}, size - ln
     while c > 0:
-        if last[c] < 0:
-            c -= 1
+        k = last[c]
+        if k and out.get(k, 0) < rest[k]:
+            out[k] = out.get(k, 0) + 1
+            c -= k
             continue
-        i = int(last[c])
-        c -= int(lengths[i])
-        if out.get(i, 0) < most[i]:
-            out[i] = out.get(i, 0) + 1
+        there = rest[: c + 1] > 0
+        for k, m in out.items():
+            if k <= c and rest[k] <= m + 1:
+                there[k] = False  # one that may be taken twice must be there twice
+        if there[c]:
+            out[c] = out.get(c, 0) + 1
+            return out
+        pairs = np.flatnonzero(there & there[::-1])
+        if not len(pairs):
+            return out
+        x = int(pairs[int((prices[pairs] + prices[c - pairs]).argmax())])
+        if x == c - x and rest[x] < out.get(x, 0) + 2:
+            return out
+        for k in (x, c - x):
+            out[k] = out.get(k, 0) + 1
+        return out
     return out
 
 
-def configurations(hist: dict[int, int], size: int = SIZE, rounds: int = 300, eps: float = 0.5) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence in order, how many such sequences), covering `hist` exactly."""
-    left = {int(k): int(v) for k, v in hist.items() if v}
-    if not left:
-        return []
-    lengths = np.array(sorted(left))
-    n = np.array([left[int(x)] for x in lengths], float)
-    x: dict[tuple, float] = {}
-    weight, cover = np.ones(len(lengths)), np.zeros(len(lengths))
-    for _ in range(min(rounds, 4 * len(lengths))):
-        config = price(lengths * weight, lengths, n, size)
-        idx = np.array(list(config))
-        mult = np.array([config[i] for i in idx], float)
-        step = float((n[idx] / mult).min())
-        key = tuple(sorted(config.items()))
-        x[key] = x.get(key, 0.0) + step
-        cover[idx] += mult * step / n[idx]
-        weight = np.exp(-eps * (cover - cover.min()))
-        weight = np.maximum(weight, 1e-9)
-    # Scale to a packing (no length over-covered), then round down.
-    out: list[tuple[tuple[int, ...], int]] = []
-    rest = n.copy()
-    for key, v in sorted(x.items(), key=lambda kv: (-sum(int(lengths[i]) * m for i, m in kv[0]), kv[0])):
-        over = max(max(cover[i] for i, _ in key), 1.0)
-        q = int(min(np.floor(v / over), *(rest[i] // m for i, m in key)))
-        if q > 0:
-            for i, m in key:
-                rest[i] -= m * q
-            out.append((tuple(int(lengths[i]) for i, m in reversed(key) for _ in range(m)), q))
-    # What rounding left: best fit, longest first, on classes of equal sequences.
-    free: list[list] = [[] for _ in range(size + 1)]
-    for config, q in out:
-        free[size - sum(config)].append([config, q])
-    for i in range(len(lengths) - 1, -1, -1):
-        ln, r = int(lengths[i]), int(rest[i])
-        room = ln
+def weighted(n: np.ndarray, size: int, parts: int = 64, batch: int = 32, eps: float = 1.0, stop: float = 0.04, gamma: float = 1.15):
+    """The configuration linear program (fewest sequences that cover n pieces of each length) by
+    multiplicative weights, rounded down step by step: (configurations with how many, dual bound).
+
+    A length's price is its tokens (a little more for long ones, which fit fewer places) times a weight that falls exponentially with the share of its
+    pieces that is covered already. A DP prices all configurations; the lengths that lag most are
+    each answered by the best configuration that holds them, if it is full, in whole steps of at most
+    1/parts of the length's pieces. So all lengths are used up evenly, and the last `stop` of all
+    tokens is an even sample of them, which is left for the caller."""
+    have, lengths = np.flatnonzero(n), np.arange(size + 1)
+    rest, tokens = n.copy(), int((n * lengths).sum())
+    plan: dict[tuple, int] = {}
+    bound = 0.0
+    while True:
+        level = float((rest * lengths).sum()) / tokens
+        live = have[rest[have] > 0]
+        if level < stop or not len(live):
+            return plan, bound
+        prices = np.full(size + 1, -1.0)
+        prices[live] = live ** gamma * np.exp(np.clip(eps * (rest[live] / n[live] / level - 1), -3, 3))
+        best, last = price(prices, size)
+        if not plan:  # all pieces are still there: the prices are a dual solution of the whole
+            bound = float((prices[have] * n[have]).sum()) / float(best[size])
+        last, moved = last.tolist(), 0
+        for ln in live[np.lexsort((-live, -(rest[live] / n[live])))].tolist():
+            if rest[ln] <= 0:
+                continue
+            config = holding(ln, last, rest, prices, size)
+            if sum(k * m for k, m in config.items()) < size:
+                continue
+            q = min(max(int(n[ln]) // parts, 1), *(int(rest[k]) // m for k, m in config.items()))
+            for k, m in config.items():
+                rest[k] -= m * q
+            key = tuple(sorted(config.items(), reverse=True))
+            plan[key] = plan.get(key, 0) + q
+            moved += 1
+            if moved == batch:
+                break
+        if not moved:
+            return plan, bound
+
+
+def best_fit(rest: np.ndarray, size: int, free: list[list] | None = None) -> list[list]:
+    """Best fit on the histogram, longest first; classes of equal sequences by their free tokens."""
+    free = free or [[] for _ in range(size + 1)]
+    for ln in np.flatnonzero(rest)[::-1].tolist():
+        r, room = int(rest[ln]), ln
         while r > 0:
             while room <= size and not free[room]:
                 room += 1
@@ -239,8 +311,7 @@ def configurations(hist: dict[int, int], size: int = SIZE, rounds: int = 300, ep
                     free[size - k * ln].append([(ln,) * k, r // k])
                 if r % k:
                     free[size - (r % k) * ln].append([(ln,) * (r % k), 1])
-                r = 0
-                continue
+                break
             config, q = free[room].pop()
             m = min(room // ln, r)
             take = min(q, r // m)
@@ -248,7 +319,36 @@ def configurations(hist: dict[int, int], size: int = SIZE, rounds: int = 300, ep
                 free[room].append([config, q - take])
             free[room - m * ln].append([config + (ln,) * m, take])
             r -= m * take
-    return [(tuple(c), int(q)) for cls in free for c, q in cls if q]
+    return free
+
+
+def solve(hist: dict[int, int], size: int = SIZE, stop: float = 0.04, **more) -> tuple[list[tuple[tuple[int, ...], int]], dict]:
+    """(lengths of a sequence in order, how many such sequences), covering `hist` exactly, and
+    figures: the dual bound, sequences of this plan and of best fit alone, and the share of pieces
+    that priced configurations hold."""
+    n = np.zeros(size + 1, np.int64)
+    for k, v in hist.items():
+        n[int(k)] += int(v)
+    if not n.any():
+        return [], {"bound": 0, "priced": 0, "best_fit": 0, "lp_share": 0.0}
+    count = lambda classes: sum(q for c in classes for _, q in c)
+    simple = best_fit(n, size)
+    plan, bound = weighted(n, size, stop=stop, **more)
+    rest = n.copy()
+    free: list[list] = [[] for _ in range(size + 1)]
+    for config, q in plan.items():
+        for ln, m in config:
+            rest[ln] -= m * q
+        free[0].append([tuple(ln for ln, m in config for _ in range(m)), q])
+    free = best_fit(rest, size, free)
+    tokens = int((n * np.arange(size + 1)).sum())
+    facts = {"bound": max(int(np.ceil(bound - 1e-6)), -(-tokens // size)), "priced": count(free), "best_fit": count(simple), "lp_share": 1 - int(rest.sum()) / int(n.sum())}
+    chosen = free if count(free) <= count(simple) else simple
+    return [(tuple(c), int(q)) for cls in chosen for c, q in cls if q], facts
+
+
+def configurations(hist: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
+    return solve(hist, size)[0]
 
 
 def pack(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFrame:

@@ -235,17 +235,68 @@ def test_word_encoder_is_the_tokenizer():
 
 
 def test_configurations_cover_the_histogram():
-    hist = {1: 7, 2048: 3, 1025: 10, 1023: 4, 700: 1000, 300: 333, 5: 10000}
-    plan = op8.configurations(hist)
-    got = Counter()
-    for c, q in plan:
-        assert sum(c) <= 2048
-        for x in c:
-            got[x] += q
-    assert got == hist
-    assert sum(q for _, q in plan) <= 500 + 3 + 10  # pairs of 700, whole ones, and 1025s apart
-    many = {R.randrange(20, 1500): R.randrange(1, 400) for _ in range(300)}
-    assert sum(q for _, q in op8.configurations(many)) <= 1.005 * sum(k * v for k, v in many.items()) / 2048 + 1
+    hists = [{1: 7, 2048: 3, 1025: 10, 1023: 4, 700: 1000, 300: 333, 5: 10000}, {R.randrange(20, 1500): R.randrange(1, 400) for _ in range(300)}, {2048: 5}, {1500: 9}, {1: 1}]
+    for hist in hists:
+        plan, facts = op8.solve(hist)
+        got = Counter()
+        for c, q in plan:
+            assert sum(c) <= 2048
+            for x in c:
+                got[x] += q
+        assert got == hist
+        n = sum(q for _, q in plan)
+        assert facts["bound"] <= n <= facts["best_fit"]
+    assert op8.solve({})[0] == []
+
+
+def test_packing_of_a_whole_table_meets_the_bound():
+    """As many sequences as the dual bound at sf0.1, most pieces placed by priced configurations."""
+    import numpy as np
+    import pyarrow.parquet as pq
+
+    from quillon.llm import common
+
+    enc, hist = op8.encoder(op8.vocabulary()), Counter()
+    for rb in common.slices(pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).to_batches()):
+        for n in (np.diff(enc.encode(rb.column("text"))[1]) + 1).tolist():
+            hist[2048] += n // 2048
+            hist[n % 2048] += 1
+    del hist[0]
+    plan, facts = op8.solve(hist)
+    assert sum(q for _, q in plan) == facts["priced"] == facts["bound"] and facts["lp_share"] > 0.9
+
+
+def test_words_whose_hashes_clash_keep_their_own_ids(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from quillon.llm import common
+
+    real = common.spans_hash
+    monkeypatch.setattr(common, "spans_hash", lambda d, a, b: real(d, a, b) % np.uint64(7))
+    enc = op8.WordEncoder(op8.vocabulary())
+    texts = ["", *filter(None, TEXTS[9:30]), "a b c d e f g", None]
+    ids, at = enc.encode(pa.array(texts))
+    for t, a, b in zip(texts, at[:-1], at[1:], strict=True):
+        assert enc.tok.encode(t or "", add_special_tokens=False).ids == ids[a:b].tolist()
+
+
+def test_hashes_tell_thue_morse_words_apart():
+    import numpy as np
+
+    from quillon.llm import common
+
+    bits = [0]
+    while len(bits) < 4096:
+        bits += [1 - x for x in bits]
+    for n in (512, 1024, 2048, 4096):
+        x = np.array([97 + b for b in bits[:n]] + [98 - b for b in bits[:n]], np.uint8)
+        a, b = common.spans_hash(x, np.array([0, n]), np.array([n, 2 * n]))
+        assert a != b
+    long = np.random.default_rng(3).integers(0, 5, 2_300_000).astype(np.uint8)
+    long[2_100_000:2_104_000] = long[1_048_000:1_052_000] = long[50:4050]
+    s = np.array([50, 1_048_000, 2_100_000])
+    assert len(set(common.spans_hash(long, s, s + 4000).tolist())) == 1
 
 
 def test_chat(spark):
