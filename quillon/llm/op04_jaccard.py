@@ -44,8 +44,8 @@ def shingle_sets(col: pa.Array, k: int = WORDS):
     """Sorted distinct shingle hashes of each text, as arrays."""
     data, offs = common.flat(col)
     starts, ends, first = common.word_spans(data, offs)
+    h = common.spans_hash(common.lower(data), starts, ends)
     with np.errstate(over="ignore"):
-        h = common.mix(common.span_hash(common.prefix_hash(common.lower(data)), starts, ends))
         n = len(h)
         g = np.zeros(max(n - k + 1, 0), np.uint64)
         for j in range(k):

@@ -18,24 +18,6 @@ def words(n):
     return " ".join(R.choice(WORDS) for _ in range(n))
 
 
-def maximal_runs(rows, least=op5.MIN_WORDS):
-    """{doc_id: (lines removed, sha256 of the kept text)}, by maximal repeated runs of lines."""
-    units = {d: [(k, x.strip(b" \t\r\x0b\x0c"), len(x.split())) for k, x in enumerate((t or "").encode().split(b"\n")) if x.split()] for d, t in rows}
-    spots = [(d, i) for d, _ in sorted(rows, key=lambda r: r[0]) for i in range(len(units[d]))]
-    gone = {d: set() for d, _ in rows}
-    for y, (d, i) in enumerate(spots):
-        for e, j in spots[:y]:
-            u, v = units[d], units[e]
-            if u[i][1] != v[j][1] or (i and j and u[i - 1][1] == v[j - 1][1]):
-                continue
-            n = 0
-            while i + n < len(u) and j + n < len(v) and u[i + n][1] == v[j + n][1]:
-                n += 1
-            if sum(x[2] for x in u[i : i + n]) >= least:
-                gone[d].update(u[k][0] for k in range(i, i + n))
-    return {d: (len(gone[d]), hashlib.sha256(b"\n".join(x for k, x in enumerate((t or "").encode().split(b"\n")) if k not in gone[d])).hexdigest()) for d, t in rows}
-
-
 def test_lines_go_with_their_whole_run(spark):
     long, short, tail = words(30), words(5), [words(R.randrange(1, 12)) for _ in range(9)]
     texts = [f"{long}\n{short}\n{words(8)}", f"{words(9)}\n{long}\n{short}", f"{long}\n{short}\n{words(40)}"]
@@ -46,9 +28,8 @@ def test_lines_go_with_their_whole_run(spark):
     rows = list(enumerate(texts))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = {r.doc_id: (r["__q_removed"], hashlib.sha256((r.text or "").encode()).hexdigest()) for r in op5.cleaned(docs).collect()}
-    assert got == maximal_runs(rows)
+    assert got == op5.brute_force(rows)
     assert got[1] == (2, hashlib.sha256(texts[1].split("\n")[0].encode()).hexdigest()) and got[2][0] == 2
-    assert op5.brute_force(rows) != got
 
 
 def shingles(t):
