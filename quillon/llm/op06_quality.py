@@ -1,13 +1,19 @@
 """Quality rules with adaptive thresholds, all in DataFrame functions.
 
 The base rules are fixed (`n_words`, repeated words). Everything else is judged against the
-document's own kind: mergeable KLL sketches hold each metric's distribution per (lang, source),
-are merged into per-language sketches, and give quartiles; a document is rejected if a metric
-lies beyond the far-out fence (upper quartile + `fence` times the larger of the interquartile
-range and the metric's own width). The metrics are the share of symbols per word, of lines that
-repeat an earlier one, and the mean word length on both sides. Groups of fewer than `group_min`
-documents use their language's sketch, smaller languages the sketch of all. Sketches are merged
-on the map side, so a hot source costs one sketch per task; the filter joins a row per group.
+document's own kind. The metrics are symbols per word, the share of lines that repeat an earlier
+one, and the mean word length on both sides, in whole thousandths.
+
+Sketches: a value is rounded down to its eight leading bits (a relative error under 1/128), and a
+sketch holds how many documents have each such cell, per (lang, source). Sketches merge by adding
+counts, in any order with the same result, so verdicts are the same in every run and SQL can state
+them. The sketches of a language and of all are merged from those of its sources. A hot source
+costs one count per cell and task.
+
+Thresholds: a document is rejected if a metric lies beyond the tenth or ninth decile by more than
+`fence` times the way from there to the median. Only where a decile is the median itself (most
+documents have no symbols at all) the metric's own width stands in for that way. Groups of fewer than
+`group_min` documents use their language's sketch, smaller languages the sketch of all.
 
 Null or empty text: no words, base_failed. Null lang and source are kinds of their own. Repeated
 rows are judged each. An empty table gives none. Other columns are ignored.
@@ -15,17 +21,17 @@ rows are judged each. An empty table gives none. Other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 WORD = f"[^{common.SPACE}]+"
-FENCE = 4.0
+FENCE = 4
 GROUP_MIN = 50
-KLL = 800
-# metric: (narrowest width that an interquartile range counts as, both sides)
-METRICS = {"m_symbols": (0.05, False), "m_dup_lines": (0.1, False), "m_word_chars": (1.0, True)}
+# metric: (width in thousandths where a decile is the median, both sides)
+METRICS = {"m_symbols": (50, False), "m_dup_lines": (100, False), "m_word_chars": (1000, True)}
+TENTHS = (1, 5, 9)
 
 
 def _windows(words: Column) -> Column:
@@ -68,31 +74,54 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def _metrics(df: DataFrame) -> DataFrame:
-    words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+    words = F.greatest(F.col("n_words"), F.lit(1))
+    thousandths = lambda x, y: F.floor(F.lit(1000) * x / y).cast("long")
     return df.withColumns(
         {
-            "m_symbols": F.col("n_symbols") / words,
-            "m_dup_lines": F.col("n_dup_lines") / F.greatest(F.col("_n"), F.lit(1)).cast("double"),
-            "m_word_chars": F.col("word_chars") / words,
+            "m_symbols": thousandths(F.col("n_symbols"), words),
+            "m_dup_lines": thousandths(F.col("n_dup_lines"), F.greatest(F.col("_n"), F.lit(1))),
+            "m_word_chars": thousandths(F.col("word_chars"), words),
         }
     )
 
 
-def thresholds(thin: DataFrame, fence: float = FENCE, group_min: int = GROUP_MIN) -> DataFrame:
+def cell(v: Column) -> Column:
+    """A whole number from 0 rounded down to its eight leading bits."""
+    low = F.greatest(F.length(F.bin(v)) - 8, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", v, low), low)
+
+
+def sketches(thin: DataFrame) -> DataFrame:
+    """(lang, source, metric, cell, n): the sketch of each group, a row per cell."""
+    cells = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), cell(F.col(m)).alias("cell")) for m in METRICS)))
+    rows = thin.where(~F.col("base_failed")).select("lang", "source", cells.alias("x"))
+    return rows.groupBy("lang", "source", "x.metric", "x.cell").agg(F.count(F.lit(1)).alias("n"))
+
+
+def merged(sketch: DataFrame, *by: str) -> DataFrame:
+    return sketch.groupBy(*by, "metric", "cell").agg(F.sum("n").alias("n"))
+
+
+def deciles(sketch: DataFrame, *by: str) -> DataFrame:
+    """(*by, metric, n, q1, q5, q9) of sketches; a sketch has a bounded number of cells."""
+    group = Window.partitionBy(*by, "metric")
+    df = sketch.withColumn("upto", F.sum("n").over(group.orderBy("cell"))).withColumn("all", F.sum("n").over(group))
+    return df.groupBy(*by, "metric").agg(F.max("all").alias("n"), *(F.min(F.when(10 * F.col("upto") >= t * F.col("all"), F.col("cell"))).alias(f"q{t}") for t in TENTHS))
+
+
+def thresholds(thin: DataFrame, fence: int = FENCE, group_min: int = GROUP_MIN) -> DataFrame:
     """(lang, source, lo_<metric>, hi_<metric>): one row per group, from merged sketches."""
-    good = thin.where(~F.col("base_failed"))
-    by_source = common.written(good.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(m, KLL).alias(m) for m in METRICS)))
-    merged = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(m, KLL).alias(m) for m in METRICS)]
-    lang = by_source.groupBy("lang").agg(*merged).select(F.col("lang").alias("_lang"), F.col("n").alias("ln"), *(F.col(m).alias(f"l_{m}") for m in METRICS))
-    every = by_source.agg(*merged).first()  # one row: three sketches of bounded size
-    j = by_source.join(lang, F.col("lang").eqNullSafe(F.col("_lang")))
-    out = ["lang", "source"]
-    for m, (width, two_sided) in METRICS.items():
-        sketch = F.when(F.col("n") >= group_min, F.col(m)).when(F.col("ln") >= group_min, F.col(f"l_{m}")).otherwise(F.lit(every[m]))
-        q = lambda p, sketch=sketch: F.kll_sketch_get_quantile_double(sketch, F.lit(p))
-        reach = fence * F.greatest(q(0.75) - q(0.25), F.lit(width))
-        out += [(q(0.75) + reach).alias(f"hi_{m}"), ((q(0.25) - reach) if two_sided else F.lit(float("-inf"))).alias(f"lo_{m}")]
-    return j.select(*out)
+    own = common.written(sketches(thin))
+    lang = common.written(merged(own, "lang"))
+    qs = [f"q{t}" for t in TENTHS]
+    by_lang = deciles(lang, "lang").select(F.col("lang").alias("_l"), F.col("metric").alias("_m"), F.col("n").alias("ln"), *(F.col(q).alias(f"l_{q}") for q in qs))
+    every = deciles(merged(lang)).select(F.col("metric").alias("_a"), *(F.col(q).alias(f"a_{q}") for q in qs))  # a row per metric
+    j = deciles(own, "lang", "source").join(by_lang, F.col("lang").eqNullSafe(F.col("_l")) & (F.col("metric") == F.col("_m"))).join(F.broadcast(every), F.col("metric") == F.col("_a"))
+    q = {t: F.when(F.col("n") >= group_min, F.col(f"q{t}")).when(F.col("ln") >= group_min, F.col(f"l_q{t}")).otherwise(F.col(f"a_q{t}")) for t in TENTHS}
+    width = F.coalesce(*(F.when(F.col("metric") == m, F.lit(w)) for m, (w, _) in METRICS.items())).cast("long")
+    way = lambda x: F.when(x > 0, x).otherwise(width)
+    j = j.select("lang", "source", "metric", (q[9] + fence * way(q[9] - q[5])).alias("hi"), (q[1] - fence * way(q[5] - q[1])).alias("lo"))
+    return j.groupBy("lang", "source").agg(*(F.max(F.when(F.col("metric") == m, F.col(x))).alias(f"{x}_{m}") for m in METRICS for x in ("lo", "hi")))
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
@@ -102,7 +131,8 @@ def verdicts(docs: DataFrame) -> DataFrame:
     bounds = thresholds(thin).withColumnsRenamed({"lang": "_lang", "source": "_source"})
     fit = ~F.col("base_failed")
     for m in METRICS:
-        fit = fit & F.coalesce(F.col(m).between(F.col(f"lo_{m}"), F.col(f"hi_{m}")), F.lit(True))
+        inside = F.col(m) <= F.col(f"hi_{m}")
+        fit = fit & F.coalesce(inside & (F.col(m) >= F.col(f"lo_{m}")) if METRICS[m][1] else inside, F.lit(True))
     j = thin.join(bounds, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     return j.select("doc_id", "__q_h", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", fit.alias("kept"))
 
@@ -127,15 +157,19 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(common.table(spark, sf_dir, "documents"))
 
 
-# DuckDB: exact quartiles. The sketches are exact too while a group has fewer than KLL documents;
-# beyond that a document close to a threshold may be judged otherwise.
 def _sql() -> str:
     names = list(METRICS)
-    q = lambda alias: ", ".join(f"quantile_disc({m}, 0.25) AS {alias}1_{m}, quantile_disc({m}, 0.75) AS {alias}3_{m}" for m in names)
-    pick = lambda m, k: f"CASE WHEN s.n >= {GROUP_MIN} THEN s{k}_{m} WHEN l.n >= {GROUP_MIN} THEN l{k}_{m} ELSE a{k}_{m} END"
-    bounds = ", ".join(f"{pick(m, 1)} AS q1_{m}, {pick(m, 3)} AS q3_{m}" for m in names)
-    reach = lambda m: f"{FENCE} * greatest(q3_{m} - q1_{m}, {METRICS[m][0]})"
-    fits = " AND ".join(f"coalesce({m} <= q3_{m} + {reach(m)}" + (f" AND {m} >= q1_{m} - {reach(m)}" if METRICS[m][1] else "") + ", true)" for m in names)
+    cells = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {m} AS v FROM m WHERE NOT base_failed" for m in names)
+    tenths = ", ".join(f"min(cell) FILTER (10 * upto >= {t} * total) AS q{t}" for t in TENTHS)
+
+    def deciles(sketch: str, *by: str) -> str:
+        keys = ", ".join([*by, "metric"])
+        return f"SELECT {keys}, max(total) AS n, {tenths} FROM (SELECT *, sum(n) OVER (PARTITION BY {keys} ORDER BY cell) AS upto, sum(n) OVER (PARTITION BY {keys}) AS total FROM ({sketch})) GROUP BY {keys}"
+
+    pick = ", ".join(f"CASE WHEN s.n >= {GROUP_MIN} THEN s.q{t} WHEN l.n >= {GROUP_MIN} THEN l.q{t} ELSE a.q{t} END AS q{t}" for t in TENTHS)
+    width = "CASE metric " + " ".join(f"WHEN '{m}' THEN {w}" for m, (w, _) in METRICS.items()) + " END"
+    bounds = ", ".join(f"max({x}) FILTER (metric = '{m}') AS {x}_{m}" for m in names for x in ("lo", "hi"))
+    fits = " AND ".join(f"coalesce({m} <= hi_{m}" + (f" AND {m} >= lo_{m}" if METRICS[m][1] else "") + ", true)" for m in names)
     return f"""
 WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS x FROM documents),
 w AS (SELECT *, regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+') AS ws, [y FOR y IN string_split(x, chr(10)) IF regexp_matches(y, '[^\\x20\\x09-\\x0D]')] AS ls FROM t),
@@ -143,15 +177,18 @@ k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i
 r AS (SELECT doc_id, sum(own) AS n FROM (SELECT doc_id, least(5, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i), 5)) AS own FROM k WHERE c > 1) GROUP BY doc_id),
 b AS (SELECT doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(x, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(x, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, len(ls) AS nl, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN r USING (doc_id)),
-m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_symbols / CAST(greatest(n_words, 1) AS DOUBLE) AS m_symbols, n_dup_lines / CAST(greatest(nl, 1) AS DOUBLE) AS m_dup_lines, word_chars / CAST(greatest(n_words, 1) AS DOUBLE) AS m_word_chars FROM b),
-g AS (SELECT * FROM m WHERE NOT base_failed),
-s AS (SELECT lang, source, count(*) AS n, {q("s")} FROM g GROUP BY lang, source),
-l AS (SELECT lang, count(*) AS n, {q("l")} FROM g GROUP BY lang),
-a AS (SELECT {q("a")} FROM g),
-q AS (SELECT s.lang, s.source, {bounds} FROM s JOIN l ON s.lang IS NOT DISTINCT FROM l.lang, a)
+m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, 1000 * n_symbols // greatest(n_words, 1) AS m_symbols, 1000 * n_dup_lines // greatest(nl, 1) AS m_dup_lines, 1000 * word_chars // greatest(n_words, 1) AS m_word_chars FROM b),
+c AS (SELECT lang, source, metric, (v >> greatest(length(bin(v)) - 8, 0)) << greatest(length(bin(v)) - 8, 0) AS cell, count(*) AS n FROM ({cells}) GROUP BY ALL),
+s AS ({deciles("c", "lang", "source")}),
+l AS ({deciles("SELECT lang, metric, cell, sum(n) AS n FROM c GROUP BY ALL", "lang")}),
+a AS ({deciles("SELECT metric, cell, sum(n) AS n FROM c GROUP BY ALL")}),
+p AS (SELECT s.lang, s.source, s.metric, {pick} FROM s JOIN l ON s.lang IS NOT DISTINCT FROM l.lang AND s.metric = l.metric JOIN a ON s.metric = a.metric),
+h AS (SELECT lang, source, metric, q9 + {FENCE} * CASE WHEN q9 > q5 THEN q9 - q5 ELSE {width} END AS hi, q1 - {FENCE} * CASE WHEN q5 > q1 THEN q5 - q1 ELSE {width} END AS lo FROM p),
+q AS (SELECT lang, source, {bounds} FROM h GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {fits} AS kept
 FROM m LEFT JOIN q ON m.lang IS NOT DISTINCT FROM q.lang AND m.source IS NOT DISTINCT FROM q.source
 """
 
 
+# DuckDB: the same sketches and thresholds.
 SQL = _sql()
