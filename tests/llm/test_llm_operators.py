@@ -102,6 +102,34 @@ def test_licenses(spark, docs, empty):
     assert got == Counter({("a/b/c.py", "MIT", "own"): 1, ("a/b/d.py", "Apache-2.0", "inherited"): 2, ("a/COPYING", "GPL-3.0", "own"): 1, ("a/b/LICENSE", "Apache-2.0", "own"): 1, ("a/e.py", "GPL-3.0", "inherited"): 1, ("z/e.py", None, None): 1, (None, None, None): 1, ("top.py", "Proprietary", "own"): 1})
     assert op2.licenses(op2.tree(docs)).where("doc_id is not null").count() == len(ROWS)
     assert op2.licenses(op2.tree(empty)).where("doc_id is not null").count() == 0
+    clash = files.withColumn("license", F.lit("old")).withColumn("score", F.lit(9)).withColumn("how", F.lit(1)).withColumn("f", F.lit(2)).withColumn("dir", F.lit(3))
+    out = op2.licenses(clash)
+    assert Counter((r.path, r.license, r.how) for r in out.collect()) == got and sorted(out.columns) == sorted(["path", "f", "dir", "license", "score", "how"])
+
+
+def commented(text, mark):
+    import textwrap
+
+    return "\n".join(f"{mark} {x}".rstrip() for p in text.split("\n\n") for x in [*textwrap.wrap(p, 70), ""])
+
+
+def test_real_licences_are_recognised(spark):
+    """Wrapped headers of source files, and the licence files of this machine where it has them."""
+    apache, gpl3, gpl2, mpl = (next(x for n, x in op2.TEMPLATES if n == name and len(x) > 120) for name in ("Apache-2.0", "GPL-3.0", "GPL-2.0", "MPL-2.0"))
+    bsd3 = next(x for n, x in op2.TEMPLATES if n == "BSD-3-Clause" and len(x) > 300)
+    hope = "\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."
+    code = "\nimport os\n\ndef main():\n    return os.getcwd()\n"
+    rows = [("a/x.py", "Copyright 2020 A. Name\n\n" + apache, "#", "Apache-2.0"), ("a/y.c", "Copyright (C) 2019 B\n\n" + gpl3 + hope, "//", "GPL-3.0"), ("a/z.sh", gpl2 + hope, "#", "GPL-2.0"), ("a/m.js", mpl, "//", "MPL-2.0"), ("a/b.py", "Copyright (c) 2018, C\nAll rights reserved.\n\n" + bsd3, "#", "BSD-3-Clause")]
+    rows = [(p, commented(t, m) + code, want) for p, t, m, want in rows]
+    rows.append(("a/k.c", "/*\n" + commented(gpl3 + hope, " *") + "\n */" + code, "GPL-3.0"))
+    folder = "/usr/share/common-licenses"
+    for name, want in (("Apache-2.0", "Apache-2.0"), ("GPL-3", "GPL-3.0"), ("GPL-2", "GPL-2.0"), ("LGPL-3", "LGPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"), ("BSD", "BSD-3-Clause")):
+        if os.path.exists(f"{folder}/{name}"):
+            rows.append((f"{want}/{name}/LICENSE", open(f"{folder}/{name}").read(), want))
+    rows.append(("mit/LICENSE", "MIT License\n\nCopyright (c) 2022 X\n\n" + next(x for n, x in op2.TEMPLATES if n == "MIT" and len(x) > 120) + "\n\nThe above copyright notice and this permission notice shall be included in all copies.", "MIT"))
+    rows += [(f"prose/{i}.txt", words(60) + "\nthe license of the city was granted to any person\n" + words(30), None) for i in range(40)]
+    got = {r.path: r.license for r in op2.licenses(spark.createDataFrame([r[:2] for r in rows], "path string, text string")).collect()}
+    assert got == {p: want for p, _, want in rows}
 
 
 def test_suffix_dedup(docs, empty):
@@ -180,7 +208,7 @@ def test_quality(spark, docs, empty):
     assert kept.columns == docs.columns and op6.judged(empty).count() == op6.kept_rows(empty).count() == 0
 
 
-def test_token_counts(docs, empty):
+def test_token_counts(spark, docs, empty):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
     pieces = op7.load(op7.vocabulary())
@@ -190,8 +218,14 @@ def test_token_counts(docs, empty):
     count = op7.Counter(pieces).count
     for t in ["", " ", "a  b", "日本 😀x", "x\n\ny", "  lead", "▁a", *filter(None, TEXTS[9:20])]:
         assert count(t) == len(tok.encode(t, add_special_tokens=False).ids), t[:40]
-    got = {r.doc_id: r.n_tokens for r in op7.count_tokens(docs).collect()}
-    assert got == {d: count(t or "") for d, t, *_ in ROWS}
+    assert count("x" * 300_000 + "😀" * 3) == len(tok.encode("x" * 300_000 + "😀" * 3, add_special_tokens=False).ids)
+    encoded = lambda rows: {d: len(tok.encode(t or "", add_special_tokens=False).ids) if t else 0 for d, t in rows}
+    assert {r.doc_id: r.n_tokens for r in op7.count_tokens(docs).collect()} == encoded([(r[0], r[1]) for r in ROWS])
+    for sf in ("0.001", "0.01"):  # every document, by a unigram tokenizer of other hands
+        whole = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+        assert {r.doc_id: r.n_tokens for r in op7.count_tokens(whole).collect()} == encoded([(r.doc_id, r.text) for r in whole.select("doc_id", "text").collect()])
+    nulls = spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string")
+    assert sorted(r.n_tokens for r in op7.count_tokens(nulls).collect()) == [0, count("a b")]
     assert op7.count_tokens(empty).count() == 0
 
 
@@ -310,16 +344,45 @@ def test_chat(spark):
         ("not json", None),
         (None, None),
     ]
-    got = op9.formatted(op9.canonical(spark.createDataFrame(layouts, "record string, want string")))
+    layouts += [('{"messages": [' + ", ".join(f'{{"role": "user", "content": "{"x" * k}"}}' for k in range(50)) + "]}", "messages"), ('{"prompt": "a\\"b: \\\\", "completion": "{\\"k\\": 1}"}', "prompt"), ('{"tags": ["a", "b"], "prompt": "p", "response": "r"}', "prompt_response")]
+    got = op9.formatted(op9.from_json_records(spark.createDataFrame(layouts, "record string, want string").withColumn("turns", F.lit(1)).withColumn("_p", F.lit(2)).withColumn("layout", F.lit(3))))
     rows = got.withColumn("back", op9.parsed(F.col("formatted"))).withColumn("said", op9.masked(F.col("formatted"), F.col("loss"))).collect()
+    shapes = {op9.sha(s) for s, _ in op9.mappings()}
     for r in rows:
-        assert r.layout == r.want
+        assert r.layout == r.want and r["_p"] == 2
+        assert (r.error is None) == (r.want is not None or r.record is None)
         if r.want:
             assert r.back == r.turns
             assert r.said == "".join(t.text for t in r.turns if t.role == "assistant")
-    table = spark.createDataFrame([(1, 0, "user", None), (1, 1, "assistant", "x"), (2, None, None, "~~[<"), (None, 0, "assistant", ""), (3, 0, "assistant", "a"), (3, 0, "assistant", "a")], "conv_id long, turn int, role string, text string")
-    out = {r.conv_id: (r.n_turns, r.loss_chars) for r in op9.digest(op9.formatted(op9.canonical(op9.records_of(table)))).collect()}
-    assert out == {1: (2, 1), 2: (1, 0), None: (1, 0), 3: (2, 2)}
+            assert r.fingerprint in shapes or '"unknown"' in r.record or '"tags"' in r.record
+    table = spark.createDataFrame([(1, 0, "user", None), (1, 1, "assistant", "x"), (2, None, None, "~~[<"), (None, 0, "assistant", ""), (3, 0, "assistant", "a"), (3, 0, "assistant", "a"), (4, 0, "human", "h"), (4, 1, "gpt_", "g")], "conv_id long, turn int, role string, text string")
+    out = {r.conv_id: (r.n_turns, r.loss_chars) for r in op9.digest(op9.formatted(op9.canonical(op9.dealt(table)))).collect()}
+    assert out == {1: (2, 1), 2: (1, 0), None: (1, 0), 3: (2, 2), 4: (2, 0)}
+
+
+def test_chat_in_every_layout(spark):
+    rows = [(i, k, role, f"{role} {i} ~<[text]\n") for i in range(300) for k, role in enumerate([["user", "assistant"], ["system", "user", "assistant"], ["user", "assistant", "user"]][i % 3])]
+    df = op9.formatted(op9.canonical(op9.dealt(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")))).cache()
+    assert {r.layout for r in df.select("layout").distinct().collect()} == {*op9.LISTS, *op9.FIELDS}
+    want = defaultdict(list)
+    for i, _, role, text in rows:
+        want[i].append((role, text))
+    got = {r.conv_id: [tuple(t) for t in r.back] for r in df.select("conv_id", op9.parsed(F.col("formatted")).alias("back")).collect()}
+    assert got == want
+    shapes = {op9.sha(s) for s, _ in op9.mappings()}
+    assert {r.fingerprint for r in df.collect()} <= shapes
+
+
+def test_chat_of_long_texts(spark):
+    df = spark.createDataFrame([(1, 0, "user"), (1, 1, "assistant"), (2, 0, "assistant")], "conv_id long, turn int, role string").withColumn("text", F.repeat(F.lit("<é~ []"), F.lit(2_000_000)))
+    (a, b) = sorted(op9.digest(op9.formatted(op9.canonical(op9.dealt(df)))).collect())
+    assert (a.n_turns, a.loss_chars, b.n_turns, b.loss_chars) == (2, 12_000_000, 1, 12_000_000)
+    text = "<é~ []" * 2_000_000
+    assert a.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    assert a.turns_sha256 == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
+    big = spark.range(1).select(F.concat(F.lit('{"prompt": "'), F.repeat(F.lit('ab\\"c '), F.lit(5_000_000)), F.lit('", "completion": "x"}')).alias("record"))
+    r = op9.from_json_records(big).select("layout", "error", F.length(F.col("turns")[0]["text"]).alias("n")).first()
+    assert (r.layout, r.error, r.n) == ("prompt", None, 25_000_000)
 
 
 def test_warc(spark):
@@ -337,6 +400,10 @@ def test_warc(spark):
     recs = {r.page_id: r.record for r in op10.lookup(bundles, spark.createDataFrame([(5,), (6,)], "page_id long")).collect()}
     assert op10.parse(bytes(recs[6]), 0)[1] == b"solo\r\n\r\nWARC/1.1" and op10.parse(bytes(recs[5]), 0)[1].decode() == "é" * 400_000
     assert op10.read(op10.write(pages.limit(0))).count() == 0
+    assert op10.parse(bytes(recs[6]), 0)[0]["WARC-Date"] and bytes(recs[6]).count(b"HTTP/1.1 200 OK") == 1
+    twice = spark.createDataFrame([(1, "u", "x"), (1, "u", "x"), (2, "u", "y"), (2, "u", "y"), (3, "u", "y"), *((10 + i, "u", "hot") for i in range(400))], "page_id long, url string, html string")
+    got = Counter((r.page_id, r.record_type, r.refers_to) for r in op10.read(op10.write(twice)).collect())
+    assert got == {(1, "response", None): 2, (2, "revisit", 3): 2, (3, "response", None): 1, **{(10 + i, "revisit", 409): 1 for i in range(399)}, (409, "response", None): 1}
 
 
 def test_seekable_bundle_frames():

@@ -66,6 +66,21 @@ def test_items_are_found_swapped_rotated_and_trimmed(spark):
     assert {r.doc_id for r in op1.clean_rows(docs, bench).collect()} == {d for d, _ in rows} - {d for d, _ in want}
 
 
+def test_sql_of_decontamination_finds_moved_passages():
+    import duckdb
+
+    a, b = words(80).split(), words(60).split()
+    texts = [[*a[40:], *a[:40]], [*b[20:], *b[:20]], [*a[2:40], *words(5).split(), *a[40:78]], b[:50], a[:50]]
+    rows = [(i, " ".join([words(25), *t, words(25)])) for i, t in enumerate(texts)]
+    items = [(0, " ".join(a)), (1, " ".join(b))]
+    con = duckdb.connect()
+    for name, key, some in (("documents", "doc_id", rows), ("benchmark", "item_id", items)):
+        con.execute(f"create table {name} ({key} bigint, text varchar)")
+        con.executemany(f"insert into {name} values (?, ?)", some)
+    got = {(d, i): s for d, i, s in con.execute(f"select doc_id, item_id, similarity from ({op1.SQL})").fetchall()}
+    assert got == pytest.approx(all_windows(rows, items), abs=1e-6) and len(got) > 3
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_rows_repeated_in_full_keep_their_text(spark, parts):
     passage = words(60)
@@ -74,3 +89,20 @@ def test_rows_repeated_in_full_keep_their_text(spark, parts):
     want = op3.brute_force([(d, (t or "").encode()) for d, t in rows])
     got = Counter((r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in op3.deduplicated(docs).collect())
     assert got == {(d, v): 2 for d, v in want.items()} and want[0][1] == 0 < want[2][1]
+
+
+def test_words_and_lines_of_one_old_hash_stay_apart(spark):
+    """Thue and Morse's word and its complement clash in sums of powers modulo 2^64."""
+    from quillon.llm import op04_jaccard as op4
+    from quillon.llm import op08_packing as op8
+
+    bits = [0]
+    while len(bits) < 4096:
+        bits += [1 - x for x in bits]
+    for n in (512, 1024, 4096):
+        a, b = ("".join("ab"[x ^ k] for x in bits[:n]) for k in (0, 1))
+        docs = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+        assert {r.component_id for r in op4.components(docs).collect()} == {1, 2}
+        assert len({r.ids_crc32 for r in op8.pack(docs).where("piece = 0").collect()}) == 2
+        lines = spark.createDataFrame([(1, a + " x" * 30), (2, b + " x" * 30)], "doc_id long, text string")
+        assert all(r["__q_removed"] == 0 for r in op5.cleaned(lines).collect())
