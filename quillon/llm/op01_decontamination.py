@@ -59,11 +59,13 @@ def simhash(g: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), bit), F.lit(0).cast("bigint"), lambda s, x: s.bitwiseOR(x))
 
 
-def weighted_similarity(a: Column, b: Column) -> Column:
-    """100 * sum of smaller counts and sum of larger counts, of two arrays as multisets."""
-    both = F.array_distinct(F.array_intersect(a, b))
+def weighted_similarity(a: Column, b: Column, again: Column) -> Column:
+    """Sum of smaller counts over sum of larger counts, of two arrays as multisets. Values that both
+    hold count once by a hashed intersection; only those that `b` repeats (`again`) are counted."""
+    both = F.array_intersect(a, b)
     count = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
-    low = F.aggregate(both, F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x)))
+    more = F.aggregate(F.array_intersect(both, again), F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x)) - 1)
+    low = F.size(both) + more
     return low / (F.size(a) + F.size(b) - low)
 
 
@@ -90,10 +92,13 @@ def _neighbours(h: Column) -> Column:
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """(item_id, ref, n, ig, ih): words, shingles and fingerprint of each item with a word."""
+    """(item_id, ref, n, ig, ih, again): words, shingles, fingerprint and repeated shingles of each
+    item with a word."""
     b = benchmark.select(F.col("item_id"), words(F.col("text")).alias("w"))
     b = b.where(F.size("w") > 0).select("item_id", F.xxhash64("item_id", "w").alias("ref"), F.size("w").alias("n"), grams(F.col("w")).alias("ig"))
-    return b.dropDuplicates(["item_id", "ref"]).withColumn("ih", simhash(F.col("ig")))
+    s = F.array_sort("ig")
+    again = F.transform(F.array(s), lambda v: F.array_distinct(F.filter(v, lambda x, i: (i > 0) & (F.get(v, i - 1) == x))))[0]
+    return b.dropDuplicates(["item_id", "ref"]).withColumn("ih", simhash(F.col("ig"))).withColumn("again", again)
 
 
 def _needed(sizes: Column) -> Column:
@@ -148,8 +153,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     keys = ["doc_id", "_tag", "n", "start"]
     w2 = win.select(*(F.col(k).alias(f"_{k}2") for k in keys), "wg")
     on = near["doc_id"].eqNullSafe(w2["_doc_id2"]) & (near["_tag"] == w2["__tag2"]) & (near["n"] == w2["_n2"]) & (near["start"] == w2["_start2"])
-    full = near.join(w2, on).join(items.select("ref", "ig"), "ref")
-    sim = full.select("doc_id", "_tag", "item_id", F.col("start").alias("start_word"), F.col("n").alias("n_words"), "hamming", weighted_similarity(F.col("wg"), F.col("ig")).alias("similarity"))
+    full = near.join(w2, on).join(items.select("ref", "ig", "again"), "ref")
+    sim = full.select("doc_id", "_tag", "item_id", F.col("start").alias("start_word"), F.col("n").alias("n_words"), "hamming", weighted_similarity(F.col("wg"), F.col("ig"), F.col("again")).alias("similarity"))
     best = sim.where(DEN * F.col("similarity") >= NUM).groupBy("doc_id", "_tag", "item_id").agg(F.max(F.struct("similarity", (-F.col("start_word")).alias("s"), "n_words", "hamming")).alias("m"))
     return best.select("doc_id", "_tag", "item_id", (-F.col("m.s")).alias("start_word"), "m.n_words", "m.hamming", "m.similarity")
 
@@ -167,15 +172,15 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(docs, bench).groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"), F.round(F.max("similarity"), 6).alias("similarity"))
 
 
-# DuckDB: the same definition over aligned windows, without fingerprints.
+# DuckDB: every window that holds a shingle of the item, without fingerprints.
 _GRAMS = """CASE WHEN len(w) >= 5 THEN [array_to_string(w[k:k+4], ' ') FOR k IN range(1, len(w) - 3)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"""
 _WORDS = "[x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+') IF x <> '']"
 SQL = f"""
 WITH i AS (SELECT item_id, len(w) AS n, {_GRAMS} AS gs FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)),
-ip AS (SELECT item_id, n, m, g, min(pl) AS pl, count(*) AS c FROM (SELECT item_id, n, len(gs) AS m, unnest(gs) AS g, generate_subscripts(gs, 1) - 1 AS pl FROM i) GROUP BY ALL),
+ip AS (SELECT item_id, n, m, g, count(*) AS c FROM (SELECT item_id, n, len(gs) AS m, unnest(gs) AS g FROM i) GROUP BY ALL),
 d AS (SELECT doc_id, {_GRAMS} AS gs FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
 dg AS (SELECT doc_id, len(gs) AS dm, unnest(gs) AS g, generate_subscripts(gs, 1) - 1 AS pos FROM d),
-c AS (SELECT DISTINCT doc_id, dm, item_id, n, m, greatest(least(pos - pl, dm - greatest(n - 4, 1)), 0) AS s FROM dg JOIN ip USING (g)),
+c AS (SELECT DISTINCT doc_id, dm, item_id, n, m, unnest(range(greatest(pos - m + 1, 0), least(pos, greatest(dm - m, 0)) + 1)) AS s FROM dg JOIN ip USING (g)),
 w AS (SELECT c.doc_id, c.item_id, c.n, c.m, c.s, least(c.m, c.dm - c.s) AS size, dg.g, count(*) AS cw FROM c JOIN dg ON dg.doc_id = c.doc_id AND dg.pos >= c.s AND dg.pos < c.s + c.m GROUP BY ALL),
 l AS (SELECT w.doc_id, w.item_id, w.n, w.m, w.s, w.size, sum(least(cw, ip.c)) AS low FROM w JOIN ip ON ip.item_id = w.item_id AND ip.g = w.g GROUP BY ALL)
 SELECT doc_id, item_id, CAST(max(n) AS INT) AS n_words, round(max(CAST(low AS DOUBLE) / CAST(size + m - low AS DOUBLE)), 6) AS similarity FROM l WHERE 100 * low >= 75 * (size + m - low) GROUP BY 1, 2

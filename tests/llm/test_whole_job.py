@@ -78,7 +78,7 @@ def test_sql_of_decontamination_finds_moved_passages():
         con.execute(f"create table {name} ({key} bigint, text varchar)")
         con.executemany(f"insert into {name} values (?, ?)", some)
     got = {(d, i): s for d, i, s in con.execute(f"select doc_id, item_id, similarity from ({op1.SQL})").fetchall()}
-    assert got == pytest.approx(all_windows(rows, items), abs=1e-6) and len(got) > 3
+    assert got == pytest.approx(all_windows(rows, items), abs=1e-6) and {(0, 0), (1, 1), (2, 0)} <= set(got)
 
 
 @pytest.mark.parametrize("parts", [1, 7])
