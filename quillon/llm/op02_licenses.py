@@ -3,9 +3,10 @@ DataFrame functions.
 
 Blocks, of every text: each line; each run of two or more lines that no line without words parts
 (notices are wrapped); the comment at the head; and of licence files (base name LICENSE, LICENCE,
-COPYING, NOTICE or UNLICENSE) the whole. A block's vector has tf * idf for the templates' terms, with
-the number of blocks that hold a term from all blocks; each word outside the templates is a term of
-its own that no other block holds. A block whose templates' terms cannot reach the threshold, whatever
+COPYING, NOTICE or UNLICENSE) the whole. A block's vector has (1 + ln count) * idf for the templates'
+terms, with the number of blocks that hold a term from all blocks; each word outside the templates is
+a term of its own that no other block holds. Counts are taken only where the number of distinct terms
+lets a block reach the threshold at all. A block whose templates' terms cannot reach the threshold, whatever
 the template, leaves before the join: cosine is at most the block's weight on templates' terms over
 its norm, so nothing is lost.
 
@@ -125,8 +126,8 @@ def _possessive(pattern: str) -> str:
 
 
 def blocks(files: DataFrame) -> DataFrame:
-    """(f, block, known: array<struct<t, c>>, n_other): each block's templates' terms with their
-    counts, and how many other words."""
+    """(f, block, known, counts, n_other): each block's templates' terms, their counts (null where
+    the block cannot reach the threshold), and how many other words."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     runs = F.filter(F.split(text, _possessive(f"\n(?:{WORDLESS}*\n)+")), lambda x: x.rlike(r"[\p{L}\p{N}][^\n]*\n[^\n]*[\p{L}\p{N}]"))
     head = F.filter(F.array(F.regexp_extract(text, _possessive(HEAD), 0)), lambda x: x != "")
@@ -134,8 +135,13 @@ def blocks(files: DataFrame) -> DataFrame:
     parts = files.select("f", F.posexplode(F.concat(F.split(text, "\n"), runs, head, whole)).alias("block", "part"))
     b = parts.select("f", "block", F.filter(F.split(F.lower("part"), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("t")).where(F.size("t") > 0)
     b = b.select("f", "block", F.size("t").alias("n"), F.filter("t", lambda w: w.isin(VOCABULARY)).alias("k"))
-    known = F.transform(F.array_distinct("k"), lambda w: F.struct(w.alias("t"), F.size(F.filter("k", lambda v: v == w)).alias("c")))
-    return b.select("f", "block", known.alias("known"), (F.col("n") - F.size("k")).alias("n_other"))
+    b = b.select("f", "block", "n", "k", F.array_distinct("k").alias("known"))
+    n_other, kinds = F.col("n") - F.size("k"), F.size("known")
+    # counts of one sum weigh most if they are equal, and no idf is above that of other words
+    most = kinds * F.pow(1 + F.log(F.size("k") / F.greatest(kinds, F.lit(1))), 2)
+    counts = F.transform("known", lambda w: (F.size("k") - F.size(F.array_remove("k", w))).cast("int"))
+    reach = (kinds > 0) & (most * (1 - THRESHOLD**2) >= n_other * THRESHOLD**2)
+    return b.select("f", "block", "known", F.when(reach, counts).alias("counts"), n_other.alias("n_other"))
 
 
 def scanned(files: DataFrame) -> DataFrame:
@@ -143,21 +149,22 @@ def scanned(files: DataFrame) -> DataFrame:
     spark = files.sparkSession
     b = common.written(blocks(files))
     # at most one count per templates' term, and one of all blocks
-    df = {r["t"]: r["n"] for r in b.select(F.explode("known.t").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
+    df = {r["t"]: r["n"] for r in b.select(F.explode("known").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = b.count()
     idf = {t: math.log((1 + total) / (1 + df.get(t, 0))) + 1 for t in VOCABULARY}
     other = math.log(1 + total) + 1
     weight = F.map_from_arrays(F.array(*map(F.lit, VOCABULARY)), F.array(*(F.lit(idf[t] ** 2) for t in VOCABULARY)))
-    on = F.aggregate("known", F.lit(0.0), lambda s, x: s + x["c"] * x["c"] * F.element_at(weight, x["t"]))
-    b = b.withColumn("on", on).withColumn("norm2", F.col("on") + F.col("n_other") * F.lit(other**2))
+    b = b.where("counts is not null").withColumn("x", F.zip_with("known", F.transform("counts", lambda c: 1 + F.log(c)), lambda t, c: F.struct(t.alias("t"), c.alias("c"))))
+    on = F.aggregate("x", F.lit(0.0), lambda s, x: s + x["c"] * x["c"] * F.element_at(weight, x["t"]))
+    b = b.select("f", "block", "x", on.alias("on"), "n_other").withColumn("norm2", F.col("on") + F.col("n_other") * F.lit(other**2))
     b = b.where(F.col("on") >= THRESHOLD**2 * F.col("norm2"))
     rows = []
     for k, (name, text) in enumerate(TEMPLATES):
-        c = _counts(text)
+        c = {t: 1 + math.log(n) for t, n in _counts(text).items()}
         norm = sum((n * idf[t]) ** 2 for t, n in c.items())
         rows += [(k, name, t, n * idf[t] ** 2, norm) for t, n in c.items()]
     table = spark.createDataFrame(rows, "template int, license string, t string, w2 double, tnorm2 double")
-    dots = b.select("f", "block", "norm2", F.explode("known").alias("x")).select("f", "block", "norm2", "x.t", "x.c").join(F.broadcast(table), "t")
+    dots = b.select("f", "block", "norm2", F.explode("x").alias("x")).select("f", "block", "norm2", "x.t", "x.c").join(F.broadcast(table), "t")
     scores = dots.groupBy("f", "block", "norm2", "template", "license", "tnorm2").agg(F.sum(F.col("c") * F.col("w2")).alias("dot"))
     scores = scores.withColumn("score", F.round(F.col("dot") / F.sqrt(F.col("norm2") * F.col("tnorm2")), 6)).where(F.col("score") >= THRESHOLD)
     best = scores.groupBy("f").agg(F.min(F.struct((F.col("license") == "Proprietary").alias("p"), (-F.col("score")).alias("s"), "license")).alias("m"))
@@ -172,7 +179,7 @@ def licenses(files: DataFrame) -> DataFrame:
     """Adds license, score and how (`own`, `inherited` or null) to files of (path, text)."""
     names = [c for c in files.columns if c not in ("text", "license", "score", "how")]
     key = F.struct(F.coalesce("path", F.lit("")).alias("p"), F.xxhash64(F.col("text").cast("string")).alias("h"))
-    found = common.written(scanned(files.select(key.alias("f"), "path", "text").distinct()))
+    found = common.written(scanned(files.select(key.alias("f"), "path", "text")))
     thin = files.withColumn("__q", F.struct(key.alias("f"), _directory(F.col("path")).alias("dir"))).select(*names, "__q")
     found = found.select(F.struct(F.col("f").alias("g"), "license", "score").alias("__r"))
     thin = common.written(thin.join(found, F.col("__q.f") == F.col("__r.g"), "left"))
@@ -206,7 +213,7 @@ _TREE = ", ".join(f"('{path}', '{TEMPLATES[k][1]}')" for path, k in TREE)
 _TERMS = "[x FOR x IN regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+') IF x <> '']"
 SQL = f"""
 WITH tpl AS (SELECT k, license, {_TERMS.format("text")} AS ts FROM (VALUES {_ROWS}) AS v(k, license, text)),
-tt AS (SELECT k, license, t, count(*) AS c FROM (SELECT k, license, unnest(ts) AS t FROM tpl) GROUP BY ALL),
+tt AS (SELECT k, license, t, 1 + ln(count(*)) AS c FROM (SELECT k, license, unnest(ts) AS t FROM tpl) GROUP BY ALL),
 vocab AS (SELECT DISTINCT t FROM tt),
 docs AS (SELECT row_number() OVER () AS f, doc_id, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || doc_id || '.txt' AS path, coalesce(text, '') AS text FROM documents),
 files AS (SELECT f, doc_id, path, text, false AS lic FROM docs UNION ALL SELECT -row_number() OVER (), NULL, path, text, true FROM (VALUES {_TREE}) AS v(path, text)),
@@ -214,12 +221,12 @@ cuts AS (SELECT f, string_split(text, chr(10)) || [p FOR p IN regexp_split_to_ar
   || [h FOR h IN [regexp_extract(text, '{HEAD}')] IF h <> ''] || CASE WHEN lic THEN [text] ELSE [] END AS parts FROM files),
 lines AS (SELECT f, unnest(parts) AS line, generate_subscripts(parts, 1) AS b FROM cuts),
 blocks AS (SELECT f, b, ts FROM (SELECT f, b, {_TERMS.format("line")} AS ts FROM lines) WHERE len(ts) > 0),
-terms AS (SELECT f, b, t, count(*) AS c FROM (SELECT f, b, unnest(ts) AS t FROM blocks) GROUP BY ALL),
+terms AS (SELECT f, b, t, count(*) AS m, 1 + ln(count(*)) AS c FROM (SELECT f, b, unnest(ts) AS t FROM blocks) GROUP BY ALL),
 total AS (SELECT count(*) AS n FROM blocks),
 idf AS (SELECT t, ln((1 + any_value(n)) / (1 + count(f))) + 1 AS w FROM vocab LEFT JOIN terms USING (t), total GROUP BY t),
-known AS (SELECT f, b, t, c, w FROM terms JOIN idf USING (t)),
+known AS (SELECT f, b, t, c, terms.m AS words, w FROM terms JOIN idf USING (t)),
 size AS (SELECT f, b, len(ts) AS m FROM blocks),
-norm AS (SELECT f, b, sum(c * c * w * w) + (any_value(m) - sum(c)) * pow(ln(1 + any_value(n)) + 1, 2) AS norm2 FROM known JOIN size USING (f, b), total GROUP BY f, b),
+norm AS (SELECT f, b, sum(c * c * w * w) + (any_value(m) - sum(words)) * pow(ln(1 + any_value(n)) + 1, 2) AS norm2 FROM known JOIN size USING (f, b), total GROUP BY f, b),
 tnorm AS (SELECT k, license, sum(c * c * w * w) AS tnorm2 FROM tt JOIN idf USING (t) GROUP BY k, license),
 dots AS (SELECT f, b, k, sum(known.c * tt.c * w * w) AS dot FROM known JOIN tt USING (t) GROUP BY f, b, k),
 scores AS (SELECT f, license, round(dot / sqrt(norm2 * tnorm2), 6) AS score FROM dots JOIN norm USING (f, b) JOIN tnorm USING (k)),
