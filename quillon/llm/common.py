@@ -28,9 +28,12 @@ def partitions(spark: SparkSession) -> int:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under the shared checkpoint folder; a local one only where none is set."""
+    """A new folder under the shared checkpoint folder, deleted when the application ends. Where none
+    is set, one of this machine does for a local session; a cluster has to name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/quillon-{uuid.uuid4().hex}"
@@ -38,9 +41,12 @@ def scratch(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """Cut lineage with a table in the shared folder, so a lost executor costs only a re-read."""
-    path = scratch(df.sparkSession)
+    spark = df.sparkSession
+    path = scratch(spark)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def released(spark: SparkSession) -> None:
@@ -217,6 +223,28 @@ def group_bounds(keys: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
 
 
+def met(rows: DataFrame, groups: DataFrame, key: str, count: str, spread: int) -> DataFrame:
+    """Rows joined with one row per group. Groups so large that one task would feel them go by
+    broadcast (`count` says how large; fewer than `spread` times the partitions can be), the others
+    by shuffle."""
+    total = groups.agg(F.sum(count)).first()[0] or 0
+    most = max(total // (spread * partitions(rows.sparkSession)), 1000)
+    hot = F.broadcast(groups.where(F.col(count) > most))
+    rest = groups.where(F.col(count) <= most)
+    return rows.join(hot, key).unionByName(rows.join(rest, key))
+
+
+def fetched(pairs: DataFrame, things: DataFrame, key: str, other: str, total: int, spread: int) -> DataFrame:
+    """Pairs with the thing their `key` names. A key in very many pairs is salted: its pairs are dealt
+    by `other`, and the thing is sent once for each part."""
+    most = max(total // (spread * partitions(pairs.sparkSession)), 1000)
+    hot = written(pairs.groupBy(key).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > most).select(key, F.ceil(F.col("_c") / most).cast("int").alias("_k")))
+    parts = F.coalesce("_k", F.lit(1))
+    p = pairs.join(F.broadcast(hot), key, "left").withColumn("_s", F.pmod(F.xxhash64(other), parts.cast("long")).cast("int")).drop("_k")
+    t = things.join(F.broadcast(hot), key, "left").withColumn("_s", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_k")
+    return p.join(t, [key, "_s"]).drop("_s")
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """Components of (a long, b long) links: (node, root), root the smallest node reachable.
 

@@ -9,13 +9,16 @@ Method: rare-first prefix filtering with length, positional and suffix filters.
 3. A set's shared shingles come together again and are ordered by (frequency, hash). The prefix
    is the first n - ceil(0.75 n) + 1 of all its shingles: two sets that link must share a
    shingle of both prefixes. Sets whose prefix holds unshared shingles only are done.
-4. Sets that share a prefix shingle form candidate groups (components of set - least set of the
-   shingle). A group is joined in blocks of bounded size, each pair of blocks one task; inside,
-   an index on prefix shingles gives candidates, filters drop most, and a pair that is already
-   connected is never verified, so a group of n near copies costs about n verifications. In a
-   group of several blocks a first pass verifies all sets against the group's most central one
-   (fewest unshared shingles); blocks of sets that it links need no pairs among themselves.
-5. Links found are merged to components; equal sets follow their representative.
+4. Prefix shingles are joined by shuffle. First each set meets, for each shingle of its prefix, the
+   most central set that has it (fewest unshared shingles): pairs of a star, so a group of n near
+   copies gives n pairs and not n * n / 2. Each pair is verified once. Then all pairs of sets that
+   share a prefix shingle and that the links so far do not connect are joined, a frequent shingle
+   split into blocks of rows, and those not verified yet are verified.
+5. Length and positional filters are conditions of the join; the suffix filter runs before the
+   overlap is counted. Pairs fetch their sets by salted joins, so a set in very many pairs is no
+   hot key.
+6. Links are merged to components; equal sets follow their representative. Pairs that others
+   connect already are not verified: the result is the component, not the number of links.
 
 A null or empty text has an empty set and links with nothing. Rows that repeat a doc_id count
 as copies of one document id with their own rows. Null doc_ids are never representatives of
@@ -28,14 +31,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 WORDS = 5
 NUM, DEN = 75, 100
-BLOCK = 4096
+BLOCK = 1024  # rows of a shingle joined with each other in one piece
+SPREAD = 16  # a key is hot beyond 1 / (SPREAD * partitions) of all rows
+DEPTH = 3
 _U = np.uint64
 _COEF = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
@@ -61,8 +66,10 @@ def shingle_sets(col: pa.Array, k: int = WORDS):
                 yield np.zeros(0, np.uint64)
 
 
-def set_key(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_key(s: np.ndarray) -> tuple[int, int]:
+    """128 bits by which sets are told apart, as two numbers."""
+    raw = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
 def overlap_needed(nx: int, ny: int) -> int:
@@ -75,14 +82,16 @@ def prefix_size(n: int) -> int:
 
 
 def thin(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, key) of every row."""
+    """(doc_id, tag, n_shingles, key, key2) of every row (doc_id, tag, text)."""
 
     def run(batches):
         for rb in common.slices(batches):
             sets = list(shingle_sets(rb.column("text")))
-            yield pa.RecordBatch.from_arrays([rb.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64())], names=["doc_id", "n_shingles", "key"])
+            keys = [set_key(s) for s in sets]
+            cols = [rb.column("doc_id"), rb.column("tag"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "tag", "n_shingles", "key", "key2"])
 
-    return docs.mapInArrow(common.trimming(run), "doc_id long, n_shingles long, key long")
+    return docs.mapInArrow(common.trimming(run), "doc_id long, tag long, n_shingles long, key long, key2 long")
 
 
 def _six(t: np.ndarray) -> bytes:
@@ -134,7 +143,7 @@ def packed(docs: DataFrame, buckets: int, hold: int = 3_000_000) -> DataFrame:
         sets, held = {}, 0
         for rb in common.slices(batches):
             for s in shingle_sets(rb.column("text")):
-                k = (set_key(s), len(s))
+                k = (set_key(s)[0], len(s))
                 if len(s) and k not in sets:
                     sets[k] = s
                     held += len(s)
@@ -225,190 +234,163 @@ def candidates(pack: DataFrame, parts: int) -> DataFrame:
     return pack.repartition(parts, "b").mapInArrow(common.trimming(run), "key long, n_shingles long, p int, toks binary, dfs binary")
 
 
-def prefix_links(cand: DataFrame, buckets: int) -> DataFrame:
-    """(a, b): each set and the least set with which it shares a prefix shingle, per shingle."""
+def prefixes(sets: DataFrame) -> DataFrame:
+    """(tok, rep, n, left, prio, …): a row per shingle of each prefix, `left` shared shingles from it on."""
+    more = [c for c in sets.columns if c not in ("rep", "n_shingles", "p", "toks", "dfs")]
+    cols = ["tok", "rep", "n", "left", "prio", *more]
 
     def spread(batches):
         for rb in batches:
-            ps = rb.column("p").to_pylist()
-            toks = [np.frombuffer(t, np.uint64)[:p] for t, p in zip(rb.column("toks").to_pylist(), ps, strict=True)]
-            if not toks:
+            ps, sizes = rb.column("p").to_numpy(), np.array([len(t) // 8 for t in rb.column("toks").to_pylist()], np.int64)
+            if not len(ps):
                 continue
-            t = np.concatenate(toks)
-            own = np.repeat(rb.column("rep").to_numpy(), [len(x) for x in toks])
-            b = (common.mix(t) % _U(buckets)).astype(np.int64)
-            order = np.argsort(b, kind="stable")
-            b, t, own = b[order], t[order], own[order]
-            g = common.group_bounds(b)
-            rows = [(int(b[x]), t[x:y].tobytes(), own[x:y].tobytes()) for x, y in zip(g[:-1], g[1:], strict=True)]
-            c = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.binary()), pa.array(c[2], pa.binary())], names=["b", "toks", "reps"])
-
-    def gather(batches):
-        toks, reps = [], []
-        for rb in batches:
-            toks += rb.column("toks").to_pylist()
-            reps += rb.column("reps").to_pylist()
-        if not toks:
-            return
-        t, r = np.frombuffer(b"".join(toks), np.uint64), _i64(b"".join(reps))
-        order = np.lexsort((r, t))
-        t, r = t[order], r[order]
-        g = common.group_bounds(t)
-        low = np.repeat(r[g[:-1]], np.diff(g))
-        pairs = np.unique(np.stack([r, low], 1)[r != low], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    return cand.select("rep", "p", "toks").mapInArrow(common.trimming(spread), "b int, toks binary, reps binary").repartition(buckets, "b").mapInArrow(common.trimming(gather), "a long, b long")
-
-
-class Sets:
-    """Sets in memory with their tokens as ranks in the join's order."""
-
-    def __init__(self, reps, ns, ps, toks, dfs):
-        self.reps, self.ns, self.ps = reps, ns, ps
-        sizes = [len(t) for t in toks]
-        t, d = np.concatenate(toks), np.concatenate(dfs)
-        order = np.lexsort((t, d))
-        new = np.ones(len(t), bool)
-        new[1:] = t[order][1:] != t[order][:-1]
-        rank = np.empty(len(t), np.int64)
-        rank[order] = np.cumsum(new) - 1
-        self.ranks = np.split(rank, np.cumsum(sizes)[:-1])
-
-    def similar(self, x: int, y: int) -> bool:
-        """Length, then positional, then suffix filter; then the overlap itself."""
-        nx, ny = self.ns[x], self.ns[y]
-        if DEN * min(nx, ny) < NUM * max(nx, ny):
-            return False
-        a, b, need = self.ranks[x], self.ranks[y], overlap_needed(nx, ny)
-        if min(len(a), len(b)) < need:
-            return False
-        both = np.intersect1d(a[: self.ps[x]], b[: self.ps[y]], assume_unique=True)
-        if not len(both):
-            return False
-        i, j = int(np.searchsorted(a, both[0])), int(np.searchsorted(b, both[0]))
-        if min(len(a) - i, len(b) - j) < need:  # shared shingles left from the first common one
-            return False
-        mid = a[(i + len(a)) // 2]
-        ia, jb = int(np.searchsorted(a, mid)), int(np.searchsorted(b, mid))
-        if min(ia - i, jb - j) + min(len(a) - ia, len(b) - jb) < need:
-            return False
-        return len(np.intersect1d(a, b, assume_unique=True)) >= need
-
-    def links(self, first: int, within: list[bool]) -> list[tuple[int, int]]:
-        """Pairs that connect all that link: among the first `first` sets if within[0], among the
-        others if within[1], and between both. Connected pairs are not verified again."""
-        n = len(self.reps)
-        order = sorted(range(n), key=lambda i: (self.ns[i] - len(self.ranks[i]), i))  # central sets first
-        root = np.arange(n)
-        members = {i: [i] for i in range(n)}
-        side = np.arange(n) >= first
-        index: dict[int, list[int]] = {}
-        out = []
-        for x in order:
-            mine = self.ranks[x][: self.ps[x]].tolist()
-            lists = [index[t] for t in mine if t in index]
-            if lists:
-                near = np.unique(np.concatenate([np.array(v) for v in lists])) if len(lists) > 1 else np.array(lists[0])
-                ok = (side[near] != side[x]) | within[int(side[x])]
-                near = near[ok & (root[near] != root[x])]
-                near = near[np.argsort([self.ns[i] - len(self.ranks[i]) for i in near], kind="stable")]
-                while len(near):
-                    y = int(near[0])
-                    if self.similar(x, y):
-                        out.append((x, y))
-                        a, b = int(root[x]), int(root[y])
-                        if len(members[a]) > len(members[b]):
-                            a, b = b, a
-                        root[members[a]] = b
-                        members[b] += members.pop(a)
-                    near = near[1:]
-                    near = near[root[near] != root[x]]
-            for t in mine:
-                index.setdefault(t, []).append(x)
-        return out
-
-
-def _sets(rb: pa.RecordBatch | pa.Table) -> Sets:
-    col = lambda c: rb.column(c).to_pylist()
-    return Sets(col("rep"), col("n_shingles"), col("p"), [np.frombuffer(t, np.uint64) for t in col("toks")], [_u32(t) for t in col("dfs")])
-
-
-def verified(cand: DataFrame, groups: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) that connect every component of candidate sets. groups: (node, root)."""
-    groups = common.written(groups)
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    rows = cand.join(groups, cand["rep"] == groups["node"]).drop("node")
-    small = rows.join(sizes.where(F.col("size") <= block), "root").withColumn("i", F.lit(0)).withColumn("j", F.lit(0)).withColumn("flags", F.lit(3)).withColumn("side", F.lit(0))
-    big_sizes = common.written(sizes.where(F.col("size") > block))
-    links = None
-    if not big_sizes.isEmpty():
-        big = rows.join(big_sizes, "root")
-        # Within one group: the set with the fewest unshared shingles, verified against all.
-        centre = big.groupBy("root").agg(F.min_by(F.struct("rep", "n_shingles", "p", "toks", "dfs"), F.struct((F.col("n_shingles") - F.octet_length("toks") / 8), "rep")).alias("c"))
-        faced = big.join(centre, "root")
-
-        def face(batches):
-            for rb in batches:
-                out = []
-                for r in rb.to_pylist():
-                    c = r["c"]
-                    ok = r["rep"] == c["rep"]
-                    if not ok:
-                        s = Sets([r["rep"], c["rep"]], [r["n_shingles"], c["n_shingles"]], [r["p"], c["p"]], [np.frombuffer(x["toks"], np.uint64) for x in (r, c)], [_u32(x["dfs"]) for x in (r, c)])
-                        ok = s.similar(0, 1)
-                    out.append((r["rep"], c["rep"], ok))
-                cols = list(zip(*out, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.bool_())], names=["rep", "centre", "ok"])
-
-        marks = common.written(faced.select("rep", "n_shingles", "p", "toks", "dfs", "c").mapInArrow(common.trimming(face), "rep long, centre long, ok boolean"))
-        links = marks.where("ok and rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b"))
-        n_blocks = F.ceil(F.col("size") / block).cast("int")
-        dealt = big.join(marks.select("rep", "ok"), "rep").withColumn("k", F.pmod(F.xxhash64("rep"), n_blocks.cast("long")).cast("int"))
-        # Blocks 0..n-1 hold linked sets, n..2n-1 the others; a pair of linked blocks is done.
-        dealt = dealt.withColumn("at", F.when(F.col("ok"), F.col("k")).otherwise(F.col("k") + n_blocks))
-        other = F.explode(F.sequence(F.lit(0), 2 * n_blocks - 1))
-        dealt = dealt.withColumn("o", other).where((F.col("at") >= n_blocks) | (F.col("o") >= n_blocks))
-        dealt = dealt.withColumn("i", F.least("at", "o")).withColumn("j", F.greatest("at", "o")).withColumn("side", F.when(F.col("at") == F.col("i"), 0).otherwise(1)).withColumn("flags", F.when(F.col("i") == F.col("j"), 3).otherwise(0))
-        cols = ["root", "i", "j", "side", "flags", "rep", "n_shingles", "p", "toks", "dfs"]
-        small = small.select(*cols).union(dealt.select(*cols))
-
-    def join(key, batches):
-        t = pa.Table.from_batches(batches) if not isinstance(batches, pa.Table) else batches
-        t = t.sort_by([("side", "ascending"), ("rep", "ascending")])
-        s = _sets(t)
-        first = len(s.reps) - sum(t.column("side").to_pylist())
-        same = t.column("flags").to_pylist()[0] == 3
-        got = s.links(first, [same, same])
-        return pa.table({"a": pa.array([s.reps[x] for x, _ in got], pa.int64()), "b": pa.array([s.reps[y] for _, y in got], pa.int64())})
-
-    found = small.select("root", "i", "j", "side", "flags", "rep", "n_shingles", "p", "toks", "dfs").groupBy("root", "i", "j").applyInArrow(join, "a long, b long")
-    return found if links is None else found.union(links)
+            toks = np.concatenate([np.frombuffer(t, np.int64)[:p] for t, p in zip(rb.column("toks").to_pylist(), ps, strict=True)])
+            own = np.repeat(np.arange(len(ps)), ps)
+            at = np.arange(len(own)) - np.repeat(np.cumsum(ps) - ps, ps)
+            n = rb.column("n_shingles").to_numpy()
+            out = [toks, rb.column("rep").to_numpy()[own], n[own], (sizes[own] - at).astype(np.int64), (n - sizes)[own], *(rb.column(c).to_numpy()[own] for c in more)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=cols)
+
+    return sets.mapInArrow(common.trimming(spread), ", ".join(f"{c} long" for c in cols))
+
+
+def _filters(x: str, y: str) -> Column:
+    """Length and positional filter on rows of one shingle: enough shared shingles are left from it
+    on. If it holds at none of a pair's shingles, it fails at the first, and the pair with it."""
+    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+    need = F.ceil(NUM * (nx + ny) / (NUM + DEN))
+    return (DEN * F.least(nx, ny) >= NUM * F.greatest(nx, ny)) & (F.least(f"{x}.left", f"{y}.left") >= need)
+
+
+def star_pairs(pref: DataFrame) -> DataFrame:
+    """(a, b): each set with the most central set of each shingle of its prefix."""
+    centre = pref.groupBy("tok").agg(F.min(F.struct("prio", "rep", "n", "left")).alias("c"), F.count(F.lit(1)).alias("_c")).where("_c > 1")
+    centre = common.written(centre.select("tok", "_c", F.struct("c.rep", "c.n", "c.left").alias("c")))
+    j = common.met(pref.alias("x"), centre, "tok", "_c", SPREAD)
+    j = j.where((F.col("rep") != F.col("c.rep")) & _pair_filter())
+    return j.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
+
+
+def _pair_filter() -> Column:
+    need = F.ceil(NUM * (F.col("n") + F.col("c.n")) / (NUM + DEN))
+    return (DEN * F.least("n", "c.n") >= NUM * F.greatest("n", "c.n")) & (F.least("left", "c.left") >= need)
+
+
+def open_pairs(pref: DataFrame, block: int) -> DataFrame:
+    """(a, b): all pairs that share a prefix shingle, pass the filters and are of two components.
+    pref has `comp`. Rows of a frequent shingle are dealt to blocks, each pair of blocks one key."""
+    groups = pref.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("_c")).where("lo < hi").select("tok", "_c")
+    rows = common.met(pref, common.written(groups), "tok", "_c", SPREAD)
+    k = F.ceil(F.col("_c") / block).cast("int")
+    rows = rows.withColumn("k", k).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("k").cast("long")).cast("int"))
+    x = rows.withColumn("i", F.col("b")).withColumn("j", F.explode(F.sequence("b", F.col("k") - 1))).alias("x")
+    y = rows.withColumn("j", F.col("b")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("b")))).alias("y")
+    on = (F.col("x.tok") == F.col("y.tok")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    # inside one block each pair comes twice; of two blocks once
+    once = (F.col("x.i") < F.col("x.j")) | (F.col("x.rep") < F.col("y.rep"))
+    pairs = x.join(y, on & once & (F.col("x.comp") != F.col("y.comp")) & _filters("x", "y"))
+    return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+
+
+def suffix_overlap(a: np.ndarray, b: np.ndarray, need: int, depth: int = DEPTH) -> bool:
+    """Whether sorted a and b may have `need` values in common, by halving at the middle of a."""
+    if min(len(a), len(b)) < need:
+        return False
+    return _most(a, b, depth) >= need
+
+
+def _most(a: np.ndarray, b: np.ndarray, depth: int) -> int:
+    if not depth or not len(a) or not len(b):
+        return min(len(a), len(b))
+    i = len(a) // 2
+    j = int(np.searchsorted(b, a[i]))
+    same = int(j < len(b) and b[j] == a[i])
+    return _most(a[:i], b[:j], depth - 1) + same + _most(a[i + 1 :], b[j + same :], depth - 1)
+
+
+def linked(x: tuple, y: tuple) -> bool:
+    """Suffix filter, then the overlap, of two sets (n, tokens and frequencies in the join's order)."""
+    (nx, tx, dx), (ny, ty, dy) = x, y
+    need = overlap_needed(nx, ny)
+    if min(len(tx), len(ty)) < need:
+        return False
+    t, d = np.concatenate((tx, ty)), np.concatenate((dx, dy))
+    order = np.lexsort((t, d))
+    new = np.concatenate(([True], t[order][1:] != t[order][:-1]))
+    rank = np.empty(len(t), np.int64)
+    rank[order] = np.cumsum(new)
+    a, b = rank[: len(tx)], rank[len(tx) :]
+    return suffix_overlap(a, b, need) and len(t) - int(new.sum()) >= need
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link; each fetches both of its sets."""
+    slim = sets.select("rep", F.struct("n_shingles", "toks", "dfs").alias("s"))
+    j = pairs
+    for side, other in (("a", "b"), ("b", "a")):
+        total = j.count() if side == "a" else total
+        j = common.fetched(j, slim.withColumnsRenamed({"rep": side, "s": f"s{side}"}), side, other, total, SPREAD)
 
+    def run(batches):
+        for rb in (x.slice(i, 256) for x in batches for i in range(0, x.num_rows, 256)):
+            keep = []
+            for x, y in zip(rb.column("sa").to_pylist(), rb.column("sb").to_pylist(), strict=True):
+                x, y = ((z["n_shingles"], np.frombuffer(z["toks"], np.uint64), _u32(z["dfs"])) for z in (x, y))
+                keep.append(linked(x, y))
+            m = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([rb.column("a").filter(m), rb.column("b").filter(m)], names=["a", "b"])
 
-def components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
+    return j.select("a", "b", "sa", "sb").mapInArrow(common.trimming(run), "a long, b long")
+
+
+def links_of(sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that connect all sets (rep, n_shingles, p, toks, dfs) that link."""
+    first = common.written(star_pairs(prefixes(sets)))
+    links = common.written(verified(first, sets))
+    comp = common.connected(links)
+    named = common.written(sets.select("rep").join(comp, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("root", "rep").alias("comp")))
+    pref = prefixes(sets.join(named, "rep"))
+    rest = common.written(open_pairs(pref, block).join(first, ["a", "b"], "left_anti"))
+    return links.union(verified(rest, sets))
+
+
+def grouped(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(doc_id, tag, n_shingles, key, key2, component) of every row of (doc_id, tag, text). A set of rows
+    without any doc_id has a negative number of its key in place of one."""
     spark = docs.sparkSession
-    src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     parts = common.partitions(spark)
-    ids = common.written(thin(src))
-    reps = common.written(ids.where("n_shingles > 0 and doc_id is not null").groupBy("key", "n_shingles").agg(F.min("doc_id").alias("rep")))
-    pack = packed(src.where("doc_id is not null"), parts)
-    cand = candidates(shared(pack, parts, parts), parts)
-    cand = common.written(cand.join(reps, ["key", "n_shingles"]).drop("key"))
+    ids = common.written(thin(docs))
+    none = F.lit(-(2**62)) - F.pmod("key", F.lit(2**61))
+    reps = common.written(ids.where("n_shingles > 0").groupBy("key", "key2", "n_shingles").agg(F.coalesce(F.min("doc_id"), F.min(none)).alias("rep")))
+    cand = candidates(shared(packed(docs, parts), parts, parts), parts)
+    cand = common.written(cand.join(reps, ["key", "n_shingles"]).drop("key", "key2"))
     common.released(spark)
-    groups = common.connected(prefix_links(cand, parts))
-    links = verified(cand, groups, block)
-    comp = common.connected(links)
-    named = common.written(reps.join(comp, reps["rep"] == comp["node"], "left").select("key", "n_shingles", F.coalesce("root", "rep").alias("component_id")))
-    return ids.join(named, ["key", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    comp = common.connected(links_of(cand, block))
+    named = common.written(reps.join(comp, F.col("rep") == F.col("node"), "left").select("key", "key2", "n_shingles", F.coalesce("root", "rep").alias("component")))
+    return ids.join(named, ["key", "key2", "n_shingles"], "left")
+
+
+def components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row."""
+    src = docs.select(F.col("doc_id").cast("long"), F.lit(0).cast("long").alias("tag"), F.col("text").cast("string"))
+    return grouped(src, block).select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def survivors(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one of the smallest id, with all its columns."""
-    comp = components(docs).where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(comp.withColumnRenamed("doc_id", "__q_keep"), docs["doc_id"].eqNullSafe(F.col("__q_keep")), "left_semi")
+    """One document of each component with all its columns: the smallest id (null last), of texts
+    that share it the smallest hash, and of rows repeated in full one. Documents without words link
+    with nothing and all stay."""
+    tag = F.xxhash64(F.col("text").cast("string"))
+    got = common.written(grouped(docs.select(F.col("doc_id").cast("long"), tag.alias("tag"), F.col("text").cast("string"))))
+    best = got.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "tag")).alias("m")).select("m.doc_id", "m.tag")
+    times = got.where("n_shingles > 0").groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("c"))
+    best = best.join(times, best["doc_id"].eqNullSafe(times["doc_id"]) & (best["tag"] == times["tag"])).select(best["doc_id"].alias("__q_d"), best["tag"].alias("__q_t"), F.col("c").alias("__q_c"))
+    bare = got.where("n_shingles = 0").select(F.col("doc_id").alias("__q_d"), F.col("tag").alias("__q_t")).distinct().withColumn("__q_c", F.lit(1).cast("long"))
+    won = common.written(best.unionByName(bare))
+    src = docs.withColumn("__q_h", tag)
+    kept = src.join(won, src["doc_id"].cast("long").eqNullSafe(F.col("__q_d")) & (F.col("__q_h") == F.col("__q_t")))
+    once = kept.where("__q_c > 1").dropDuplicates(["__q_d", "__q_t"])
+    return kept.where("__q_c = 1").union(once).select(*docs.columns)
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

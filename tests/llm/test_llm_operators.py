@@ -165,6 +165,22 @@ def test_jaccard(docs, block):
         kept = op4.survivors(docs)
         assert kept.columns == docs.columns
         assert {r.doc_id for r in kept.collect()} == {c for _, c in want.values()}
+        twice = op4.survivors(docs.union(docs).where("length(text) > 3"))
+        assert sorted(r.doc_id for r in twice.collect()) == sorted([*{c for d, (n, c) in want.items() if n and len(ROWS[d][1]) > 3}, *(d for d, (n, _) in want.items() for _ in "ab" if not n and len(ROWS[d][1] or "") > 3)])
+
+
+def test_jaccard_of_large_groups_and_null_ids(spark):
+    base = words(120).split()
+    rows = [(i, " ".join(base[:50] + [f"u{i}"] + base[50:])) for i in range(300)]
+    passage = words(30)
+    rows += [(1000 + i, words(5) + " " + passage + " " + words(40)) for i in range(60)] + [(2000 + i, " ".join(base[i:] + base[:i])) for i in range(0, 120, 9)]
+    want = components([(d, t) for d, t in rows])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    for block in (1024, 16):
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in op4.components(docs, block).collect()} == want
+    nulls = spark.createDataFrame([(None, passage), (None, passage), (None, " ".join(base)), (5, passage), (7, None), (7, None)], "doc_id long, text string")
+    assert Counter((r.doc_id, r.text) for r in op4.survivors(nulls).collect()) == {(5, passage): 1, (None, " ".join(base)): 1, (7, None): 2}
+    assert all(r.component_id is None for r in op4.components(nulls).where("doc_id is null").collect())
 
 
 def test_jaccard_empty(empty):
