@@ -129,7 +129,9 @@ def blocks(files: DataFrame) -> DataFrame:
     """(f, block, known, counts, n_other): each block's templates' terms, their counts (null where
     the block cannot reach the threshold), and how many other words."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    runs = F.filter(F.split(text, _possessive(f"\n(?:{WORDLESS}*\n)+")), lambda x: x.rlike(r"[\p{L}\p{N}][^\n]*\n[^\n]*[\p{L}\p{N}]"))
+    # two lines with words: what follows leading lines without any has a line break before a word
+    wrapped = lambda x: F.regexp_replace(x, _possessive(f"^(?:{WORDLESS}*\n)+"), "").rlike(r"\n[^\p{L}\p{N}]*+[\p{L}\p{N}]")
+    runs = F.filter(F.split(text, _possessive(f"\n(?:{WORDLESS}*\n)+")), wrapped)
     head = F.filter(F.array(F.regexp_extract(text, _possessive(HEAD), 0)), lambda x: x != "")
     whole = F.when(F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False)), F.array(text)).otherwise(F.array().cast("array<string>"))
     parts = files.select("f", F.posexplode(F.concat(F.split(text, "\n"), runs, head, whole)).alias("block", "part"))
