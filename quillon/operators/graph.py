@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import cut
+
 # Edge statuses from the weakest.
 RANKS = ("inferred", "pending", "recorded", "confirmed")
 
@@ -43,10 +45,8 @@ def shortest_paths(edges: DataFrame, start: str, prefix: str, most: int = 6, lim
     for k in range(1, most + 1):
         step = front.join(both, front["node"] == both["src"]).select(F.col("dst"), F.col("path"), F.col("node"))
         step = step.groupBy("dst").agg(F.min_by("path", "node").alias("p")).select(F.col("dst").alias("node"), F.lit(k).alias("distance"), F.concat("p", F.array("dst")).alias("path"))
-        front = step.join(seen.select("node"), "node", "left_anti").checkpoint() if _can(edges) else step.join(seen.select("node"), "node", "left_anti")
+        front = cut(step.join(seen.select("node"), "node", "left_anti"))
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen.where(F.col("node").startswith(prefix) & (F.col("node") != start)).orderBy("distance", "node").limit(limit)
-
-
-def _can(df: DataFrame) -> bool:
-    return df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 
 import pyarrow as pa
@@ -56,10 +57,12 @@ def build_chunks(versions: DataFrame, size: int = SIZE, overlap: int = OVERLAP)
                     first, last = (pages[0]["page_no"], pages[-1]["page_no"]) if pages else (1, 1)
                     rows.append((version, f"{version}:0:{sha[:16]}", 0, first, last, 0, 0, "", sha, []))
                     continue
+                starts, ends = [x[0] for x in bounds], [x[1] for x in bounds]
+                in_order = all(x[2] < y[2] for x, y in zip(bounds, bounds[1:], strict=False))
                 for k, (a, b) in enumerate(cuts(text, size, overlap)):
-                    over = [x for x in bounds if x[0] < b and x[1] > a]
+                    over = bounds[bisect.bisect_right(ends, a) : bisect.bisect_left(starts, b)]
                     lo, hi = over[0][2], over[-1][2]
-                    flags = sorted({f for x in bounds if lo <= x[2] <= hi for f in x[3]})
+                    flags = sorted({f for x in (over if in_order else bounds) if lo <= x[2] <= hi for f in x[3]})
                     sha = hashlib.sha256(text[a:b].encode()).hexdigest()
                     rows.append((version, f"{version}:{k}:{sha[:16]}", k, lo, hi, a, b, text[a:b], sha, flags))
             kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()))

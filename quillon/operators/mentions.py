@@ -2,7 +2,7 @@
 
 Extraction is one pass over a text with built-in expressions. Collision is two aggregations, by
 (type, value, case) and by (type, value), so a value in a third of all rows is combined on the
-map side and no group is ever gathered.
+map side. Only a candidate's list of cases is gathered: it is the candidate's result and key.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import identifiers as ids
 
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+# A run of letters is tried from its start only, so long texts without @ are passed once.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 TYPES = ("ACCOUNT", "DEVICE", "ID_CARD", "IP", "PHONE")
 
 
@@ -31,7 +32,7 @@ def _found(text: Column, kind: str) -> Column:
         return F.filter(found, lambda x: x.rlike(r"^(25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(\.(25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}$"))
     if kind == "PHONE":
         return F.filter(runs, lambda x: x.rlike("^(86)?1[3-9][0-9]{9}$"))
-    return F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0))
+    return F.when(F.contains(text, F.lit("@")), F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def extract(chunks: DataFrame, text: str = "text", kinds: tuple[str, ...] = TYPES) -> DataFrame:
@@ -49,16 +50,20 @@ def _tag(kind: str):
     return lambda s: F.struct(F.lit(kind).alias("k"), s.alias("s"))
 
 
+def _eligible(mentions: DataFrame, kinds: tuple[str, ...]) -> Column:
+    ok = F.col("object_type").isin(*kinds) & (F.coalesce("normalized_value", F.lit("")) != "")
+    if "masked" in mentions.columns:
+        aligned = F.col("mask_kind").isin("phone_mask", "account_mask") & ids.mask_collide_ok(F.col("object_type"), F.col("normalized_value"))
+        ok = ok & (~F.coalesce("masked", F.lit(False)) | F.coalesce(aligned, F.lit(False)))
+    return F.coalesce(ok & ~ids.is_excluded(F.col("object_type"), F.col("normalized_value")), F.lit(False))
+
+
 def eligible(mentions: DataFrame, kinds: tuple[str, ...] = ids.STRONG_TYPES) -> DataFrame:
     """Mentions that may collide: type, value, masks that show enough, exclusions.
 
     mention columns: case_id, chunk_id, object_type, surface_raw, normalized_value, quote_hash and
     optionally masked (boolean) and mask_kind."""
-    df = mentions.where(F.col("object_type").isin(*kinds) & (F.coalesce("normalized_value", F.lit("")) != ""))
-    if "masked" in df.columns:
-        aligned = F.col("mask_kind").isin("phone_mask", "account_mask") & ids.mask_collide_ok(F.col("object_type"), F.col("normalized_value"))
-        df = df.where(~F.coalesce("masked", F.lit(False)) | F.coalesce(aligned, F.lit(False)))
-    return df.where(~ids.is_excluded(F.col("object_type"), F.col("normalized_value")))
+    return mentions.where(_eligible(mentions, kinds))
 
 
 def collide(mentions: DataFrame, rejected: DataFrame | None = None, kinds: tuple[str, ...] = ids.STRONG_TYPES, corroborate: bool = True) -> DataFrame:
@@ -67,16 +72,19 @@ def collide(mentions: DataFrame, rejected: DataFrame | None = None, kinds: tuple
     NAME and ORGANIZATION need, in every case, a mention of a corroborating type, unless the
     organisation has a commercial suffix or a credit code. `rejected` has fingerprints to leave out.
     Columns: object_type, normalized_value, case_ids, case_count, mention_count, fingerprint."""
-    m = eligible(mentions, kinds)
-    code = F.col("mask_kind") == "credit_code" if "mask_kind" in m.columns else F.lit(False)
-    by_case = m.groupBy("object_type", "normalized_value", "case_id").agg(
-        F.count_distinct(F.coalesce("chunk_id", F.lit("")), F.coalesce("surface_raw", F.col("normalized_value"))).alias("mentions"),
-        F.bool_or(F.coalesce("chunk_id", F.lit("")) != "").alias("has_chunk"),
-        F.bool_or(F.coalesce("quote_hash", F.lit("")) != "").alias("has_hash"),
-        F.bool_or(code).alias("code"),
+    code = F.col("mask_kind") == "credit_code" if "mask_kind" in mentions.columns else F.lit(False)
+    # One aggregation of all mentions; the types of a case come from it too, so texts are read once.
+    fit = _eligible(mentions, kinds)
+    seen = F.struct(F.coalesce("chunk_id", F.lit("")).alias("c"), F.coalesce("surface_raw", F.col("normalized_value")).alias("s"))
+    every = mentions.where(F.coalesce("normalized_value", F.lit("")) != "").withColumn("_fit", fit).groupBy("object_type", "normalized_value", "case_id").agg(
+        F.count_distinct(F.when(F.col("_fit"), seen)).alias("mentions"),
+        F.bool_or(F.col("_fit") & (F.coalesce("chunk_id", F.lit("")) != "")).alias("has_chunk"),
+        F.bool_or(F.col("_fit") & (F.coalesce("quote_hash", F.lit("")) != "")).alias("has_hash"),
+        F.bool_or(F.col("_fit") & code).alias("code"),
     )
+    by_case = every.where("mentions > 0")
     if corroborate:
-        types = mentions.where(F.coalesce("normalized_value", F.lit("")) != "").groupBy("case_id").agg(F.collect_set("object_type").alias("types"))
+        types = every.groupBy("case_id").agg(F.collect_set("object_type").alias("types"))
         by_case = by_case.join(types, "case_id", "left")
         ok = F.lit(True)
         for kind, need in ids.CORROBORATION.items():

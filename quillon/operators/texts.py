@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 # (pattern, replacement) in the order in which they are applied.
 REDACTIONS = (
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]"),
+    (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]"),
     (r"[0-9]{15,19}", "[NUMBER]"),
     (r"([0-9]{1,3})\.([0-9]{1,3})\.[0-9]{1,3}\.[0-9]{1,3}", "$1.$2.*.*"),
     (r"\+1 \([0-9]{3}\) 555-[0-9]{4}", "[PHONE]"),
