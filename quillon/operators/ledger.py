@@ -6,6 +6,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import persons
+from .storage import cut
+
 STEMS = "甲乙丙丁戊己庚辛壬癸"
 
 
@@ -54,7 +57,7 @@ def mapped(originals: DataFrame, ledger: DataFrame, salt: str) -> DataFrame:
     ledger: (fingerprint, anonymous_id, object_type)."""
     keys = originals.select("object_type", "original", fingerprint(F.col("original"), salt).alias("fingerprint")).dropDuplicates(["fingerprint"])
     new = keys.join(ledger.select("fingerprint"), "fingerprint", "left_anti")
-    ids = new.select("fingerprint", F.concat_ws("_", "object_type", F.substr("fingerprint", F.lit(1), F.lit(16))).alias("anonymous_id"), "object_type")
+    ids = new.select("fingerprint", F.concat_ws("_", "object_type", F.substr("fingerprint", F.lit(1), F.lit(32))).alias("anonymous_id"), "object_type")
     return ledger.select("fingerprint", "anonymous_id", "object_type").unionByName(ids)
 
 
@@ -67,6 +70,26 @@ def display_aliases(people: DataFrame) -> DataFrame:
     return n.withColumn("alias", F.concat("surname", F.lit("某"), mark)).drop("_k")
 
 
+def aliases(items: DataFrame, taken: DataFrame | None = None, surnames: str = persons.SURNAMES) -> DataFrame:
+    """Adds alias to (object_type, original, first_seen): its base as it is, then with 甲 to 癸, then
+    with numbers from 11, in the order of first sight, past the aliases that are `taken` (alias).
+    Each base tries as many marks as it has items and taken aliases, so a free one is left for all."""
+    n = items.withColumn("_base", persons.alias_base(F.col("object_type"), F.col("original"), surnames))
+    n = n.withColumn("_k", F.row_number().over(Window.partitionBy("_base").orderBy("first_seen", "original")))
+    need = n.groupBy("_base").agg(F.max("_k").alias("_n"))
+    if taken is not None:
+        stem = F.regexp_replace("alias", f"([{STEMS}]|[0-9]+)$", "")
+        used = taken.select(F.explode(F.array_distinct(F.array("alias", stem))).alias("_base"), "alias").distinct().groupBy("_base").agg(F.count(F.lit(1)).alias("_u"))
+        need = need.join(used, "_base", "left").withColumn("_n", F.col("_n") + F.coalesce("_u", F.lit(0)))
+    marks = need.select("_base", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_i"))
+    mark = F.when(F.col("_i") == 1, "").when(F.col("_i") <= 11, F.substr(F.lit(STEMS), F.col("_i") - 1, F.lit(1))).otherwise((F.col("_i") - 1).cast("string"))
+    free = marks.select("_base", "_i", F.concat("_base", mark).alias("alias"))
+    if taken is not None:
+        free = free.join(taken.select("alias").distinct(), "alias", "left_anti")
+    free = free.withColumn("_k", F.row_number().over(Window.partitionBy("_base").orderBy("_i"))).select("_base", "_k", "alias")
+    return n.join(free, ["_base", "_k"]).drop("_base", "_k")
+
+
 def clue_checks(clues: DataFrame) -> DataFrame:
     """Adds errors: array<string> to clues (batch_id, clue_id, title, aspect, objects, evidence_count)."""
     same = Window.partitionBy("batch_id", F.array_join(F.slice(F.array_sort("objects"), 1, 5), "|"), "aspect")
@@ -106,6 +129,9 @@ def report_sources(evidence: DataFrame, most: int = 6) -> DataFrame:
     per = Window.partitionBy("clue_id").orderBy("evidence_no")
     kept = evidence.withColumn("_k", F.row_number().over(per)).where(F.col("_k") <= most)
     sizes = kept.groupBy("clue_order", "clue_id").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per clue of one report
-    before = sizes.withColumn("_b", F.sum("_n").over(Window.orderBy("clue_order", "clue_id")) - F.col("_n")).select("clue_id", "_b")
+    # prefix sums in two levels: ranges of clues in order, and one row per range
+    ranges = cut(sizes.repartitionByRange("clue_order", "clue_id").withColumn("_r", F.spark_partition_id()))
+    offsets = ranges.groupBy("_r").agg(F.sum("_n").alias("_s")).withColumn("_o", F.sum("_s").over(Window.orderBy("_r")) - F.col("_s")).select("_r", "_o")
+    inner = F.sum("_n").over(Window.partitionBy("_r").orderBy("clue_order", "clue_id")) - F.col("_n")
+    before = ranges.join(F.broadcast(offsets), "_r").withColumn("_b", F.col("_o") + inner).select("clue_id", "_b")
     return kept.join(before, "clue_id").withColumn("source_no", F.col("_b") + F.col("_k")).drop("_k", "_b")
