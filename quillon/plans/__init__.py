@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identifiers as ids
-from ..operators import citations, compare, events, graph, identity, materials, mentions, review, texts
+from ..operators import citations, compare, events, graph, identity, materials, mentions, review, storage, texts
 from ..sources import reports
 
 QUERIES: dict = {}
@@ -95,7 +95,7 @@ def identifier_corroborated(spark, d):
 
 
 @query(
-    """WITH RECURSIVE t AS (SELECT doc_id, CASE WHEN text LIKE '%' || chr(10) THEN text ELSE text || chr(10) END AS x FROM documents WHERE trim(text) <> ''),
+    """WITH RECURSIVE t AS (SELECT doc_id, CASE WHEN text LIKE '%' || chr(10) THEN text ELSE text || chr(10) END AS x FROM documents WHERE regexp_matches(text, '\\S')),
 b AS (
   SELECT doc_id, x, 0 AS k, 0 AS s FROM t
   UNION ALL
@@ -107,11 +107,12 @@ b AS (
   SELECT *, CASE WHEN s + 1000 < length(x) AND p > 500 THEN s + p + 1 ELSE least(s + 1000, length(x)) END AS e FROM (
     SELECT *, greatest(length(w) - coalesce(nullif(strpos(reverse(w), chr(10)), 0), length(w) + 1), length(w) - coalesce(nullif(strpos(reverse(w), ' '), 0), length(w) + 1), length(w) - coalesce(nullif(strpos(reverse(w), chr(12288)), 0), length(w) + 1)) AS p
     FROM (SELECT *, substr(x, s + 1, 1000) AS w FROM b)))
-SELECT CAST(doc_id AS VARCHAR) AS document_version_id, CAST(k AS INT) AS ordinal, CAST(s AS INT) AS char_start, CAST(e AS INT) AS char_end, sha256(substr(x, s + 1, e - s)) AS text_sha256 FROM c"""
+SELECT CAST(doc_id AS VARCHAR) AS document_version_id, CAST(k AS INT) AS ordinal, CAST(s AS INT) AS char_start, CAST(e AS INT) AS char_end, sha256(substr(x, s + 1, e - s)) AS text_sha256 FROM c
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 0, 0, 0, sha256('') FROM documents WHERE text IS NULL OR NOT regexp_matches(text, '\\S')"""
 )
 def build_chunks(spark, d):
     page = F.struct(F.lit(1).alias("page_no"), F.col("text"), F.array().cast("array<string>").alias("quality_flags"))
-    docs = _t(spark, d, "documents").where(F.trim("text") != "").select(F.col("doc_id").alias("document_version_id"), F.array(page).alias("pages"))
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("document_version_id"), F.array(page).alias("pages"))
     return materials.build_chunks(docs).select("document_version_id", "ordinal", "char_start", "char_end", "text_sha256")
 
 
@@ -191,6 +192,7 @@ SELECT CAST(node AS BIGINT) AS node, min(CAST(c AS BIGINT)) AS root FROM r GROUP
 def identity_components(spark, d):
     """Documents that share identifiers, linked through the identifier's first document."""
     m = _mentions(spark, d).select("object_type", "normalized_value", F.col("chunk_id").cast("long").alias("doc"))
+    m = storage.cut(m.distinct())  # texts are scanned once
     low = m.groupBy("object_type", "normalized_value").agg(F.min("doc").alias("low"))
     edges = m.join(low, ["object_type", "normalized_value"]).select(F.col("doc").alias("a"), F.col("low").alias("b")).distinct()
     return identity.components(edges)
@@ -263,9 +265,9 @@ def event_sequence(spark, d):
     return identity.sequence_edges(_t(spark, d, "events"), "user_id", "ts", "event_id").select("user_id", "event_from", "event_to")
 
 
-@query("WITH m AS (SELECT DISTINCT l_orderkey AS g, l_suppkey AS i FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F') SELECT a.i AS i, b.i AS j, count(*) AS n FROM m a JOIN m b ON a.g = b.g AND a.i < b.i GROUP BY 1, 2")
+@query("WITH m AS (SELECT DISTINCT l_orderkey AS g, l_suppkey AS i FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT a.i AS i, b.i AS j, count(*) AS n FROM m a JOIN m b ON a.g = b.g AND a.i < b.i GROUP BY 1, 2")
 def cooccur_pairs(spark, d):
-    j = _t(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(_t(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    j = _t(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(_t(spark, d, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     return identity.cooccurrence(j, "l_orderkey", "l_suppkey")
 
 
@@ -400,3 +402,6 @@ SELECT doc_id AS report_id, CAST(ordinal AS INT) AS ordinal, kind, regexp_replac
 def report_blocks(spark, d):
     """Documents stand in for reports."""
     return reports.report_blocks(_t(spark, d, "documents").select(F.col("doc_id").alias("report_id"), F.col("text").alias("markdown")))
+
+
+from . import mapped, notes, records, state  # noqa: E402, F401
