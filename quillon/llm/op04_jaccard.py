@@ -115,7 +115,7 @@ def _u32(raw) -> np.ndarray:
 PACK = "b int, keys binary, ns binary, counts binary, toks binary"
 
 
-def packed(docs: DataFrame, buckets: int, hold: int = 3_000_000) -> DataFrame:
+def packed(docs: DataFrame, buckets: int, hold: int = 2_000_000) -> DataFrame:
     """Sets by token bucket: per bucket the sets' keys and sizes, how many tokens each has in the
     bucket, and the tokens (48 bits, besides the bucket)."""
 
@@ -123,8 +123,8 @@ def packed(docs: DataFrame, buckets: int, hold: int = 3_000_000) -> DataFrame:
         keys = np.array([k for k, _ in sets], np.int64)
         ns = np.array([n for _, n in sets], np.uint32)
         toks = np.concatenate(list(sets.values()))
-        own = np.repeat(np.arange(len(keys)), ns)
-        b = ((toks >> _U(48)) % _U(buckets)).astype(np.int64)
+        own = np.repeat(np.arange(len(keys), dtype=np.int32), ns)
+        b = ((toks >> _U(48)) % _U(buckets)).astype(np.int32)
         order = np.argsort(b, kind="stable")
         b, toks, own = b[order], toks[order], own[order]
         cut = np.searchsorted(b, np.arange(buckets + 1))
