@@ -64,55 +64,59 @@ def _compact_bytes(text: str | None) -> bytes:
     return b"".join((text or "").encode().split())
 
 
-def locate_quotes(quotes: DataFrame, texts: DataFrame, size: int = 32, block: int = 500_000) -> DataFrame:
+def _anchors(raw: bytes, size: int, gram: int, weights: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    """Of each `size`-byte window the least hash of its grams, each once; equal windows have equal ones."""
+    h = _window_hashes(raw, gram, weights, inverse) * np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    w = size - gram + 1
+    return np.unique(np.lib.stride_tricks.sliding_window_view(h, w).min(axis=1)) if len(h) >= w else h[:0]
+
+
+def locate_quotes(quotes: DataFrame, texts: DataFrame, size: int = 24, gram: int = 8) -> DataFrame:
     """(quote_id, text_id, exact) of texts that hold a quote, ignoring white space.
 
-    A quote's first `size` compact bytes are its key. The quotes are the query set: their keys go
-    to the texts in blocks of bounded size, each text's windows are hashed in one linear pass, and
-    texts with a common key are verified. No pair without a common key is formed."""
+    A quote's key is the anchor of its first `size` compact bytes, or the hash of the whole if it is
+    shorter. Texts give the anchors of all their windows, each once, and the hashes of their windows of
+    those short lengths that quotes have (fewer than `size`). Quotes and texts are joined on keys, and
+    what meets is verified; no key goes to the driver."""
     q = quotes.select("quote_id", "quote", compact(F.col("quote")).alias("q")).where("q <> ''")
 
     def keyed(batches):
+        w, v = _powers(size + 1)
         for rb in batches:
             raws = [_compact_bytes(t)[:size] for t in rb.column("quote").to_pylist()]
-            w, v = _powers(size + 1)
-            keys = [int(_window_hashes(r, len(r), w, v)[0].view(np.int64)) for r in raws]
+            keys = [int((_anchors(r, size, gram, w, v) if len(r) == size else _window_hashes(r, len(r), w, v))[0].view(np.int64)) for r in raws]
             yield pa.RecordBatch.from_arrays([rb.column("quote_id"), rb.column("quote"), rb.column("q"), pa.array([len(r) for r in raws], pa.int32()), pa.array(keys, pa.int64())], names=["quote_id", "quote", "q", "n", "key"])
 
     q = q.mapInArrow(keyed, T.StructType([*q.schema.fields, *_KEY]))
-    blocks = -(-q.count() // block)
-    out = None
-    for k in range(blocks):
-        part = q.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == k)
-        wanted: dict[int, list] = {}
-        for r in part.select("n", "key").distinct().collect():  # about `block` rows
-            wanted.setdefault(r["n"], []).append(r["key"])
-        wanted = {n: np.sort(np.array(v, np.int64).view(np.uint64)) for n, v in wanted.items()}
-
-        def scan(batches, wanted=wanted):
-            w, v = _powers(1 << 16)
-            for rb in batches:
-                ids, widths, keys = [], [], []
-                for tid, text in zip(rb.column("text_id").to_pylist(), rb.column("text").to_pylist(), strict=True):
-                    raw = _compact_bytes(text)
-                    if len(raw) + 1 > len(w):
-                        w, v = _powers(2 * len(raw))
-                    for n, own in wanted.items():
-                        if len(raw) >= n:
-                            h = _window_hashes(raw, n, w, v)
-                            at = np.minimum(np.searchsorted(own, h), len(own) - 1)
-                            for x in np.unique(h[own[at] == h]).view(np.int64).tolist():
-                                ids.append(tid)
-                                widths.append(n)
-                                keys.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, rb.column("text_id").type), pa.array(widths, pa.int32()), pa.array(keys, pa.int64())], names=["text_id", "n", "key"])
-
-        found = texts.select("text_id", "text").mapInArrow(scan, T.StructType([texts.schema["text_id"], *_KEY]))
-        hit = found.join(part, ["n", "key"]).select("quote_id", "text_id", "quote", "q")
-        out = hit if out is None else out.union(hit)
-    if out is None:
-        return texts.select(F.lit(None).cast(quotes.schema["quote_id"].dataType).alias("quote_id"), "text_id", F.lit(True).alias("exact")).limit(0)
-    j = out.distinct().join(texts.select("text_id", "text"), "text_id")
+    short = sorted(r["n"] for r in q.where(F.col("n") < size).select("n").distinct().collect())  # fewer than `size`
+
+    def scan(batches):
+        w, v = _powers(1 << 16)
+        for rb in batches:
+            kind, ids, sizes, widths, keys = rb.column("text_id").type, [], [], [], []
+            for tid, text in zip(rb.column("text_id").to_pylist(), rb.column("text").to_pylist(), strict=True):
+                raw = _compact_bytes(text)
+                if len(raw) + 1 > len(w):
+                    w, v = _powers(2 * len(raw))
+                found = [(size, _anchors(raw, size, gram, w, v))] if len(raw) >= size else []
+                for n, h in found + [(n, np.unique(_window_hashes(raw, n, w, v))) for n in short if len(raw) >= n]:
+                    ids.append(tid)
+                    sizes.append(len(h))
+                    widths.append(n)
+                    keys.append(h)
+                if sum(sizes[-64:]) > 1 << 20:
+                    yield batch(kind, ids, sizes, widths, keys)
+                    ids, sizes, widths, keys = [], [], [], []
+            if keys:
+                yield batch(kind, ids, sizes, widths, keys)
+
+    def batch(kind, ids, sizes, widths, keys):
+        at = pa.array(np.repeat(np.arange(len(ids)), sizes))
+        return pa.RecordBatch.from_arrays([pa.array(ids, kind).take(at), pa.array(np.repeat(np.array(widths, np.int32), sizes)), pa.array(np.concatenate(keys).view(np.int64))], names=["text_id", "n", "key"])
+
+    hits = texts.select("text_id", "text").mapInArrow(scan, T.StructType([texts.schema["text_id"], *_KEY])).join(q, ["n", "key"]).select("quote_id", "text_id", "quote", "q").distinct()
+    j = hits.join(texts.select("text_id", "text"), "text_id")
     return j.where(F.contains(compact(F.col("text")), F.col("q"))).select("quote_id", "text_id", F.contains("text", F.col("quote")).alias("exact"))
 
 
