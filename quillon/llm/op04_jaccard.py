@@ -41,6 +41,7 @@ NUM, DEN = 75, 100
 BLOCK = 1024  # rows of a shingle joined with each other in one piece
 SPREAD = 16  # a key is hot beyond 1 / (SPREAD * partitions) of all rows
 DEPTH = 3
+BEYOND = 2**62  # no doc_id is larger
 _U = np.uint64
 _COEF = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
@@ -354,14 +355,20 @@ def links_of(sets: DataFrame, block: int = BLOCK) -> DataFrame:
     return links.union(verified(rest, sets))
 
 
-def grouped(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(doc_id, tag, n_shingles, key, key2, component) of every row of (doc_id, tag, text). A set of rows
-    without any doc_id has a negative number of its key in place of one."""
+def grouped(docs: DataFrame, block: int = BLOCK, apart: bool = False) -> DataFrame:
+    """(doc_id, tag, n_shingles, key, key2, component) of every row of (doc_id, tag, text). A set without
+    any doc_id has a number beyond them, of its key, in place of one; and so has, if texts that share an
+    id are to be told `apart`, any other set of an id."""
     spark = docs.sparkSession
     parts = common.partitions(spark)
     ids = common.written(thin(docs))
-    none = F.lit(-(2**62)) - F.pmod("key", F.lit(2**61))
-    reps = common.written(ids.where("n_shingles > 0").groupBy("key", "key2", "n_shingles").agg(F.coalesce(F.min("doc_id"), F.min(none)).alias("rep")))
+    own = F.struct("key", "key2", "n_shingles")
+    beyond = F.lit(BEYOND) + F.pmod("key", F.lit(2**61))
+    reps = ids.where("n_shingles > 0").groupBy("key", "key2", "n_shingles").agg(F.min("doc_id").alias("low"))
+    if apart:
+        first = common.written(reps).groupBy("low").agg(F.min(own).alias("first"))
+        reps = reps.join(first, "low", "left").withColumn("low", F.when(F.col("first") == own, F.col("low"))).drop("first")
+    reps = common.written(reps.select("key", "key2", "n_shingles", F.coalesce("low", beyond).alias("rep")))
     cand = candidates(shared(packed(docs, parts), parts, parts), parts)
     cand = common.written(cand.join(reps, ["key", "n_shingles"]).drop("key", "key2"))
     common.released(spark)
@@ -381,7 +388,7 @@ def survivors(docs: DataFrame) -> DataFrame:
     that share it the smallest hash, and of rows repeated in full one. Documents without words link
     with nothing and all stay."""
     tag = F.xxhash64(F.col("text").cast("string"))
-    got = common.written(grouped(docs.select(F.col("doc_id").cast("long"), tag.alias("tag"), F.col("text").cast("string"))))
+    got = common.written(grouped(docs.select(F.col("doc_id").cast("long"), tag.alias("tag"), F.col("text").cast("string")), apart=True))
     best = got.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "tag")).alias("m")).select("m.doc_id", "m.tag")
     times = got.where("n_shingles > 0").groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("c"))
     best = best.join(times, best["doc_id"].eqNullSafe(times["doc_id"]) & (best["tag"] == times["tag"])).select(best["doc_id"].alias("__q_d"), best["tag"].alias("__q_t"), F.col("c").alias("__q_c"))
