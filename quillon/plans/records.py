@@ -40,12 +40,12 @@ def live_chunks(spark, d):
 
 @query(
     """WITH m AS (SELECT o_orderkey, o_orderkey % 3 + 1 AS a, o_orderkey % 3 + 1 + o_orderkey % 4 AS b FROM orders)
-SELECT o_orderkey AS document_version_id, CAST(a AS INT) AS page_start, CAST(b AS INT) AS page_end, round(avg(l_discount), 4) AS page_confidence FROM m LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber BETWEEN a AND b GROUP BY ALL"""
+SELECT o_orderkey AS document_version_id, CAST(a AS INT) AS page_start, CAST(b AS INT) AS page_end, round(avg(CAST(round(l_discount * 100) AS INT)), 4) AS page_confidence FROM m LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber BETWEEN a AND b GROUP BY ALL"""
 )
 def page_confidence(spark, d):
     k = F.col("o_orderkey")
     m = _t(spark, d, "orders").select(k.alias("document_version_id"), (k % 3 + 1).cast("int").alias("page_start"), (k % 3 + 1 + k % 4).cast("int").alias("page_end"))
-    pages = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("document_version_id"), F.col("l_linenumber").alias("page_no"), F.col("l_discount").alias("confidence"))
+    pages = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("document_version_id"), F.col("l_linenumber").alias("page_no"), F.round(F.col("l_discount") * 100).cast("int").alias("confidence"))
     return live.with_page_confidence(m, pages).select("document_version_id", "page_start", "page_end", "page_confidence")
 
 
