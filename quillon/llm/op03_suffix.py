@@ -19,6 +19,10 @@ document, earlier) is removed, judged on the input; matches never cross document
    class is an interval of suffixes with a common prefix of 100 bytes.
 4. In each repeated interval all window starts but the first in corpus order are removed.
 
+Shards are parts of one task's piece: shipping transforms with their positions between tasks would
+take more than ten bytes for each byte of text. An anchor with very many differing contexts stays
+in one piece, in memory.
+
 Work is by bucket and in pieces of about 128 KB of contexts; nothing is gathered by document group.
 Null text is empty. Rows that share a doc_id are told apart by their text; a row repeated in full
 is the same document and is treated alike. Null doc_ids come first. An empty table gives none.
