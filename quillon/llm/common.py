@@ -146,7 +146,7 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 
 PRIME = _U(2**31 - 1)
 _BASES = tuple(int(x) for x in _rng.integers(2**29, 2**31 - 2, 2))
-_STEP = 1 << 20
+_STEP = 1 << 16
 _tables: list = []
 
 

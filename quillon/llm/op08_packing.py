@@ -54,11 +54,11 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.keys = np.zeros(1 << TABLE_BITS, np.uint64)
-        self.first = np.zeros(1 << TABLE_BITS, np.int64)
+        self.first = np.zeros(1 << TABLE_BITS, np.int32)
         self.count = np.zeros(1 << TABLE_BITS, np.int32)
         self.pool, self.held, self.units = np.zeros(1 << 20, np.uint32), 0, 0
-        self.spell = np.zeros(1 << TABLE_BITS, np.int64)  # where a unit's bytes are, and how many
-        self.size = np.zeros(1 << TABLE_BITS, np.int64)
+        self.spell = np.zeros(1 << TABLE_BITS, np.int32)  # where a unit's bytes are, and how many
+        self.size = np.zeros(1 << TABLE_BITS, np.int32)
         self.letters, self.spelt = np.zeros(1 << 20, np.uint8), 0
 
     def find(self, h: np.ndarray) -> np.ndarray:
@@ -133,7 +133,7 @@ class WordEncoder:
         h = common.spans_hash(low, a, b) | np.uint64(1)
         slot = self.find(h)
         new, where = np.unique(h[slot < 0], return_index=True)
-        if self.units + len(new) > len(self.keys) // 2:
+        if self.units + len(new) > len(self.keys) // 2 or max(self.held, self.spelt) > 1 << 29:
             self.clear()
             new, where = np.unique(h, return_index=True)
             while 2 * len(new) > len(self.keys):
