@@ -39,14 +39,27 @@ def scratch(spark: SparkSession) -> str:
     return f"{base}/quillon-{uuid.uuid4().hex}"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new scratch folder that exists and is deleted when the application ends."""
+    path = scratch(spark)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(folder)
+    store.deleteOnExit(folder)
+    return path
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder that nothing reads any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cut lineage with a table in the shared folder, so a lost executor costs only a re-read."""
-    spark = df.sparkSession
-    path = scratch(spark)
+    path = f"{shared_folder(df.sparkSession)}/table"
     df.write.parquet(path)
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def released(spark: SparkSession) -> None:
