@@ -15,6 +15,7 @@ QUERIES = {
     "op8_best_fit_packing": "op08_packing",
     "op9_chat_format": "op09_chat",
     "op10_warc": "op10_warc",
+    "op11_prefix_trie": "op11_trie",
     "op12_vector_codes": "op12_vector_codes",
     "op13_token_files": "op13_token_files",
 }
