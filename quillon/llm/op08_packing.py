@@ -2,12 +2,14 @@
 
 The corpus is read once: a tokenising pass gives thin piece rows (no ids), which are written to
 the shared folder. Only the histogram of piece lengths, at most `size` rows, reaches the driver.
-There multiplicative weights price configurations with a knapsack DP, whose first prices give a
-dual bound; lengths are answered by the best full configurations in whole steps, so the solution
+There multiplicative weights price configurations with a knapsack DP; prices give dual bounds (those
+by tokens alone the quotient of all tokens); lengths are answered by the best full configurations in whole steps, so the solution
 is rounded down as it grows. At least nine tenths of the pieces are placed so; the last few per
-cent, an even sample of all lengths by then, fill up by best fit. Plain best fit of all is computed
-too, and is taken should it need fewer sequences. Rows then find their sequence through their rank
-within their length, counted in hash buckets so that a hot length is split.
+cent, an even sample of all lengths by then, fill up by best fit. Prices are integers (fixed point, no
+library functions of floats), so a plan is the same on every machine. A rounded plan that needs more
+sequences than the dual bound is rounded again, with more or less left over or finer steps, and the
+plan of fewest sequences is taken. Rows then find their sequence through their rank within their
+length, counted in hash buckets so that a hot length is split.
 Ids of a word are found by hash, and the word's bytes are compared with those they were made from.
 
 Null text is the empty text (the end id alone). Repeated rows are packed each on their own. An
@@ -16,6 +18,7 @@ empty table gives no rows. Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
 import os
 import zlib
 
@@ -215,10 +218,30 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(common.trimming(run), PIECES)
 
 
+UNIT = 1 << 16  # fixed point
+ROUNDINGS = ((40, 128, 32), (60, 128, 16), (40, 256, 32))  # stop, parts, batch of weighted()
+
+
+def power(x: np.ndarray) -> np.ndarray:
+    """2 ** x in fixed point, x too: powers by shifts, linear between them."""
+    whole = x >> 16
+    part = UNIT + (x & (UNIT - 1))
+    return np.where(whole >= 0, part << np.maximum(whole, 0), part >> np.maximum(-whole, 0))
+
+
+def prices_of(live: np.ndarray, rest: np.ndarray, n: np.ndarray, left: int, tokens: int) -> np.ndarray:
+    """Of lengths: their tokens times their own eighth root (long ones fit fewer places) times a weight that
+    falls exponentially with how far the length is ahead of the whole (`left` of `tokens` tokens)."""
+    root = np.array([math.isqrt(math.isqrt(math.isqrt(int(x) << 64))) for x in live], np.int64)  # times 2 ** 8
+    ahead = np.array([int(r) * tokens * UNIT // (int(m) * left) - UNIT for r, m in zip(rest, n, strict=True)], object)
+    ahead = np.clip(ahead, -3 * UNIT, 3 * UNIT).astype(np.int64) * 3 // 2
+    return (live * root * power(ahead)) >> 8
+
+
 def price(value: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Knapsack DP over lengths: of each capacity the largest total value, and a length of a
     configuration that has it (0: the capacity below is as good). `value` is by length, from 0."""
-    best, last = np.zeros(size + 1), np.zeros(size + 1, np.int64)
+    best, last = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
     for c in range(1, size + 1):
         v = value[1 : c + 1] + best[c - 1 :: -1][:c]
         i = int(v.argmax())
@@ -255,29 +278,28 @@ def holding(ln: int, last: list[int], rest: np.ndarray, prices: np.ndarray, size
     return out
 
 
-def weighted(n: np.ndarray, size: int, parts: int = 64, batch: int = 32, eps: float = 1.0, stop: float = 0.04, gamma: float = 1.15):
+def weighted(n: np.ndarray, size: int, stop: int = 40, parts: int = 128, batch: int = 32) -> tuple[dict, int]:
     """The configuration linear program (fewest sequences that cover n pieces of each length) by
     multiplicative weights, rounded down step by step: (configurations with how many, dual bound).
 
-    A length's price is its tokens (a little more for long ones, which fit fewer places) times a weight that falls exponentially with the share of its
-    pieces that is covered already. A DP prices all configurations; the lengths that lag most are
-    each answered by the best configuration that holds them, if it is full, in whole steps of at most
-    1/parts of the length's pieces. So all lengths are used up evenly, and the last `stop` of all
-    tokens is an even sample of them, which is left for the caller."""
+    A DP prices all configurations; the lengths that lag most are each answered by the best
+    configuration that holds them, if it is full, in whole steps of at most 1/parts of the length's
+    pieces, and prices are made anew after `batch` of them. So all lengths are used up evenly, and the
+    last `stop` thousandths of all tokens are an even sample of them, which is left for the caller."""
     have, lengths = np.flatnonzero(n), np.arange(size + 1)
     rest, tokens = n.copy(), int((n * lengths).sum())
     plan: dict[tuple, int] = {}
-    bound = 0.0
+    bound = 0
     while True:
-        level = float((rest * lengths).sum()) / tokens
+        left = int((rest * lengths).sum())
         live = have[rest[have] > 0]
-        if level < stop or not len(live):
+        if 1000 * left < stop * tokens or not len(live):
             return plan, bound
-        prices = np.full(size + 1, -1.0)
-        prices[live] = live ** gamma * np.exp(np.clip(eps * (rest[live] / n[live] / level - 1), -3, 3))
+        prices = np.full(size + 1, -1, np.int64)
+        prices[live] = prices_of(live, rest[live], n[live], left, tokens)
         best, last = price(prices, size)
         if not plan:  # all pieces are still there: the prices are a dual solution of the whole
-            bound = float((prices[have] * n[have]).sum()) / float(best[size])
+            bound = -(-sum(int(a) * int(b) for a, b in zip(prices[have], n[have], strict=True)) // int(best[size]))
         last, moved = last.tolist(), 0
         for ln in live[np.lexsort((-live, -(rest[live] / n[live])))].tolist():
             if rest[ln] <= 0:
@@ -322,29 +344,39 @@ def best_fit(rest: np.ndarray, size: int, free: list[list] | None = None) -> lis
     return free
 
 
-def solve(hist: dict[int, int], size: int = SIZE, stop: float = 0.04, **more) -> tuple[list[tuple[tuple[int, ...], int]], dict]:
+def rounded(n: np.ndarray, size: int, plan: dict) -> tuple[list[list], int]:
+    """The plan with what it leaves filled up by best fit, as classes by free tokens; what it left."""
+    rest = n.copy()
+    free: list[list] = [[] for _ in range(size + 1)]
+    for config, q in plan.items():
+        for ln, m in config:
+            rest[ln] -= m * q
+        free[size - sum(ln * m for ln, m in config)].append([tuple(ln for ln, m in config for _ in range(m)), q])
+    return best_fit(rest, size, free), int(rest.sum())
+
+
+def solve(hist: dict[int, int], size: int = SIZE) -> tuple[list[tuple[tuple[int, ...], int]], dict]:
     """(lengths of a sequence in order, how many such sequences), covering `hist` exactly, and
-    figures: the dual bound, sequences of this plan and of best fit alone, and the share of pieces
-    that priced configurations hold."""
+    figures: the dual bound, sequences of this plan, how often it was rounded, sequences of best fit
+    alone (to compare), and the share of pieces that priced configurations hold."""
     n = np.zeros(size + 1, np.int64)
     for k, v in hist.items():
         n[int(k)] += int(v)
     if not n.any():
-        return [], {"bound": 0, "priced": 0, "best_fit": 0, "lp_share": 0.0}
+        return [], {"bound": 0, "priced": 0, "rounded": 0, "best_fit": 0, "lp_share": 0.0}
     count = lambda classes: sum(q for c in classes for _, q in c)
-    simple = best_fit(n, size)
-    plan, bound = weighted(n, size, stop=stop, **more)
-    rest = n.copy()
-    free: list[list] = [[] for _ in range(size + 1)]
-    for config, q in plan.items():
-        for ln, m in config:
-            rest[ln] -= m * q
-        free[0].append([tuple(ln for ln, m in config for _ in range(m)), q])
-    free = best_fit(rest, size, free)
-    tokens = int((n * np.arange(size + 1)).sum())
-    facts = {"bound": max(int(np.ceil(bound - 1e-6)), -(-tokens // size)), "priced": count(free), "best_fit": count(simple), "lp_share": 1 - int(rest.sum()) / int(n.sum())}
-    chosen = free if count(free) <= count(simple) else simple
-    return [(tuple(c), int(q)) for cls in chosen for c, q in cls if q], facts
+    least = -(-int((n * np.arange(size + 1)).sum()) // size)
+    found, bound = None, 0
+    for k, (stop, parts, batch) in enumerate(ROUNDINGS, 1):
+        plan, dual = weighted(n, size, stop, parts, batch)
+        bound = max(bound, dual, least)
+        free, left = rounded(n, size, plan)
+        if found is None or count(free) < count(found[0]):
+            found = free, left
+        if count(found[0]) <= bound:
+            break
+    facts = {"bound": bound, "priced": count(found[0]), "rounded": k, "best_fit": count(best_fit(n, size)), "lp_share": 1 - found[1] / int(n.sum())}
+    return [(tuple(c), int(q)) for cls in found[0] for c, q in cls if q], facts
 
 
 def configurations(hist: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
