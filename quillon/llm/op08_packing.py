@@ -4,11 +4,12 @@ The corpus is read once: a tokenising pass gives thin piece rows (no ids), which
 the shared folder. Only the histogram of piece lengths, at most `size` rows, reaches the driver.
 There multiplicative weights price configurations with a knapsack DP; prices give dual bounds (those
 by tokens alone the quotient of all tokens); lengths are answered by the best full configurations in whole steps, so the solution
-is rounded down as it grows. At least nine tenths of the pieces are placed so; the last few per
+is rounded down as it grows. On a corpus of documents nine tenths of the pieces and more are placed so; the last few per
 cent, an even sample of all lengths by then, fill up by best fit. Prices are integers (fixed point, no
 library functions of floats), so a plan is the same on every machine. A rounded plan that needs more
-sequences than the dual bound is rounded again, with more or less left over or finer steps, and the
-plan of fewest sequences is taken. Rows then find their sequence through their rank within their
+sequences than the dual bound is rounded again, with finer steps or more left over, and the plan of
+fewest sequences is taken: every plan rounds the program. (Where long pieces have too few short ones
+beside them, full configurations run out; more is left to best fit then.) Rows then find their sequence through their rank within their
 length, counted in hash buckets so that a hot length is split.
 Ids of a word are found by hash, and the word's bytes are compared with those they were made from.
 
@@ -220,6 +221,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
 
 UNIT = 1 << 16  # fixed point
 ROUNDINGS = ((40, 128, 32), (60, 128, 16), (40, 256, 32))  # stop, parts, batch of weighted()
+UNEVEN = ((250, 128, 32), (500, 128, 32), (750, 128, 32))  # where no full configurations are left for the pieces that lag
 
 
 def power(x: np.ndarray) -> np.ndarray:
@@ -367,7 +369,9 @@ def solve(hist: dict[int, int], size: int = SIZE) -> tuple[list[tuple[tuple[int,
     count = lambda classes: sum(q for c in classes for _, q in c)
     least = -(-int((n * np.arange(size + 1)).sum()) // size)
     found, bound = None, 0
-    for k, (stop, parts, batch) in enumerate(ROUNDINGS, 1):
+    for k, (stop, parts, batch) in enumerate(ROUNDINGS + UNEVEN, 1):
+        if k > len(ROUNDINGS) and 1000 * (count(found[0]) - bound) < bound:
+            break
         plan, dual = weighted(n, size, stop, parts, batch)
         bound = max(bound, dual, least)
         free, left = rounded(n, size, plan)
