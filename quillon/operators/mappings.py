@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identifiers as ids
 from ..functions import persons
+from . import search
 
 TOKEN = r"[A-Za-z][A-Za-z_]*_[a-f0-9]{1,8}(?![a-f0-9])"
 # What a report body must not hold.
@@ -83,14 +84,13 @@ def related_value_ok(kind: Column, surface: Column, value: Column, mask: Column)
 
 def clue_links(clues: DataFrame, candidates: DataFrame, least: int = 4) -> DataFrame:
     """(clue_id, candidate_id, how): clues that name a candidate's id, else its fingerprint, else hold one of
-    its surfaces of four letters or more. Texts and surfaces meet on four-letter grams.
+    its surfaces of four letters or more, which are looked up by their rarest gram.
     clues: (clue_id, text, linked_ids, fingerprints); candidates: (candidate_id, fingerprint, surfaces)."""
     by_id = clues.select("clue_id", F.explode("linked_ids").alias("candidate_id")).join(candidates.select("candidate_id"), "candidate_id").select("clue_id", "candidate_id", F.lit(1).alias("rank"))
     by_fp = clues.select("clue_id", F.explode("fingerprints").alias("fingerprint")).join(candidates.select("candidate_id", "fingerprint"), "fingerprint").select("clue_id", "candidate_id", F.lit(2).alias("rank"))
-    s = candidates.select("candidate_id", F.explode("surfaces").alias("surface")).where(F.length("surface") >= least).withColumn("g", F.left("surface", F.lit(least)))
-    n = F.length("text") - least + 1
-    grams = clues.where(n >= 1).select("clue_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(F.col("text"), i, F.lit(least))))).alias("g"))
-    by_text = grams.join(s, "g").where(F.contains("text", F.col("surface"))).select("clue_id", "candidate_id", F.lit(3).alias("rank"))
+    s = candidates.select("candidate_id", F.explode("surfaces").alias("pattern")).where(F.length("pattern") >= least).withColumn("pattern_id", F.xxhash64("pattern"))
+    by_text = search.held(s.select("pattern_id", "pattern").distinct(), clues.select(F.col("clue_id").alias("text_id"), "text")).withColumnRenamed("text_id", "clue_id")
+    by_text = by_text.join(s.select("pattern_id", "candidate_id"), "pattern_id").select("clue_id", "candidate_id", F.lit(3).alias("rank"))
     best = by_id.unionByName(by_fp).unionByName(by_text).groupBy("clue_id", "candidate_id").agg(F.min("rank").alias("rank"))
     return best.select("clue_id", "candidate_id", F.when(F.col("rank") == 1, "id").when(F.col("rank") == 2, "fingerprint").otherwise("text").alias("how"))
 
