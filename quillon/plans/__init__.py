@@ -404,4 +404,4 @@ def report_blocks(spark, d):
     return reports.report_blocks(_t(spark, d, "documents").select(F.col("doc_id").alias("report_id"), F.col("text").alias("markdown")))
 
 
-from . import labelled, mapped, notes, records, state  # noqa: E402, F401
+from . import changes, labelled, mapped, notes, records, state  # noqa: E402, F401
