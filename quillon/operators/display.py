@@ -1,22 +1,118 @@
-"""What a person is shown of stored payloads: pseudonyms as aliases, of any nesting depth.
+"""What a person is shown of stored payloads: pseudonyms as aliases, at any nesting depth.
 
-A payload is opened into rows (path, kind, value) once; strings are rewritten as rows, in joins with
-the aliases, so neither depth nor the number of aliases matters; then it is closed again, level by
-level from the deepest. Storage fields keep what they hold.
+Strings that change leave their payloads as rows (payload_id, path, text) and are rewritten in joins
+with the aliases, equal texts once; they come back to their paths in one pass over the payloads. So
+neither the depth of a payload nor the number of aliases matters. Storage fields keep what they hold.
 """
 
 from __future__ import annotations
 
 import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import citations, mappings
+from ..functions import identifiers as ids
+from . import citations, mappings, storage
 
-# Fields that are never rewritten, placeholders as they may be cut short, their stand-ins.
-STORAGE = ("quote_storage", "anonymous_id", "map_ref", "quote_hash", "fingerprint", "hidden_ref")
-LOOSE = r"(?i)(?<![A-Za-z0-9])(?:PERSON|NAME|PHONE|ACCOUNT|BANK_CARD|CREDIT_CARD|ORGANIZATION|ORG|DEVICE|ID_CARD|ID)_[a-f0-9]{1,16}"
-STANDS = (("PERSON|NAME", "脱敏人员"), ("PHONE", "脱敏手机号"), ("ACCOUNT|BANK_CARD|CREDIT_CARD", "脱敏账户"), ("ORGANIZATION|ORG", "脱敏组织"), ("DEVICE|ID_CARD|ID", "脱敏标识"))
+# Fields that are not rewritten, and what stands for a pseudonym without alias.
+STORAGE = ("quote", "quote_hash", "quote_storage", "chunk_id", "document_version_id", "document_id", "candidate_id", "case_id", "id", "artifact_id", "task_id", "fingerprint", "ref_key")
+STANDS = (("(?:PERSON|NAME)", "脱敏人员"), ("PHONE", "脱敏手机号"), ("(?:ACCOUNT|BANK_CARD|CREDIT_CARD)", "脱敏账户"), ("(?:ORGANIZATION|ORG)", "脱敏组织"), ("(?:ID|DEVICE)", "脱敏标识"))
+SHOWN_AS_IDENTIFIER = ("PHONE", "ACCOUNT", "ID_CARD", "DEVICE", "IP")
+
+
+def without_pseudonyms(text: Column, kind: Column | None = None) -> Column:
+    """A text with aliases in place, for display: what is left of pseudonyms gets its stand-in, marks
+    before stand-ins go, identifiers are shown as such."""
+    out = F.trim(F.coalesce(text, F.lit("")))
+    for pattern, stand in STANDS:
+        out = F.regexp_replace(out, f"(?i){pattern}_[a-f0-9]{{1,16}}", stand)
+    out = F.regexp_replace(out, r"[、,，]\s*(?=脱敏)", "")
+    bare = F.regexp_replace(out, "^[、,， ]+|[、,， ]+$", "")
+    return bare if kind is None else F.when(kind.isin(*SHOWN_AS_IDENTIFIER), ids.public_surface(out, kind)).otherwise(bare)
+
+
+def review_values(values: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Adds display to values (value_id, text, object_type). mapping: (anonymous_id, value)."""
+    texts = values.select(F.sha2("text", 256).alias("_h"), "text").where("text is not null").distinct()
+    shown = mappings.rendered(texts, mapping, "_h").withColumnRenamed("text", "_shown")
+    j = values.withColumn("_h", F.sha2("text", 256)).join(shown, "_h", "left").drop("_h")
+    return j.withColumn("display", without_pseudonyms(F.col("_shown"), F.col("object_type"))).drop("_shown")
+
+
+def _strings(value, path=(), field=None):
+    """(path, text) of strings that are rewritten; the path of an object stands for its quote."""
+    if isinstance(value, dict):
+        quote = value.get("quote")
+        if isinstance(quote, str) and quote.strip():
+            yield path, value.get("quote_display") or quote
+        for k, v in value.items():
+            yield from _strings(v, (*path, k), k)
+    elif isinstance(value, list):
+        for k, v in enumerate(value):
+            yield from _strings(v, (*path, k), field)
+    elif isinstance(value, str) and field not in STORAGE and _PSEUDONYM.search(value):
+        yield path, value
+
+
+_PSEUDONYM = re.compile(citations.PLACEHOLDER)
+
+
+def _filled(payload, changes: list[tuple[list, str]]):
+    """The payload with texts at their paths."""
+    for path, text in sorted(changes, key=lambda x: -len(x[0])):
+        at = payload
+        for k in path[:-1]:
+            at = at[k]
+        own = at[path[-1]] if path else payload
+        if not isinstance(own, dict):
+            if path:
+                at[path[-1]] = text
+            else:
+                payload = text
+            continue
+        kept = own.get("quote_storage")
+        if _PSEUDONYM.search(own["quote"]) or not (isinstance(kept, str) and kept.strip()):
+            own["quote_storage"] = own["quote"]
+        own["quote"] = own["quote_display"] = text
+    return payload
+
+
+def _parsed(text: str | None):
+    try:
+        return json.loads(text) if text is not None else None
+    except ValueError:
+        return None
+
+
+def hydrated(payloads: DataFrame, mapping: DataFrame, key: str = "payload_id", payload: str = "payload") -> DataFrame:
+    """Payloads (JSON texts) as they are shown. An object's quote moves to quote_storage and is shown with
+    aliases; other strings that hold a pseudonym are shown so too. What is no JSON stays as it is."""
+    rows = payloads.select(key, payload)
+
+    def opened(batches):
+        for rb in batches:
+            ids_, paths, texts = [], [], []
+            for k, t in zip(rb.column(key).to_pylist(), rb.column(payload).to_pylist(), strict=True):
+                for path, text in _strings(_parsed(t)):
+                    ids_.append(k)
+                    paths.append(json.dumps(path))
+                    texts.append(text)
+            yield pa.RecordBatch.from_arrays([pa.array(ids_, rb.column(key).type), pa.array(paths, pa.string()), pa.array(texts, pa.string())], names=[key, "path", "text"])
+
+    found = storage.cut(rows.mapInArrow(opened, T.StructType([payloads.schema[key], *T.StructType.fromDDL("path string, text string").fields])))
+    shown = review_values(found.select("text").distinct().withColumn("object_type", F.lit(None).cast("string")), mapping).select("text", "display")
+    per = found.join(shown, "text").groupBy(F.col(key).alias("__k")).agg(F.collect_list(F.struct("path", "display")).alias("__c"))  # a payload's own strings
+    j = payloads.join(per, F.col(key) == F.col("__k"), "left").drop("__k")
+
+    def closed(batches):
+        for rb in batches:
+            out = []
+            for t, changes in zip(rb.column(payload).to_pylist(), rb.column("__c").to_pylist(), strict=True):
+                out.append(t if not changes else json.dumps(_filled(_parsed(t), [(json.loads(c["path"]), c["display"]) for c in changes]), ensure_ascii=False, separators=(",", ":")))
+            yield rb.drop_columns(["__c"]).set_column(rb.schema.get_field_index(payload), payload, pa.array(out, pa.string()))
+
+    return j.mapInArrow(closed, payloads.schema)

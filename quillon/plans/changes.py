@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import redaction
+from ..operators import display, redaction
 from . import query
 from .notes import _NOTES, SALT, notes
 
@@ -82,3 +82,24 @@ def ledger_repair(spark, d):
     maps = items.select(F.col("map_ref").alias("fingerprint"), F.concat_ws("_", "sens_type", F.left("map_ref", F.lit(8))).alias("anonymous_id"), "sens_type").distinct()
     chunks, rows, _ = redaction.repaired(_chunks(n), items, maps, SALT)
     return _located(chunks, rows)
+
+
+_SHOWN = f"(SELECT *, CASE WHEN placeholder IN (SELECT placeholder FROM {_NOTES} WHERE k % 6 = 3 AND k % 4 = 3) THEN fam || '某甲' ELSE '脱敏人员' END AS shown FROM {_NOTES} WHERE k % 6 = 3)"
+
+
+@query(
+    f"""SELECT chunk_id AS payload_id, '涉及' || shown AS title, replace(text, placeholder, shown) AS quote, text AS quote_storage, CASE WHEN shown <> '脱敏人员' THEN shown || '、' || shown ELSE shown || shown END AS note,
+  shown AS deepest, placeholder AS chunk_ref, name AS untouched FROM {_SHOWN}
+UNION ALL SELECT chunk_id, '涉及' || name, text, text, name || '、' || name, name, name, name FROM {_NOTES} WHERE k % 6 <> 3"""
+)
+def payload_hydration(spark, d):
+    """Nested payloads around each note; some pseudonyms have an alias."""
+    n = notes(spark, d)
+    who = F.when(F.col("k") % 6 == 3, F.col("placeholder")).otherwise(F.col("name"))
+    inner = F.struct(F.array(F.struct(F.array(who).alias("names"), F.col("name").alias("plain"))).alias("deeper"), who.alias("chunk_id"))
+    evidence = F.struct(F.col("text").alias("quote"), F.sha2("text", 256).alias("quote_hash"), F.concat(who, F.lit("、"), who).alias("note"), inner.alias("more"))
+    payloads = n.select(F.col("chunk_id").alias("payload_id"), F.to_json(F.struct(F.concat(F.lit("涉及"), who).alias("title"), F.array(evidence).alias("evidence"))).alias("payload"))
+    aliases = n.where("k % 6 = 3 and k % 4 = 3").select(F.col("placeholder").alias("anonymous_id"), F.concat("fam", F.lit("某甲")).alias("value")).distinct()
+    shown = display.hydrated(payloads, aliases)
+    at = lambda p: F.get_json_object("payload", f"$.{p}")
+    return shown.select("payload_id", at("title").alias("title"), at("evidence[0].quote").alias("quote"), at("evidence[0].quote_storage").alias("quote_storage"), at("evidence[0].note").alias("note"), at("evidence[0].more.deeper[0].names[0]").alias("deepest"), at("evidence[0].more.chunk_id").alias("chunk_ref"), at("evidence[0].more.deeper[0].plain").alias("untouched"))
