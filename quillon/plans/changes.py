@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import display, redaction
+from ..operators import candidates, display, redaction
 from . import query
 from .notes import _NOTES, SALT, notes
 
@@ -103,3 +103,33 @@ def payload_hydration(spark, d):
     shown = display.hydrated(payloads, aliases)
     at = lambda p: F.get_json_object("payload", f"$.{p}")
     return shown.select("payload_id", at("title").alias("title"), at("evidence[0].quote").alias("quote"), at("evidence[0].quote_storage").alias("quote_storage"), at("evidence[0].note").alias("note"), at("evidence[0].more.deeper[0].names[0]").alias("deepest"), at("evidence[0].more.chunk_id").alias("chunk_ref"), at("evidence[0].more.deeper[0].plain").alias("untouched"))
+
+
+_REVIEW = f"(SELECT * FROM {_NOTES} WHERE account IN (SELECT account FROM {_NOTES} GROUP BY account HAVING count(DISTINCT case_id) >= 2))"
+
+
+@query(
+    f"""WITH n AS MATERIALIZED (SELECT * FROM {_REVIEW}), c AS (SELECT account, count(DISTINCT case_id) AS cases, count(*) AS mentions FROM n GROUP BY account),
+v AS (SELECT account, 1 AS o, '开户姓名' AS label, case_id, name AS x FROM n UNION ALL SELECT account, 3, '预留电话', case_id, left(phone, 3) || '****' || right(phone, 4) FROM n WHERE k % 4 = 0 UNION ALL SELECT account, 4, '关联商户', case_id, company FROM n WHERE k % 2 = 0),
+g AS (SELECT account, o, label, count(DISTINCT x) AS xs, count(DISTINCT case_id) AS cs FROM v GROUP BY ALL),
+f AS (SELECT c.account, c.cases, l.o, l.label, coalesce(xs, 0) AS xs, coalesce(cs, 0) AS cs FROM c CROSS JOIN (VALUES (1, '开户姓名'), (2, '开户行'), (3, '预留电话'), (4, '关联商户')) l(o, label) LEFT JOIN g USING (account, o)),
+w AS (SELECT f.account, f.o, string_agg(case_id, '、' ORDER BY case_id) AS without FROM f JOIN (SELECT DISTINCT account, case_id FROM n) k USING (account) WHERE (f.account, f.o, case_id) NOT IN (SELECT account, o, case_id FROM v) GROUP BY ALL),
+t AS (SELECT account, string_agg(CASE WHEN xs = 1 AND cs = cases THEN label || '一致' END, ';' ORDER BY o) AS s,
+  string_agg(CASE WHEN xs > 1 THEN label || '记载存在差异' WHEN xs = 1 AND cs < cases THEN label || '仅部分案件有记载，不能视为一致' END, ';' ORDER BY o) AS d,
+  string_agg(CASE WHEN xs = 0 THEN '各案均未记载' || label WHEN xs = 1 AND cs < cases THEN without || ' 未记载' || label END, ';' ORDER BY o) AS m FROM f LEFT JOIN w USING (account, o) GROUP BY account),
+b AS (SELECT account, case_id, chunk_id, k % 3 <> 0 AS ok, row_number() OVER (PARTITION BY account, case_id ORDER BY CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END, length(text) DESC, chunk_id) AS i FROM n),
+e AS (SELECT account, string_agg(case_id || '/' || chunk_id, ';' ORDER BY case_id) AS e FROM b WHERE i = 1 AND ok GROUP BY account)
+SELECT account AS normalized_value, '尾号 ' || right(account, 4) || ' 银行账户' AS display_name, CAST(cases AS INT) AS case_count, mentions AS mention_count, 'same' AS status, concat_ws(';', '账号一致', s) AS supporting,
+  coalesce(d, '') AS conflicts, coalesce(m, '') AS missing, coalesce(e, '') AS evidence FROM c JOIN t USING (account) LEFT JOIN e USING (account)"""
+)
+def candidate_enrichment(spark, d):
+    """Accounts of several cases as candidates, with the names, phones and companies of their chunks."""
+    n = notes(spark, d)
+    base = n.select("case_id", "chunk_id", "k", "account", "phone", "name", "company", F.col("text").alias("quote"), F.when(F.col("k") % 3 == 0, "").otherwise(F.sha2("text", 256)).alias("quote_hash"))
+    kinds = F.array(*(F.struct(F.lit(kind).alias("object_type"), F.when(when, F.col(c)).alias("surface_raw")) for kind, c, when in (("ACCOUNT", "account", F.lit(True)), ("NAME", "name", F.lit(True)), ("PHONE", "phone", F.col("k") % 4 == 0), ("ORGANIZATION", "company", F.col("k") % 2 == 0))))
+    m = base.withColumn("x", F.explode(kinds)).where("x.surface_raw is not null").select("case_id", "chunk_id", "x.object_type", "x.surface_raw", F.col("x.surface_raw").alias("normalized_value"), F.lit("").alias("mask_kind"), "quote", "quote_hash")
+    c = n.groupBy("account").agg(F.array_sort(F.collect_set("case_id")).alias("case_ids")).where("size(case_ids) >= 2")
+    c = c.select(F.col("account").alias("candidate_id"), F.lit("ACCOUNT").alias("object_type"), F.col("account").alias("normalized_value"), "case_ids")
+    out = candidates.enriched(c, m)
+    joined = lambda x: F.array_join(x, ";")
+    return out.select("normalized_value", "display_name", "case_count", "mention_count", "status", joined("supporting").alias("supporting"), joined("conflicts").alias("conflicts"), joined("missing").alias("missing"), joined(F.transform("evidence", lambda x: F.concat(x["case_id"], F.lit("/"), x["chunk_id"]))).alias("evidence"))
