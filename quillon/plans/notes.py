@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identifiers as ids
 from ..functions import persons
-from ..operators import events, hints, ledger, live, mentions, recognise, spans, stats
+from ..operators import events, hints, ledger, live, mentions, recognise, spans, stats, storage
 from . import _t, query
 
 FAMILY, GIVEN = "王李张刘陈杨赵黄周吴", "伟芳敏静强磊军洋勇艳杰涛"
@@ -81,9 +81,19 @@ _MENTIONS = f"""(SELECT case_id, chunk_id, 'PHONE' AS object_type, phone AS surf
   UNION ALL SELECT case_id, chunk_id, 'NAME', name, name, '', 2 FROM {_NOTES})"""
 
 
+def refused_spans(n: DataFrame) -> DataFrame:
+    """Spans that a model takes for names and that are none: a company's end, a card number's label. They
+    score above the company that they lie in."""
+    at = F.array(F.instr("text", "限公司") - 1, F.when(F.col("k") % 6 == 0, F.instr("text", "卡号") - 1))
+    rows = n.select("chunk_id", F.lit("NAME").alias("object_type"), F.posexplode(at).alias("i", "char_start")).where("char_start is not null")
+    return rows.select("chunk_id", "object_type", "char_start", (F.col("char_start") + F.when(F.col("i") == 0, 3).otherwise(2)).alias("char_end"), F.lit(0.95).alias("score"))
+
+
 def _found(spark, d) -> DataFrame:
-    n = notes(spark, d)
-    return recognise.mentions(n.select("case_id", "chunk_id", "text"), spans=name_spans(n))
+    """The notes' mentions, found once: notes are dealt to all cores before the pass over texts, and
+    what it finds is written, as most queries use it several times."""
+    n = storage.cut(notes(spark, d).repartition(max(spark.sparkContext.defaultParallelism, 1), "chunk_id"))
+    return storage.cut(recognise.mentions(n.select("case_id", "chunk_id", "text"), spans=name_spans(n).unionByName(refused_spans(n))))
 
 
 @query(f"SELECT case_id, chunk_id, object_type, surface_raw, normalized_value, mask_kind, CAST(sum(n) AS BIGINT) AS n FROM {_MENTIONS} GROUP BY ALL")
@@ -105,7 +115,20 @@ _P = lambda x: f"'PERSON_' || left(sha256({x} || '{SALT}'), 8)"
 )
 def redact_text(spark, d):
     n = notes(spark, d)
-    return recognise.redact_text(n.select("chunk_id", "text"), SALT, spans=name_spans(n)).select("chunk_id", "text_redacted", "n_spans")
+    return recognise.redact_text(n.select("chunk_id", "text"), SALT, spans=name_spans(n), kinds={"PHONE": 0.8}).select("chunk_id", "text_redacted", "n_spans")
+
+
+_A = lambda x: f"'ACCOUNT_' || left(sha256({x} || '{SALT}'), 8)"
+
+
+@query(
+    f"""SELECT chunk_id, day || '，' || {_P("name")} || '用账户' || {_A("account")} || '向' || company || '转账' || amount || '。' || {_P("name")} || '随后以手机' || left(phone, 3) || '****' || right(phone, 4) || '电话联系对方'
+  || CASE WHEN k % 6 = 5 THEN '，账号' || {_A("left(account, 6) || '******' || right(account, 4)")} || '；其余待查' ELSE substr(text, strpos(text, '电话联系对方') + 6) END AS text_redacted, CAST(CASE WHEN k % 6 = 5 THEN 5 ELSE 4 END AS INT) AS n_spans FROM {_NOTES}"""
+)
+def redact_identifiers(spark, d):
+    """All types that are replaced by default; spans that are no names are left."""
+    n = storage.cut(notes(spark, d).repartition(max(spark.sparkContext.defaultParallelism, 1), "chunk_id"))
+    return recognise.redact_text(n.select("chunk_id", "text"), SALT, spans=name_spans(n).unionByName(refused_spans(n))).select("chunk_id", "text_redacted", "n_spans")
 
 
 _TIME = "regexp_extract(sentence, '((?:20\\d{2}|19\\d{2})[年\\-/\\.](?:0?[1-9]|1[0-2])[月\\-/\\.](?:0?[1-9]|[12]\\d|3[01])日?|(?:0?[1-9]|1[0-2])月(?:0?[1-9]|[12]\\d|3[01])日)', 1)"
