@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import compare, display, labels, mappings
+from . import compare, display, labels, mappings, search
 
 # The fields of each type in order with their labels, what a related mention fills, and names.
 FIELDS = {
@@ -164,3 +164,40 @@ def enriched(candidates: DataFrame, mentions: DataFrame) -> DataFrame:
         F.when(F.size("conflicts") > 0, F.col("conflicts")).otherwise(none).alias("differences"),
         F.coalesce("evidence", F.filter("evidence", lambda x: F.lit(False)), F.expr("array()").cast("array<struct<case_id:string,chunk_id:string,quote_hash:string,value:string>>")).alias("evidence"),
     )
+
+
+# Words of a display name that say nothing in a search.
+PLAIN_WORDS = "尾号|银行账户|手机号码|电子设备|身份证件|网络地址|组织主体|组织|人物|商户|设备|疑似同一人"
+
+
+def hint(display_name: Column, values: Column) -> Column:
+    """What to look for in a candidate's cases: the longest word of its name, the first of equals, else its
+    first value; at most 40 letters. values: array of texts."""
+    text = F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(display_name, F.lit(""))), "[“”\"']", ""), PLAIN_WORDS, " ")
+    parts = F.filter(F.split(text, r"[\s/·、,，]+"), lambda p: F.length(p) >= 2)
+    longest = F.array_min(F.transform(parts, lambda p, k: F.struct((-F.length(p)).alias("n"), k.alias("k"), p.alias("p"))))["p"]
+    value = F.get(F.filter(F.transform(values, lambda v: F.trim(F.coalesce(v, F.lit("")))), lambda v: v != ""), F.lit(0))
+    return F.left(F.coalesce(longest, value, F.lit("")), F.lit(40))
+
+
+def materials(candidates: DataFrame, seeds: DataFrame, chunks: DataFrame, per_case: int = 4) -> DataFrame:
+    """(candidate_id, case_id, place, chunk_id): the excerpts of each case that a candidate is shown with: its
+    seed chunks in their order, then chunks that hold its hint by ordinal, `per_case` in all.
+
+    candidates: (candidate_id, case_ids, hint); seeds: (candidate_id, chunk_id, seed_no); chunks: (case_id,
+    chunk_id, ordinal, text_redacted). Hints are looked up together, by their rarest gram, ASCII
+    letters in any case; a hint and case need their first `per_case` hits only, as seeds among these
+    take places themselves."""
+    low = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    cases = candidates.select("candidate_id", low(F.col("hint")).alias("hint"), F.explode("case_ids").alias("case_id"))
+    texts = chunks.where(F.trim(F.coalesce("text_redacted", F.lit(""))) != "").select("case_id", "chunk_id", "ordinal", low(F.col("text_redacted")).alias("text"))
+    wanted = cases.where("hint <> ''").select("hint", "case_id").distinct().withColumn("pattern_id", F.xxhash64("case_id", "hint"))
+    hits = search.held(wanted.select("pattern_id", F.col("hint").alias("pattern"), "case_id"), texts.select(F.col("chunk_id").alias("text_id"), "text", "case_id"), ("case_id",))
+    hits = hits.join(texts.select(F.col("chunk_id").alias("text_id"), "ordinal"), "text_id").join(wanted, "pattern_id")
+    hits = hits.withColumn("k", F.row_number().over(Window.partitionBy("pattern_id").orderBy("ordinal", "text_id"))).where(F.col("k") <= per_case)
+    found = cases.join(hits.select("hint", "case_id", F.col("text_id").alias("chunk_id"), "k"), ["hint", "case_id"]).select("candidate_id", "case_id", "chunk_id", F.lit(1).alias("kind"), F.col("k").cast("long").alias("at"))
+    own = seeds.join(texts.select("case_id", "chunk_id"), "chunk_id").join(cases.select("candidate_id", "case_id"), ["candidate_id", "case_id"])
+    own = own.select("candidate_id", "case_id", "chunk_id", F.lit(0).alias("kind"), F.col("seed_no").cast("long").alias("at"))
+    first = own.unionByName(found).groupBy("candidate_id", "case_id", "chunk_id").agg(F.min(F.struct("kind", "at")).alias("m"))
+    place = F.row_number().over(Window.partitionBy("candidate_id", "case_id").orderBy("m.kind", "m.at", "chunk_id"))
+    return first.withColumn("place", place).where(F.col("place") <= per_case).select("candidate_id", "case_id", "place", "chunk_id")

@@ -50,3 +50,73 @@ def shortest_paths(edges: DataFrame, start: str, prefix: str, most: int = 6, lim
             break
         seen = seen.unionByName(front)
     return seen.where(F.col("node").startswith(prefix) & (F.col("node") != start)).orderBy("distance", "node").limit(limit)
+
+
+def _party_keys(kind: Column, subject: Column, surfaces: list[Column]) -> Column:
+    """(rank, key) in the order in which a party is looked up: subject id, typed surfaces as written, without
+    blanks, and as digits."""
+    keys = [F.when(F.trim(F.coalesce(subject, F.lit(""))) != "", F.struct(F.lit(0).alias("rank"), F.concat(F.lit("id:"), F.trim(subject)).alias("key")))]
+    for k, s in enumerate(surfaces):
+        s = F.trim(F.coalesce(s, F.lit("")))
+        d = F.regexp_replace(s, "[^0-9]", "")
+        for j, (ok, x) in enumerate(((s != "", F.lower(s)), (s != "", F.lower(F.regexp_replace(s, r"\s+", ""))), (F.length(d) >= 4, F.concat(F.lit("d:"), d)))):
+            keys.append(F.when(ok, F.struct(F.lit(1 + 3 * k + j).alias("rank"), F.concat_ws(":", kind, x).alias("key"))))
+    return F.array_compact(F.array(*keys))
+
+
+def resolved_parties(parties: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(party_id, node_id, rank): the node that a party of an event stands for, by the first of its keys that a
+    node has; parties without one are left out. parties and nodes: (party_id or node_id, object_type,
+    subject_id, surface, normalized_value). A key that several nodes have is that of the
+    one that has it most directly, the smaller id of equals, so a common key is one row; a party
+    keeps the least rank of its few keys."""
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        return df.select(name, F.explode(_party_keys(F.col("object_type"), F.col("subject_id"), [F.col("surface"), F.col("normalized_value")])).alias("x")).select(name, "x.rank", "x.key")
+
+    index = keyed(nodes, "node_id").groupBy("key").agg(F.min(F.struct("rank", "node_id")).alias("m")).select("key", "m.node_id")
+    best = keyed(parties, "party_id").join(index, "key").groupBy("party_id").agg(F.min(F.struct("rank", "node_id")).alias("m"))
+    return best.select("party_id", "m.node_id", "m.rank")
+
+
+EVENT_EDGES = ("act", "involve", "sequence", "event-case")
+
+
+def default_node(nodes: DataFrame) -> DataFrame:
+    """(node_id): the node that a view starts from: of entities that bridge cases, else of entities that are no
+    breakpoint, the one of most cases, then of the highest status; else a case, else any; the smaller
+    id of equals. A least of ranked structs, so no node list is gathered."""
+    entity = F.col("kind") == "entity"
+    tier = F.when(entity & F.coalesce("bridge", F.lit(False)), 0).when(entity & ~F.coalesce("breakpoint", F.lit(False)), 1).when(F.col("kind") == "case", 2).otherwise(3)
+    score = F.when(tier < 2, -F.size(F.coalesce("case_ids", F.array().cast("array<string>")))).otherwise(0)
+    order = F.struct(tier.alias("tier"), score.alias("n"), F.when(tier < 2, -rank()).otherwise(0).alias("status"), "node_id")
+    return nodes.agg(F.min(order).alias("m")).where("m is not null").select("m.node_id")
+
+
+def filtered(nodes: DataFrame, edges: DataFrame, hide_weak: bool = False, events: bool = True, case: str | None = None, status: str | None = None, entity_type: str | None = None, core: bool = False) -> tuple[DataFrame, DataFrame]:
+    """A view's nodes and edges. Cases pass the filters of status and type, events those of weakness and
+    type. With `core` only cases and entities that bridge them stay, beside what the default one of these
+    occurs with. nodes: (node_id, kind, entity_type, status, case_ids, bridge, breakpoint); edges: (src,
+    dst, kind, strength)."""
+    kind, cases = F.col("kind"), F.coalesce("case_ids", F.array().cast("array<string>"))
+    n, e = nodes, edges
+    if hide_weak:
+        e = e.where("coalesce(strength, '') <> 'weak'")
+        n = n.where((F.coalesce("status", F.lit("")) != "inferred") | kind.isin("case", "event"))
+    if not events:
+        n, e = n.where(kind != "event"), e.where(~F.col("kind").isin(*EVENT_EDGES))
+    if case is not None:
+        n = n.where(F.when(kind == "case", F.col("node_id") == f"case:{case}").otherwise(F.array_contains(cases, case)))
+    if status is not None:
+        n = n.where((kind == "case") | (F.col("status") == status))
+    if entity_type is not None:
+        n = n.where(kind.isin("case", "event") | (F.col("entity_type") == entity_type))
+    if core:
+        inner = n.where((kind == "case") | ((kind == "entity") & F.coalesce("bridge", F.lit(False))))
+        start = F.broadcast(default_node(inner))  # one row
+        near = e.where("kind = 'cooccur'").join(start, (F.col("src") == F.col("node_id")) | (F.col("dst") == F.col("node_id")))
+        near = near.select(F.when(F.col("src") == F.col("node_id"), F.col("dst")).otherwise(F.col("src")).alias("node_id"))
+        keep = inner.select("node_id").union(near).distinct()
+        n = n.join(keep, "node_id", "left_semi")
+    ids = n.select("node_id").distinct()
+    e = e.join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
+    return n, e

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import candidates, display, redaction
-from . import query
+from ..operators import candidates, display, graph, redaction, storage
+from ..sources import layout
+from . import _t, query
 from .notes import _NOTES, SALT, notes
 
 
@@ -133,3 +134,74 @@ def candidate_enrichment(spark, d):
     out = candidates.enriched(c, m)
     joined = lambda x: F.array_join(x, ";")
     return out.select("normalized_value", "display_name", "case_count", "mention_count", "status", joined("supporting").alias("supporting"), joined("conflicts").alias("conflicts"), joined("missing").alias("missing"), joined(F.transform("evidence", lambda x: F.concat(x["case_id"], F.lit("/"), x["chunk_id"]))).alias("evidence"))
+
+
+@query(
+    f"""WITH n AS MATERIALIZED (SELECT *, 'case' || '/' || chunk_id AS x FROM {_NOTES}), c AS (SELECT DISTINCT name FROM n WHERE k % 5 = 3), p AS (SELECT name, case_id FROM c, (SELECT DISTINCT case_id FROM n)),
+seed AS (SELECT name, case_id, chunk_id, 0 AS kind, k AS o FROM n WHERE k % 5 = 3 AND k % 7 = 0), hit AS (SELECT p.name, p.case_id, n.chunk_id, 1 AS kind, n.k AS o FROM p JOIN n ON n.case_id = p.case_id AND contains(n.text, p.name)),
+m AS (SELECT name, case_id, chunk_id, min(kind) AS kind, min(o) AS o FROM (SELECT * FROM seed UNION ALL SELECT * FROM hit) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY name, case_id ORDER BY kind, o) AS place FROM m)
+SELECT name AS candidate_id, case_id, CAST(place AS INT) AS place, chunk_id FROM r WHERE place <= 4"""
+)
+def candidate_materials(spark, d):
+    """Names as candidates of all cases: their seeds, then chunks that hold them."""
+    n = notes(spark, d)
+    every = n.select("case_id").distinct().agg(F.array_sort(F.collect_set("case_id")).alias("case_ids"))  # one row
+    named = n.where("k % 5 = 3").select(F.col("name").alias("candidate_id")).distinct().crossJoin(F.broadcast(every))
+    named = named.withColumn("hint", candidates.hint(F.concat(F.lit("“"), "candidate_id", F.lit("”人物")), F.array("candidate_id")))
+    seeds = n.where("k % 5 = 3 and k % 7 = 0").select(F.col("name").alias("candidate_id"), "chunk_id", F.col("k").alias("seed_no"))
+    return candidates.materials(named, seeds, n.select("case_id", "chunk_id", F.col("k").alias("ordinal"), F.col("text").alias("text_redacted")))
+
+
+@query(
+    """SELECT o_orderkey AS party_id, 'n' || c_custkey AS node_id, CAST(CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 6 END AS INT) AS rank FROM orders JOIN customer ON o_custkey = c_custkey"""
+)
+def party_nodes(spark, d):
+    """Orders as parties, customers as nodes: by subject id, by name, by name with other blanks, by phone digits."""
+    c, how = _t(spark, d, "customer").withColumn("phone", F.concat(F.lit("138-"), F.lpad(F.col("c_custkey").cast("string"), 8, "0"))), F.col("o_orderkey") % 4
+    nodes = c.select(F.concat(F.lit("n"), F.col("c_custkey").cast("string")).alias("node_id"), F.lit("T").alias("object_type"), F.concat(F.lit("s"), F.col("c_custkey").cast("string")).alias("subject_id"), F.regexp_replace("c_name", "#", " # ").alias("surface"), F.concat(F.lit("电话"), "phone").alias("normalized_value"))
+    o = _t(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    surface = F.when(how == 1, F.upper(F.regexp_replace("c_name", "#", " # "))).when(how == 2, F.regexp_replace("c_name", "#", "  #")).otherwise("无")
+    parties = o.select(F.col("o_orderkey").alias("party_id"), F.lit("T").alias("object_type"), F.when(how == 0, F.concat(F.lit("s"), F.col("c_custkey").cast("string"))).alias("subject_id"), surface.alias("surface"), F.when(how == 3, F.translate("phone", "-", ".")).alias("normalized_value"))
+    return graph.resolved_parties(parties, nodes)
+
+
+_VIEW_NODES = "(SELECT 'e' || p_partkey AS node_id, CASE p_partkey % 3 WHEN 0 THEN 'A' ELSE 'B' END AS entity_type, CASE p_partkey % 4 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'pending' WHEN 2 THEN 'recorded' ELSE 'inferred' END AS status, p_partkey % 5 AS c, p_size % 10 = 0 AS bridge, p_partkey AS k FROM part)"
+
+
+@query(
+    f"""WITH n AS {_VIEW_NODES}, ok AS (SELECT * FROM n WHERE status <> 'inferred'), s AS (SELECT node_id FROM ok WHERE bridge ORDER BY CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END DESC, CASE status WHEN 'confirmed' THEN 3 WHEN 'pending' THEN 2 ELSE 1 END DESC, node_id LIMIT 1),
+e AS (SELECT 'e' || l_partkey AS src, 'e' || (l_suppkey + 1) AS dst FROM lineitem), near AS (SELECT dst AS node_id FROM e, s WHERE src = s.node_id UNION SELECT src FROM e, s WHERE dst = s.node_id)
+SELECT node_id, 'entity' AS kind, status, node_id IN (SELECT node_id FROM s) AS start FROM ok WHERE bridge OR node_id IN (SELECT node_id FROM near) UNION ALL SELECT DISTINCT 'case:' || c, 'case', '', false FROM n"""
+)
+def graph_view(spark, d):
+    """Parts as entities of one or two cases, line items as what occurs together; the core of the view without
+    weak links."""
+    p = _t(spark, d, "part")
+    k = F.col("p_partkey")
+    case = lambda x: F.concat(F.lit("case:"), (x % 5).cast("string"))
+    status = F.when(k % 4 == 0, "confirmed").when(k % 4 == 1, "pending").when(k % 4 == 2, "recorded").otherwise("inferred")
+    entities = p.select(F.concat(F.lit("e"), k.cast("string")).alias("node_id"), F.lit("entity").alias("kind"), F.when(k % 3 == 0, "A").otherwise("B").alias("entity_type"), status.alias("status"), F.when(k % 2 == 0, F.array(case(k), case(k + 1))).otherwise(F.array(case(k))).alias("case_ids"), (F.col("p_size") % 10 == 0).alias("bridge"), F.lit(False).alias("breakpoint"))
+    cases = p.select(case(k).alias("node_id"), F.lit("case").alias("kind"), F.lit(None).cast("string").alias("entity_type"), F.lit("").alias("status"), F.lit(None).cast("array<string>").alias("case_ids"), F.lit(False).alias("bridge"), F.lit(False).alias("breakpoint")).distinct()
+    nodes = storage.cut(entities.unionByName(cases))
+    edges = _t(spark, d, "lineitem").select(F.concat(F.lit("e"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("e"), (F.col("l_suppkey") + 1).cast("string")).alias("dst"), F.lit("cooccur").alias("kind"), F.lit("strong").alias("strength"))
+    got, _ = graph.filtered(nodes, edges, hide_weak=True, core=True)
+    start = graph.default_node(got.where("kind = 'case' or bridge")).withColumnRenamed("node_id", "_s")
+    return got.crossJoin(F.broadcast(start)).select("node_id", "kind", "status", (F.col("node_id") == F.col("_s")).alias("start"))
+
+
+@query(
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS o FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id AS page_id, o, regexp_replace(left(raw, 60), '^[\\x{0009}-\\x{000D}\\x{0020}\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+|[\\x{0009}-\\x{000D}\\x{0020}\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+$', '', 'g') AS x,
+  CASE o % 9 WHEN 1 THEN 16.5 WHEN 4 THEN 12.5 ELSE 10 + (doc_id % 3) * 0.25 END AS size FROM l),
+k AS (SELECT * FROM t WHERE x <> ''), b AS (SELECT page_id, list_sort(list(size))[count(*) // 2 + 1] AS body FROM k GROUP BY page_id)
+SELECT page_id, CAST(o AS INT) AS block, CASE WHEN size - body >= 4 AND length(x) <= 40 THEN '# ' WHEN size - body >= 2 AND length(x) <= 48 THEN '## ' ELSE '' END || x AS markdown FROM k JOIN b USING (page_id)"""
+)
+def page_headings(spark, d):
+    """Lines of documents as blocks of two spans; first and fourth of nine are set larger."""
+    doc = _t(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("o", "raw"))
+    o = F.col("o") + 1
+    size = F.when(o % 9 == 1, 16.5).when(o % 9 == 4, 12.5).otherwise(10 + F.col("doc_id") % 3 * 0.25)
+    raw = F.left("raw", F.lit(60))
+    halves = F.array(F.struct(F.lit(0).alias("span"), F.left(raw, F.lit(7)).alias("text"), size.alias("size")), F.struct(F.lit(1).alias("span"), F.substr(raw, F.lit(8)).alias("text"), (size - 1).alias("size")))
+    spans = doc.select(F.col("doc_id").alias("page_id"), o.alias("block"), F.lit(0).alias("line"), F.explode(halves).alias("x")).select("page_id", "block", "line", "x.*")
+    return layout.blocks(spans).select("page_id", "block", "markdown")

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import persons
-from quillon.operators import candidates, display, recognise, redaction, search
+from quillon.operators import candidates, display, graph, recognise, redaction, search
+from quillon.sources import layout
 
 R = random.Random(4)
 
@@ -171,3 +172,46 @@ def test_redaction_takes_identity_numbers_and_accounts(spark):
     got = {r.chunk_id: r for r in recognise.redact_text(spark.createDataFrame(rows, "chunk_id string, text string"), "s").collect()}
     assert got["a"].n_spans == 3 and "11010519491231002X" not in got["a"].text_redacted and "6222" not in got["a"].text_redacted and "138****5678" in got["a"].text_redacted
     assert got["b"].n_spans == 0
+
+
+def test_materials_take_seeds_first_and_four_a_case(spark):
+    chunks = [(c, f"{c}{i}", i, ["有Abc字", "无", None, "abc"][i % 4]) for c in "xy" for i in range(20)]
+    seeds = [("k", "x7", 0), ("k", "x1", 1), ("k", "y2", 2), ("k", "gone", 3)]
+    cs = spark.createDataFrame([("k", ["x", "y", "z"], "aBC"), ("m", ["y"], ""), ("s", ["x"], "%")], "candidate_id string, case_ids array<string>, hint string")
+    got = {tuple(r) for r in candidates.materials(cs, spark.createDataFrame(seeds, "candidate_id string, chunk_id string, seed_no int"), spark.createDataFrame(chunks, "case_id string, chunk_id string, ordinal int, text_redacted string")).collect()}
+    assert got == {("k", "x", 1, "x7"), ("k", "x", 2, "x1"), ("k", "x", 3, "x0"), ("k", "x", 4, "x3"), ("k", "y", 1, "y0"), ("k", "y", 2, "y3"), ("k", "y", 3, "y4"), ("k", "y", 4, "y7")}
+    names = {"“张三丰”人物": "张三丰", "尾号 1234 银行账户": "1234", "组织": "x y", None: "x y"}
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert {r.n: r.h for r in df.select("n", candidates.hint(F.col("n"), F.array(F.lit(" "), F.lit("x y"))).alias("h")).collect()} == names
+
+
+def test_views(spark):
+    nodes = spark.createDataFrame([("case:a", "case", None, "", None, False, False), ("e1", "entity", "P", "pending", ["a", "b"], True, False), ("e2", "entity", "Q", "inferred", ["a"], False, False), ("e3", "entity", "P", "confirmed", ["a", "b"], True, False), ("v", "event", None, "inferred", ["b"], False, False)], "node_id string, kind string, entity_type string, status string, case_ids array<string>, bridge boolean, breakpoint boolean")
+    edges = spark.createDataFrame([("e1", "e2", "cooccur", "weak"), ("e3", "e2", "cooccur", "strong"), ("v", "e1", "act", "strong"), ("e1", "case:a", "appear", "strong")], "src string, dst string, kind string, strength string")
+
+    def view(**k):
+        n, e = graph.filtered(nodes, edges, **k)
+        return {r.node_id for r in n.collect()}, {(r.src, r.dst) for r in e.collect()}
+
+    assert view() == ({"case:a", "e1", "e2", "e3", "v"}, {("e1", "e2"), ("e3", "e2"), ("v", "e1"), ("e1", "case:a")})
+    assert view(hide_weak=True) == ({"case:a", "e1", "e3", "v"}, {("v", "e1"), ("e1", "case:a")})
+    assert view(events=False, entity_type="P") == ({"case:a", "e1", "e3"}, {("e1", "case:a")})
+    assert view(case="b", status="inferred") == ({"v"}, set())
+    assert view(core=True) == ({"case:a", "e1", "e2", "e3"}, {("e1", "e2"), ("e3", "e2"), ("e1", "case:a")})
+    assert graph.default_node(nodes).first().node_id == "e3" and graph.default_node(nodes.limit(0)).count() == 0
+    assert graph.default_node(nodes.where("kind <> 'entity'")).first().node_id == "case:a"
+
+
+def test_parties_find_their_node_by_the_first_key(spark):
+    cols = "string, object_type string, subject_id string, surface string, normalized_value string"
+    nodes = spark.createDataFrame([("n1", "NAME", "s1", "王 伟", None), ("n2", "NAME", None, "王伟", None), ("n3", "PHONE", None, "138-1234", "1381234")], "node_id " + cols)
+    parties = spark.createDataFrame([(1, "NAME", "s1", "王伟", None), (2, "NAME", None, "王伟", None), (3, "NAME", "sX", "王  伟", None), (4, "PHONE", None, "(138)1234", None), (5, "NAME", None, "1381234", None), (6, "NAME", None, None, "")], "party_id int, object_type string, subject_id string, surface string, normalized_value string")
+    assert {(r.party_id, r.node_id, r["rank"]) for r in graph.resolved_parties(parties, nodes).collect()} == {(1, "n1", 0), (2, "n2", 1), (3, "n2", 2), (4, "n3", 3)}
+
+
+def test_headings_by_size(spark):
+    rows = [("p", 0, 0, 0, "标题", 18.0), ("p", 1, 0, 0, "正文", 10.0), ("p", 1, 0, 1, "一", 9.0), ("p", 1, 1, 0, "正文二", 10.0), ("p", 2, 0, 0, "小标题", 12.0), ("p", 3, 0, 0, "  ", 30.0), ("p", 4, 0, 0, "本院认为", 11.0), ("p", 5, 0, 0, "长" * 41, 15.0), ("q", 0, 0, 0, None, None), *(("p", k, 0, 0, "甲", 10.0) for k in (6, 7, 8))]
+    spans = spark.createDataFrame(rows, "page_id string, block int, line int, span int, text string, size double")
+    got = {r.block: r.markdown for r in layout.blocks(spans).collect()}
+    assert got == {0: "# 标题", 1: "正文一 正文二", 2: "## 小标题", 4: "### 本院认为", 5: "## " + "长" * 41, 6: "甲", 7: "甲", 8: "甲"}
+    assert layout.pages(spans).first().text.startswith("# 标题\n")
