@@ -4,14 +4,7 @@ import duckdb
 import pytest
 
 from quillon import llm
-
-SQL = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
-d AS (SELECT page_id, h, sha1(h) AS x, max(page_id) OVER (PARTITION BY sha1(h)) AS top FROM p)
-SELECT page_id, octet_length(encode(h)) AS payload_bytes,
-  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(x, 5 * (i // 4) + 1, 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31) + 1, 1) FOR i IN range(32)], '') AS payload_digest,
-  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM d
-"""
+from quillon.llm.op10_warc import SQL
 
 
 @pytest.mark.parametrize("sf", ["0.001", "0.01"])
