@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import candidates, display, graph, redaction, storage
+from ..operators import candidates, display, graph, redaction, storage, upkeep
 from ..sources import layout
 from . import _t, query
 from .notes import _NOTES, SALT, notes
@@ -205,3 +205,46 @@ def page_headings(spark, d):
     halves = F.array(F.struct(F.lit(0).alias("span"), F.left(raw, F.lit(7)).alias("text"), size.alias("size")), F.struct(F.lit(1).alias("span"), F.substr(raw, F.lit(8)).alias("text"), (size - 1).alias("size")))
     spans = doc.select(F.col("doc_id").alias("page_id"), o.alias("block"), F.lit(0).alias("line"), F.explode(halves).alias("x")).select("page_id", "block", "line", "x.*")
     return layout.blocks(spans).select("page_id", "block", "markdown")
+
+
+@query(
+    """WITH d AS (SELECT o_orderkey AS k, o_custkey % 40 AS c, o_custkey % 4 AS t FROM orders), gone AS (SELECT * FROM d WHERE k % 6 = 0 AND k % 12 <> 0)
+SELECT 't' || t AS task_id, 'MATERIAL_DOC' AS type, CAST(k AS VARCHAR) AS ref_key, 2 AS version, 'INVALID' AS status, CAST(0 AS BIGINT) AS again FROM gone
+UNION ALL SELECT DISTINCT 't' || t, 'MATERIAL_BATCH', 'b' || c, 2, 'STALE', 0 FROM gone UNION ALL SELECT DISTINCT 't' || t, 'CLUE_SET', NULL, 2, 'STALE', 0 FROM gone"""
+)
+def material_sync(spark, d):
+    """Orders as documents of cases and tasks; a sixth is deleted, of which half is known. A second run over
+    the log with the first one's rows finds nothing."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    o = _t(spark, d, "orders").select(k.alias("k"), (c % 40).alias("c"), F.concat(F.lit("t"), (c % 4).cast("string")).alias("task_id"))
+    docs = o.select(F.col("k").alias("document_id"), F.col("c").alias("case_id"), (F.col("k") % 6 == 0).alias("deleted"))
+    cases = o.select("task_id", F.col("c").alias("case_id")).distinct()
+    ref, batch = F.col("k").cast("string"), F.concat(F.lit("b"), F.col("c").cast("string"))
+    row = lambda df, kind, r, version, status: df.select("task_id", F.lit(kind).alias("type"), r.alias("ref_key"), F.lit(version).alias("version"), F.lit(status).alias("status"))
+    none = F.lit(None).cast("string")
+    log = row(o, "MATERIAL_DOC", ref, 1, "READY").unionByName(row(o.where("k % 12 = 0"), "MATERIAL_DOC", ref, 2, "INVALID"))
+    groups = o.select("task_id", "c").distinct()
+    log = log.unionByName(row(groups, "MATERIAL_BATCH", batch, 1, "READY")).unionByName(row(groups.select("task_id").distinct(), "CLUE_SET", none, 1, "READY")).unionByName(row(groups.select("task_id").distinct(), "REPORT_EXPORT", F.lit("r"), 1, "READY"))
+    log = storage.cut(log)
+    at = lambda kind, r: upkeep.node(F.col("task_id"), F.lit(kind), r)
+    edge = lambda df, a, b: df.select(a.alias("parent"), b.alias("child"))
+    parents = edge(o, at("MATERIAL_DOC", ref), at("MATERIAL_BATCH", batch)).unionByName(edge(groups, at("MATERIAL_BATCH", batch), at("CLUE_SET", none))).unionByName(edge(groups.select("task_id").distinct(), at("CLUE_SET", none), at("REPORT_EXPORT", F.lit("r"))))
+    rows = storage.cut(upkeep.synced(log, docs, cases, parents))
+    again = upkeep.synced(log.unionByName(rows), docs, cases, parents).agg(F.count(F.lit(1)).alias("again"))
+    return rows.crossJoin(F.broadcast(again))
+
+
+@query(
+    """WITH p AS (SELECT l_orderkey AS k, count(*) AS n, bool_or(l_linenumber % 5 = 4) AS review, count(*) FILTER (l_discount * 10 < 0.75) AS low FROM lineitem GROUP BY ALL)
+SELECT o_orderkey AS document_id, CASE WHEN o_orderstatus = 'O' THEN 'PARSED' WHEN n IS NULL THEN 'FAILED' WHEN review THEN 'NEEDS_OCR_REVIEW' ELSE 'PARSED' END AS status, CAST(o_orderkey % 3 + 1 AS BIGINT) AS version_count, 'v' || o_orderkey || '-' || (o_orderkey % 3) AS current_version_id,
+  coalesce(n, 0) AS page_count, coalesce(low, 0) AS low_pages FROM orders LEFT JOIN p ON k = o_orderkey WHERE o_orderkey % 7 <> 0"""
+)
+def material_list(spark, d):
+    """Orders as documents of one to three versions, line items as pages of the last."""
+    o, k = _t(spark, d, "orders"), F.col("o_orderkey")
+    name = lambda n: F.concat(F.lit("v"), k.cast("string"), F.lit("-"), n.cast("string"))
+    docs = o.select(k.alias("document_id"), F.col("o_custkey").alias("case_id"), F.lit("f").alias("filename"), F.when(F.col("o_orderstatus") == "O", "PARSED").when(F.col("o_orderstatus") == "F", "FAILED").otherwise("NEEDS_OCR_REVIEW").alias("status"), (k % 7 == 0).alias("deleted"))
+    versions = o.select("o_orderkey", F.explode(F.sequence(F.lit(0), (k % 3).cast("int"))).alias("n")).select(name(F.col("n")).alias("document_version_id"), k.alias("document_id"), F.col("n").alias("version_no"), (F.col("n") == k % 3).alias("is_current"))
+    pages = _t(spark, d, "lineitem").select(F.concat(F.lit("v"), F.col("l_orderkey").cast("string"), F.lit("-"), (F.col("l_orderkey") % 3).cast("string")).alias("document_version_id"), F.lit("x").alias("text"), F.when(F.col("l_linenumber") % 5 == 4, "NEEDS_OCR_REVIEW").otherwise("PARSED").alias("status"), (F.col("l_discount") * 10).alias("confidence"))
+    out = upkeep.material_list(docs, versions, pages)
+    return out.select("document_id", "status", "version_count", "current_version_id", F.coalesce("page_count", F.lit(0)).alias("page_count"), F.coalesce("low_pages", F.lit(0)).alias("low_pages"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import persons
-from quillon.operators import candidates, display, graph, recognise, redaction, search
+from quillon.operators import candidates, display, graph, recognise, redaction, search, upkeep
 from quillon.sources import layout
 
 R = random.Random(4)
@@ -215,3 +215,18 @@ def test_headings_by_size(spark):
     got = {r.block: r.markdown for r in layout.blocks(spans).collect()}
     assert got == {0: "# 标题", 1: "正文一 正文二", 2: "## 小标题", 4: "### 本院认为", 5: "## " + "长" * 41, 6: "甲", 7: "甲", 8: "甲"}
     assert layout.pages(spans).first().text.startswith("# 标题\n")
+
+
+def test_upkeep_marks_what_is_gone_and_what_follows(spark):
+    docs = spark.createDataFrame([("d1", "a", False), ("d2", "a", True), ("d3", "b", None), ("d4", "z", False)], "document_id string, case_id string, deleted boolean")
+    cases = spark.createDataFrame([("t", "a"), ("t", "b"), ("u", "b")], "task_id string, case_id string")
+    log = [("t", "MATERIAL_DOC", d, 1, "READY") for d in ("d1", "d2", "d3", "d4", "lost")] + [("t", "MATERIAL_DOC", "old", 1, "READY"), ("t", "MATERIAL_DOC", "old", 2, "INVALID"), ("u", "MATERIAL_DOC", "d3", 1, "READY"), ("t", "CLUE_SET", None, 3, "READY"), ("t", "ROLE_TIMELINE", "x", 1, "STALE"), ("t", "REPORT_EXPORT", "r", 1, "READY"), ("u", "CLUE_SET", None, 1, "READY")]
+    log = spark.createDataFrame(log, "task_id string, type string, ref_key string, version int, status string")
+    parents = spark.createDataFrame([("t/MATERIAL_DOC/d2", "t/CLUE_SET"), ("t/CLUE_SET", "t/ROLE_TIMELINE/x"), ("t/ROLE_TIMELINE/x", "t/REPORT_EXPORT/r"), ("u/MATERIAL_DOC/d3", "u/CLUE_SET")], "parent string, child string")
+    rows = upkeep.synced(log, docs, cases, parents)
+    assert {tuple(r) for r in rows.collect()} == {("t", "MATERIAL_DOC", d, 2, "INVALID") for d in ("d2", "d4", "lost")} | {("t", "CLUE_SET", None, 4, "STALE")}
+    assert upkeep.synced(log.unionByName(rows), docs, cases, parents).count() == 0
+    assert {r.document_id for r in upkeep.removed(docs, cases, "t", "d3").collect() if r.deleted} == {"d2", "d3"}
+    assert {r.document_id for r in upkeep.removed(docs, cases, "u", "d1").collect() if r.deleted} == {"d2"}
+    pages = spark.createDataFrame([(1, "PARSED", ["LOW_OCR_CONFIDENCE"]), (2, "PARSED", None), (3, "FAILED", [])], "page_no int, status string, quality_flags array<string>")
+    assert {r.page_no for r in upkeep.doubtful_pages(pages).collect()} == {1, 3}
