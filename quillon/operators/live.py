@@ -87,11 +87,13 @@ def candidate_page(candidates: DataFrame, decision: str | None = "PENDING", enti
 
 
 def nested_names_dropped(mentions: DataFrame) -> DataFrame:
-    """NAME mentions that are no proper part of another NAME of their chunk; others stay."""
-    names = mentions.where("object_type = 'NAME'").groupBy("chunk_id").agg(F.collect_set("surface_raw").alias("__n"))
-    j = mentions.join(names, "chunk_id", "left")
-    inside = F.exists(F.coalesce("__n", F.array().cast("array<string>")), lambda x: (F.length(x) > F.length("surface_raw")) & F.contains(x, F.col("surface_raw")))
-    return j.where((F.col("object_type") != "NAME") | ~inside).drop("__n")
+    """NAME mentions that are no proper part of another NAME of their chunk; others stay. Names are joined with
+    the parts of the names of their chunk, so no two names are compared that do not match."""
+    n = F.length("surface_raw")
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda at: F.substr(F.col("surface_raw"), at, k))))
+    names = mentions.where("object_type = 'NAME'").select("chunk_id", "surface_raw").distinct().where(n > 1)
+    inner = names.select("chunk_id", F.explode(parts).alias("surface_raw")).distinct().withColumn("__in", F.lit(True))
+    return mentions.join(inner, ["chunk_id", "surface_raw"], "left").where("object_type <> 'NAME' or __in is null").select(*mentions.columns)
 
 
 def surname_variants(names: DataFrame) -> DataFrame:
