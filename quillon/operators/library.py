@@ -36,6 +36,7 @@ def found_clauses(clauses: DataFrame, asked: DataFrame) -> DataFrame:
     text); asked: (ask_id, law, number)."""
     spelt = F.when(F.col("number").rlike("^[0-9]{1,4}$"), F.concat(F.lit("第"), persons.chinese_number(F.col("number")), F.lit("条")))
     q = storage.cut(asked.groupBy("law", "number").agg(F.min("ask_id").alias("q")).withColumn("spelt", spelt))
+    clauses = storage.cut(clauses.select("law", "ordinal", "clause", "text"))
     numbers = clauses.select("law", "clause").distinct().withColumn("text_id", F.xxhash64("law", "clause"))
     same = lambda key, step: q.select("law", "q", F.col(key).alias("clause")).join(clauses, ["law", "clause"]).select("q", "ordinal", "clause", "text", F.lit(step).alias("step"))
     inside = search.held(q.select(F.col("q").alias("pattern_id"), F.col("number").alias("pattern"), "law"), numbers.select("text_id", F.col("clause").alias("text"), "law"), ("law",))
