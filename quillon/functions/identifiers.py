@@ -106,3 +106,9 @@ def candidate_fingerprint(kind: Column, value: Column, cases: Column) -> Column:
     """sha256 of the compact JSON with sorted keys; nulls are kept."""
     body = F.struct(F.array_sort(cases).alias("case_ids"), value.alias("normalized_value"), kind.alias("object_type"))
     return F.sha2(F.to_json(body, {"ignoreNullFields": "false"}), 256)
+
+
+def payload_hash(kind: str, surface: str, start: str, producer: str) -> Column:
+    """sha256 of a mention's compact JSON with sorted keys; nulls are kept."""
+    body = F.struct(F.col(producer).alias("producer"), F.col(start).alias("start"), F.col(surface).alias("surface"), F.col(kind).alias("type"))
+    return F.sha2(F.to_json(body, {"ignoreNullFields": "false"}), 256)

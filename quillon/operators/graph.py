@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .identity import within_hops
 from .storage import cut
 
 # Edge statuses from the weakest.
@@ -120,3 +121,36 @@ def filtered(nodes: DataFrame, edges: DataFrame, hide_weak: bool = False, events
     ids = n.select("node_id").distinct()
     e = e.join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
     return n, e
+
+
+def core_view(nodes: DataFrame, edges: DataFrame, selected: str | None = None, hops: int = 2) -> tuple[DataFrame, DataFrame]:
+    """What a view shows at first, of nodes and edges as `filtered` leaves them: cases, entities that bridge
+    them, what occurs with the start, and events with an edge to one of these; if any entity bridges cases,
+    of all but the cases only what is at most `hops` edges from the start over what is left.
+    Entities that are a breakpoint need an edge. The start is the selected node where it is a case or
+    bridges cases, else the default one of these. Events that are linked with kept events only stay out,
+    so that the result doesn't depend on the nodes' order. Without nodes the view is empty."""
+    kind = F.col("kind")
+    bridge = (kind == "entity") & F.coalesce("bridge", F.lit(False))
+    inner = nodes.where((kind == "case") | bridge)
+    picked = inner.where(F.lit(False)).select("node_id") if selected is None else inner.where(F.col("node_id") == selected).select("node_id").distinct()
+    first = F.min(F.struct("second", "node_id")).alias("m")
+    rows = picked.withColumn("second", F.lit(False)).unionByName(default_node(inner).withColumn("second", F.lit(True)))
+    start = cut(rows.agg(first).where("m is not null").select("m.node_id"))  # one row
+    ids = nodes.select("node_id").distinct()
+    ends = edges.select(F.col("src").alias("node_id"), F.col("dst").alias("other"), F.col("kind").alias("edge")).where("node_id <> other")
+    ends = ends.unionByName(ends.select(F.col("other").alias("node_id"), F.col("node_id").alias("other"), "edge"))
+    near = ends.where("edge = 'cooccur'").join(F.broadcast(start), "node_id").select(F.col("other").alias("node_id")).join(ids, "node_id", "left_semi")
+    core = inner.select("node_id").union(near).distinct()
+    told = ends.join(nodes.where("kind = 'event'").select("node_id"), "node_id", "left_semi").join(core.withColumnRenamed("node_id", "other"), "other", "left_semi").select("node_id")
+    keep = cut(core.union(told).distinct())
+    among = lambda e, held: e.join(held.withColumnRenamed("node_id", "src"), "src", "left_semi").join(held.withColumnRenamed("node_id", "dst"), "dst", "left_semi").select(*edges.columns)
+    e = cut(among(edges, keep))
+    seen = within_hops(e.select(F.col("src").alias("a"), F.col("dst").alias("b")), start.withColumnRenamed("node_id", "node"), hops).select(F.col("node").alias("node_id"))
+    if nodes.where(bridge).isEmpty():
+        seen = keep
+    seen = seen.union(nodes.where("kind = 'case'").select("node_id")).distinct()
+    n, e = nodes.join(keep, "node_id", "left_semi").join(seen, "node_id", "left_semi"), among(e, seen)
+    linked = e.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+    alone = n.where((kind == "entity") & F.coalesce("breakpoint", F.lit(False))).join(linked, "node_id", "left_anti").select("node_id")
+    return n.join(alone, "node_id", "left_anti"), e

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -18,3 +19,9 @@ def cut(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="quillon-"))
     return df.checkpoint()
+
+
+def folder(spark) -> str:
+    """A new folder for tables beside the checkpoints."""
+    cut(spark.range(0))  # sets a checkpoint folder where there is none
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tables-{uuid.uuid4().hex}"

@@ -189,6 +189,40 @@ def graph_view(spark, d):
     return got.crossJoin(F.broadcast(start)).select("node_id", "kind", "status", (F.col("node_id") == F.col("_s")).alias("start"))
 
 
+@query(
+    """WITH n AS (SELECT 'e' || p_partkey AS node_id, CASE p_partkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS r, p_partkey % 2 AS odd, p_size % 10 = 0 AS bridge, p_size % 10 = 5 AS alone FROM part),
+c AS (SELECT DISTINCT 'case:' || (p_partkey % 5) AS node_id FROM part), s AS (SELECT node_id FROM n WHERE bridge ORDER BY odd, r DESC, node_id LIMIT 1),
+e AS (SELECT 'e' || l_partkey AS a, 'e' || (l_suppkey + 1) AS b, 'cooccur' AS kind FROM lineitem UNION SELECT 'o' || l_orderkey, 'e' || l_partkey, 'act' FROM lineitem UNION SELECT 'e' || p_partkey, 'case:' || (p_partkey % 5), 'appear' FROM part),
+x AS (SELECT * FROM e WHERE a <> b UNION SELECT b, a, kind FROM e WHERE a <> b),
+core AS (SELECT node_id FROM c UNION SELECT node_id FROM n WHERE bridge UNION SELECT b FROM x JOIN s ON a = node_id WHERE kind = 'cooccur' AND b IN (SELECT node_id FROM n)),
+keep AS (SELECT node_id FROM core UNION SELECT a FROM x WHERE starts_with(a, 'o') AND b IN (SELECT node_id FROM core)),
+k AS (SELECT DISTINCT a, b FROM x WHERE a IN (SELECT node_id FROM keep) AND b IN (SELECT node_id FROM keep)), one AS (SELECT b FROM k JOIN s ON a = node_id),
+seen AS (SELECT node_id FROM s UNION SELECT b FROM one UNION SELECT k.b FROM k JOIN one ON a = one.b UNION SELECT node_id FROM c),
+g AS (SELECT a AS node_id, count(*) AS n FROM k WHERE a IN (SELECT node_id FROM seen) AND b IN (SELECT node_id FROM seen) GROUP BY 1)
+SELECT node_id, coalesce(n, 0) AS neighbours, node_id IN (SELECT node_id FROM s) AS start FROM seen LEFT JOIN g USING (node_id) WHERE coalesce(n, 0) > 0 OR node_id NOT IN (SELECT node_id FROM n WHERE alone)"""
+)
+def graph_core(spark, d):
+    """Parts as entities of one or two cases, orders as events; what a view of them shows at first."""
+    p, k = _t(spark, d, "part"), F.col("p_partkey")
+    name = lambda a, x: F.concat(F.lit(a), x.cast("string"))
+    case = lambda x: name("case:", x % 5)
+    status = F.when(k % 4 == 0, "confirmed").when(k % 4 == 1, "pending").when(k % 4 == 2, "recorded").otherwise("inferred")
+    node = lambda df, key, kind, status, cases, bridge, alone: df.select(key.alias("node_id"), F.lit(kind).alias("kind"), status.alias("status"), cases.alias("case_ids"), bridge.alias("bridge"), alone.alias("breakpoint"))
+    none, no = F.lit(None).cast("array<string>"), F.lit(False)
+    entities = node(p, name("e", k), "entity", status, F.when(k % 2 == 0, F.array(case(k), case(k + 1))).otherwise(F.array(case(k))), F.col("p_size") % 10 == 0, F.col("p_size") % 10 == 5)
+    cases = node(p, case(k), "case", F.lit(""), none, no, no).distinct()
+    nodes = storage.cut(entities.unionByName(cases).unionByName(node(_t(spark, d, "orders"), name("o", F.col("o_orderkey")), "event", F.lit("recorded"), none, no, no)))
+    edge = lambda df, a, b, kind: df.select(a.alias("src"), b.alias("dst"), F.lit(kind).alias("kind"))
+    li = _t(spark, d, "lineitem")
+    part = name("e", F.col("l_partkey"))
+    edges = edge(li, part, name("e", F.col("l_suppkey") + 1), "cooccur").unionByName(edge(li, name("o", F.col("l_orderkey")), part, "act")).unionByName(edge(p, name("e", k), case(k), "appear"))
+    n, e = graph.core_view(nodes, storage.cut(edges.distinct()))
+    both = e.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(e.select("dst", "src")).where("a <> b").distinct()
+    start = graph.default_node(nodes.where("kind = 'case' or bridge")).withColumnRenamed("node_id", "_s")  # one row
+    out = n.join(both.groupBy(F.col("a").alias("node_id")).agg(F.count(F.lit(1)).alias("neighbours")), "node_id", "left")
+    return out.crossJoin(F.broadcast(start)).select("node_id", F.coalesce("neighbours", F.lit(0)).alias("neighbours"), (F.col("node_id") == F.col("_s")).alias("start"))
+
+
 @query(
     """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS o FROM documents WHERE text IS NOT NULL),
 t AS (SELECT doc_id AS page_id, o, regexp_replace(left(raw, 60), '^[\\x{0009}-\\x{000D}\\x{0020}\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+|[\\x{0009}-\\x{000D}\\x{0020}\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+$', '', 'g') AS x,
