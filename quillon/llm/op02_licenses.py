@@ -11,7 +11,9 @@ the template, leaves before the join: cosine is at most the block's weight on te
 its norm, so nothing is lost.
 
 A file's own licence is its best block's best template (then the first name); "Proprietary" counts
-only where no other licence reaches the threshold, since "All rights reserved" stands in many. A file
+only where no other licence reaches the threshold, since "All rights reserved" stands in many. Disclaimers
+that many licences share are templates without a name: a block that is nearest to one of them
+names no licence, so a licence that is unknown here isn't taken for one with the same disclaimer. A file
 without one takes that of the nearest ancestor directory that holds a licence file: directories, not
 files, are joined with their ancestors, and files join their directory.
 
@@ -72,9 +74,41 @@ TEMPLATES = (
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of "
         "the License, or (at your option) any later version.",
     ),
+    ("GPL-1.0", "GNU GENERAL PUBLIC LICENSE Version 1, February 1989"),
+    (
+        "GPL-1.0",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 1, or "
+        "(at your option) any later version.",
+    ),
     ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    (
+        "LGPL-3.0",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 "
+        "of the License, or (at your option) any later version.",
+    ),
     ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    (
+        "LGPL-2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version "
+        "2.1 of the License, or (at your option) any later version.",
+    ),
+    ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    (
+        "LGPL-2.0",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version "
+        "2 of the License, or (at your option) any later version.",
+    ),
     ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    (
+        "AGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 "
+        "of the License, or (at your option) any later version.",
+    ),
+    ("GFDL-1.1", "GNU Free Documentation License Version 1.1, March 2000"),
+    ("GFDL-1.2", "GNU Free Documentation License Version 1.2, November 2002"),
+    ("GFDL-1.3", "GNU Free Documentation License Version 1.3, 3 November 2008"),
+    ("Artistic-1.0", "The Artistic License"),
+    ("Artistic-2.0", "The Artistic License 2.0"),
     ("BSD-3-Clause", "BSD 3-Clause License"),
     (
         "BSD-3-Clause",
@@ -100,6 +134,24 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-1.1", "Mozilla Public License Version 1.1"),
+    (
+        "MPL-1.1",
+        "The contents of this file are subject to the Mozilla Public License Version 1.1 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the "
+        "License at http://www.mozilla.org/MPL/ Software distributed under the License is distributed on an AS IS basis, WITHOUT WARRANTY OF ANY KIND, either express or implied. See the License for the "
+        "specific language governing rights and limitations under the License.",
+    ),
+    ("EPL-1.0", "Eclipse Public License - v 1.0"),
+    (
+        "EPL-1.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at "
+        "http://www.eclipse.org/legal/epl-v10.html",
+    ),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    (
+        "EPL-2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    ),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
@@ -107,6 +159,19 @@ TEMPLATES = (
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal"),
     ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
     ("Proprietary", "All rights reserved"),
+    # wording that licences share, which names none
+    (
+        "",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND "
+        "FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL "
+        "DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+        "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU "
+        "General Public License for more details.",
+    ),
 )
 # Licence files of the query's tree: path, and the template that stands in it. Documents are the
 # files below their source's directory.
@@ -169,7 +234,9 @@ def scanned(files: DataFrame) -> DataFrame:
     dots = b.select("f", "block", "norm2", F.explode("x").alias("x")).select("f", "block", "norm2", "x.t", "x.c").join(F.broadcast(table), "t")
     scores = dots.groupBy("f", "block", "norm2", "template", "license", "tnorm2").agg(F.sum(F.col("c") * F.col("w2")).alias("dot"))
     scores = scores.withColumn("score", F.round(F.col("dot") / F.sqrt(F.col("norm2") * F.col("tnorm2")), 6)).where(F.col("score") >= THRESHOLD)
-    best = scores.groupBy("f").agg(F.min(F.struct((F.col("license") == "Proprietary").alias("p"), (-F.col("score")).alias("s"), "license")).alias("m"))
+    order = F.struct((F.col("license") == "Proprietary").alias("p"), (-F.col("score")).alias("s"), "license")
+    block = scores.groupBy("f", "block").agg(F.min(order).alias("m")).where("m.license <> ''")
+    best = block.groupBy("f").agg(F.min("m").alias("m"))
     return best.select("f", F.col("m.license").alias("license"), (-F.col("m.s")).alias("score"))
 
 
@@ -232,7 +299,8 @@ norm AS (SELECT f, b, sum(c * c * w * w) + (any_value(m) - sum(words)) * pow(ln(
 tnorm AS (SELECT k, license, sum(c * c * w * w) AS tnorm2 FROM tt JOIN idf USING (t) GROUP BY k, license),
 dots AS (SELECT f, b, k, sum(known.c * tt.c * w * w) AS dot FROM known JOIN tt USING (t) GROUP BY f, b, k),
 scores AS (SELECT f, license, round(dot / sqrt(norm2 * tnorm2), 6) AS score FROM dots JOIN norm USING (f, b) JOIN tnorm USING (k)),
-own AS (SELECT f, arg_min(score, (license = 'Proprietary', -score, license)) AS score, arg_min(license, (license = 'Proprietary', -score, license)) AS license FROM scores WHERE score >= {THRESHOLD} GROUP BY f),
+best AS (SELECT f, b, min((license = 'Proprietary', -score, license)) AS m FROM scores WHERE score >= {THRESHOLD} GROUP BY f, b),
+own AS (SELECT f, -m[2] AS score, m[3] AS license FROM (SELECT f, min(m) AS m FROM best WHERE m[3] <> '' GROUP BY f)),
 held AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, license FROM files JOIN own USING (f) WHERE doc_id IS NULL),
 near AS (SELECT f, arg_max(held.license, length(dir)) AS license FROM docs JOIN held ON starts_with(path, dir || '/') GROUP BY f)
 SELECT doc_id, path, coalesce(own.license, near.license) AS license, own.score, CASE WHEN own.license IS NOT NULL THEN 'own' WHEN near.license IS NOT NULL THEN 'inherited' END AS how

@@ -123,10 +123,16 @@ def test_real_licences_are_recognised(spark):
     rows = [(p, commented(t, m) + code, want) for p, t, m, want in rows]
     rows.append(("a/k.c", "/*\n" + commented(gpl3 + hope, " *") + "\n */" + code, "GPL-3.0"))
     folder = "/usr/share/common-licenses"
-    for name, want in (("Apache-2.0", "Apache-2.0"), ("GPL-3", "GPL-3.0"), ("GPL-2", "GPL-2.0"), ("LGPL-3", "LGPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"), ("BSD", "BSD-3-Clause")):
+    for name, want in (("Apache-2.0", "Apache-2.0"), ("GPL-3", "GPL-3.0"), ("GPL-2", "GPL-2.0"), ("LGPL-3", "LGPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"), ("BSD", "BSD-3-Clause"), ("Artistic", "Artistic-1.0"), ("GFDL-1.2", "GFDL-1.2"), ("GFDL-1.3", "GFDL-1.3"), ("GPL-1", "GPL-1.0"), ("LGPL-2", "LGPL-2.0"), ("MPL-1.1", "MPL-1.1")):
         if os.path.exists(f"{folder}/{name}"):
             rows.append((f"{want}/{name}/LICENSE", open(f"{folder}/{name}").read(), want))
     rows.append(("mit/LICENSE", "MIT License\n\nCopyright (c) 2022 X\n\n" + next(x for n, x in op2.TEMPLATES if n == "MIT" and len(x) > 120) + "\n\nThe above copyright notice and this permission notice shall be included in all copies.", "MIT"))
+    named = {n: [x for m, x in op2.TEMPLATES if m == n] for n, _ in op2.TEMPLATES}
+    for n in ("AGPL-3.0", "LGPL-3.0", "LGPL-2.1", "LGPL-2.0", "MPL-1.1", "EPL-1.0", "EPL-2.0"):
+        rows.append((f"head/{n}.py", commented(named[n][-1] + (hope if "GPL" in n else ""), "#") + code, n))
+    # licences that are not among the templates, with a disclaimer that others have too
+    rows.append(("other/a.txt", "1. Products derived from it may not be called Frob.\n\n" + named[""][0] + "\n", None))
+    rows.append(("other/b.txt", "Frob Licence 7\n\n" + named[""][1] + "\n", None))
     rows += [(f"prose/{i}.txt", words(60) + "\nthe license of the city was granted to any person\n" + words(30), None) for i in range(40)]
     got = {r.path: r.license for r in op2.licenses(spark.createDataFrame([r[:2] for r in rows], "path string, text string")).collect()}
     assert got == {p: want for p, _, want in rows}
