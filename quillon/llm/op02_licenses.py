@@ -298,7 +298,7 @@ size AS (SELECT f, b, len(ts) AS m FROM blocks),
 norm AS (SELECT f, b, sum(c * c * w * w) + (any_value(m) - sum(words)) * pow(ln(1 + any_value(n)) + 1, 2) AS norm2 FROM known JOIN size USING (f, b), total GROUP BY f, b),
 tnorm AS (SELECT k, license, sum(c * c * w * w) AS tnorm2 FROM tt JOIN idf USING (t) GROUP BY k, license),
 dots AS (SELECT f, b, k, sum(known.c * tt.c * w * w) AS dot FROM known JOIN tt USING (t) GROUP BY f, b, k),
-scores AS (SELECT f, license, round(dot / sqrt(norm2 * tnorm2), 6) AS score FROM dots JOIN norm USING (f, b) JOIN tnorm USING (k)),
+scores AS (SELECT f, b, license, round(dot / sqrt(norm2 * tnorm2), 6) AS score FROM dots JOIN norm USING (f, b) JOIN tnorm USING (k)),
 best AS (SELECT f, b, min((license = 'Proprietary', -score, license)) AS m FROM scores WHERE score >= {THRESHOLD} GROUP BY f, b),
 own AS (SELECT f, -m[2] AS score, m[3] AS license FROM (SELECT f, min(m) AS m FROM best WHERE m[3] <> '' GROUP BY f)),
 held AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, license FROM files JOIN own USING (f) WHERE doc_id IS NULL),
