@@ -47,6 +47,15 @@ def test_versions_are_swapped_at_once(spark, tmp_path):
         extraction.merge_batch(out, "a/b")
 
 
+def test_no_chunks(spark, tmp_path):
+    out = str(tmp_path / "out")
+    extraction.merge_batch(out, "v1")(spark.createDataFrame([], SCHEMA), 0)
+    extraction.publish(spark, out, "v1")
+    assert extraction.published(spark, out) == "v1" and extraction.current(spark, out).count() == 0
+    extraction.merge_batch(out, "v1")(spark.createDataFrame([(*r, 1) for r in FIRST[3:]], SCHEMA + ", surface_raw int"), 1)
+    assert extraction.current(spark, out).count() == 2
+
+
 def _core(nodes, edges, selected, hops=2):
     kind = {n[0]: n[1] for n in nodes}
     inner = [n for n in nodes if n[1] == "case" or n[4]]
