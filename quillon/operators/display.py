@@ -35,11 +35,14 @@ def without_pseudonyms(text: Column, kind: Column | None = None) -> Column:
     return bare if kind is None else F.when(kind.isin(*SHOWN_AS_IDENTIFIER), ids.public_surface(out, kind)).otherwise(bare)
 
 
-def review_values(values: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Adds display to values (value_id, text, object_type). mapping: (anonymous_id, value)."""
-    texts = values.select(F.sha2("text", 256).alias("_h"), "text").where("text is not null").distinct()
-    shown = mappings.rendered(texts, mapping, "_h").withColumnRenamed("text", "_shown")
-    j = values.withColumn("_h", F.sha2("text", 256)).join(shown, "_h", "left").drop("_h")
+def review_values(values: DataFrame, mapping: DataFrame, own: str | None = None) -> DataFrame:
+    """Adds display to values (value_id, text, object_type). mapping: (anonymous_id, value); `own` as in
+    mappings.rendered."""
+    mine = F.lit(None).cast("string") if own is None else F.col(own)
+    values = values.withColumn("_h", F.sha2("text", 256)).withColumn("_own", mine)
+    texts = values.select("_h", "_own", "text").where("text is not null").distinct()
+    shown = mappings.rendered(texts, mapping, "_h", own="_own").select(F.col("_h").alias("_h2"), F.col("_own").alias("_own2"), F.col("text").alias("_shown"))
+    j = values.join(shown, (F.col("_h") == F.col("_h2")) & F.col("_own").eqNullSafe(F.col("_own2")), "left").drop("_h", "_own", "_h2", "_own2")
     return j.withColumn("display", without_pseudonyms(F.col("_shown"), F.col("object_type"))).drop("_shown")
 
 
@@ -88,24 +91,27 @@ def _parsed(text: str | None):
         return None
 
 
-def hydrated(payloads: DataFrame, mapping: DataFrame, key: str = "payload_id", payload: str = "payload") -> DataFrame:
+def hydrated(payloads: DataFrame, mapping: DataFrame, key: str = "payload_id", payload: str = "payload", own: str | None = None) -> DataFrame:
     """Payloads (JSON texts) as they are shown. An object's quote moves to quote_storage and is shown with
-    aliases; other strings that hold a pseudonym are shown so too. What is no JSON stays as it is."""
-    rows = payloads.select(key, payload)
+    aliases; other strings that hold a pseudonym are shown so too. What is no JSON stays as it is.
+    `own`: a column with the alias that a payload means where a pseudonym has several."""
+    mine = F.lit(None).cast("string") if own is None else F.col(own)
+    rows = payloads.select(key, payload, mine.alias("__own"))
 
     def opened(batches):
         for rb in batches:
-            ids_, paths, texts = [], [], []
-            for k, t in zip(rb.column(key).to_pylist(), rb.column(payload).to_pylist(), strict=True):
+            ids_, paths, texts, owns = [], [], [], []
+            for k, t, o in zip(rb.column(key).to_pylist(), rb.column(payload).to_pylist(), rb.column("__own").to_pylist(), strict=True):
                 for path, text in _strings(_parsed(t)):
                     ids_.append(k)
                     paths.append(json.dumps(path))
                     texts.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(ids_, rb.column(key).type), pa.array(paths, pa.string()), pa.array(texts, pa.string())], names=[key, "path", "text"])
+                    owns.append(o)
+            yield pa.RecordBatch.from_arrays([pa.array(ids_, rb.column(key).type), *(pa.array(x, pa.string()) for x in (paths, texts, owns))], names=[key, "path", "text", "own"])
 
-    found = storage.cut(rows.mapInArrow(opened, T.StructType([payloads.schema[key], *T.StructType.fromDDL("path string, text string").fields])))
-    shown = review_values(found.select("text").distinct().withColumn("object_type", F.lit(None).cast("string")), mapping).select("text", "display")
-    per = found.join(shown, "text").groupBy(F.col(key).alias("__k")).agg(F.collect_list(F.struct("path", "display")).alias("__c"))  # a payload's own strings
+    found = storage.cut(rows.mapInArrow(opened, T.StructType([payloads.schema[key], *T.StructType.fromDDL("path string, text string, own string").fields])))
+    shown = review_values(found.select("text", "own").distinct().withColumn("object_type", F.lit(None).cast("string")), mapping, "own").select(F.col("text").alias("__text"), F.col("own").alias("__own"), "display")
+    per = found.join(shown, (F.col("text") == F.col("__text")) & F.col("own").eqNullSafe(F.col("__own"))).groupBy(F.col(key).alias("__k")).agg(F.collect_list(F.struct("path", "display")).alias("__c"))  # a payload's own strings
     j = payloads.join(per, F.col(key) == F.col("__k"), "left").drop("__k")
 
     def closed(batches):

@@ -94,14 +94,15 @@ _SHOWN = f"(SELECT *, CASE WHEN placeholder IN (SELECT placeholder FROM {_NOTES}
 UNION ALL SELECT chunk_id, '涉及' || name, text, text, name || '、' || name, name, name, name FROM {_NOTES} WHERE k % 6 <> 3"""
 )
 def payload_hydration(spark, d):
-    """Nested payloads around each note; some pseudonyms have an alias."""
+    """Nested payloads around each note; some pseudonyms have an alias, for each person that goes by them."""
     n = notes(spark, d)
     who = F.when(F.col("k") % 6 == 3, F.col("placeholder")).otherwise(F.col("name"))
     inner = F.struct(F.array(F.struct(F.array(who).alias("names"), F.col("name").alias("plain"))).alias("deeper"), who.alias("chunk_id"))
     evidence = F.struct(F.col("text").alias("quote"), F.sha2("text", 256).alias("quote_hash"), F.concat(who, F.lit("、"), who).alias("note"), inner.alias("more"))
-    payloads = n.select(F.col("chunk_id").alias("payload_id"), F.to_json(F.struct(F.concat(F.lit("涉及"), who).alias("title"), F.array(evidence).alias("evidence"))).alias("payload"))
-    aliases = n.where("k % 6 = 3 and k % 4 = 3").select(F.col("placeholder").alias("anonymous_id"), F.concat("fam", F.lit("某甲")).alias("value")).distinct()
-    shown = display.hydrated(payloads, aliases)
+    alias, named = F.concat("fam", F.lit("某甲")), n.where("k % 6 = 3")
+    payloads = n.select(F.col("chunk_id").alias("payload_id"), F.to_json(F.struct(F.concat(F.lit("涉及"), who).alias("title"), F.array(evidence).alias("evidence"))).alias("payload"), F.when(F.col("k") % 6 == 3, alias).alias("own"))
+    aliases = named.join(named.where("k % 4 = 3").select("placeholder").distinct(), "placeholder", "left_semi").select(F.col("placeholder").alias("anonymous_id"), alias.alias("value")).distinct()
+    shown = display.hydrated(payloads, aliases, own="own")
     at = lambda p: F.get_json_object("payload", f"$.{p}")
     return shown.select("payload_id", at("title").alias("title"), at("evidence[0].quote").alias("quote"), at("evidence[0].quote_storage").alias("quote_storage"), at("evidence[0].note").alias("note"), at("evidence[0].more.deeper[0].names[0]").alias("deepest"), at("evidence[0].more.chunk_id").alias("chunk_ref"), at("evidence[0].more.deeper[0].plain").alias("untouched"))
 

@@ -230,3 +230,16 @@ def test_upkeep_marks_what_is_gone_and_what_follows(spark):
     assert {r.document_id for r in upkeep.removed(docs, cases, "u", "d1").collect() if r.deleted} == {"d2"}
     pages = spark.createDataFrame([(1, "PARSED", ["LOW_OCR_CONFIDENCE"]), (2, "PARSED", None), (3, "FAILED", [])], "page_no int, status string, quality_flags array<string>")
     assert {r.page_no for r in upkeep.doubtful_pages(pages).collect()} == {1, 3}
+
+
+def test_pseudonyms_that_two_values_share(spark):
+    """Ids are short hashes: a text is shown with the value that it means, once for each."""
+    from quillon.operators import mappings
+
+    m = spark.createDataFrame([("NAME_7b763dcb", "张某甲"), ("NAME_7b763dcb", "杨某甲"), ("NAME_00000001", "李某甲")], "anonymous_id string, value string")
+    t = spark.createDataFrame([(1, "张某甲", "由NAME_7b763dcb说"), (1, "杨某甲", "由NAME_7b763dcb说"), (2, "杨某甲", "PERSON_7b763dcb与NAME_00000001"), (3, None, "NAME_7b763dcb")], "k int, own string, text string")
+    got = mappings.rendered(t, m, "k", own="own").select("k", "text").collect()
+    assert sorted(map(tuple, got)) == [(1, "由张某甲说"), (1, "由杨某甲说"), (2, "PERSON_7b763dcb与李某甲"), (3, "杨某甲")]
+    p = spark.createDataFrame([("a", '{"title":"涉及NAME_7b763dcb"}', "张某甲"), ("b", '{"title":"涉及NAME_7b763dcb"}', "杨某甲")], "payload_id string, payload string, own string")
+    shown = display.hydrated(p, m, own="own").select("payload_id", "payload").collect()
+    assert sorted(map(tuple, shown)) == [("a", '{"title":"涉及张某甲"}'), ("b", '{"title":"涉及杨某甲"}')]
