@@ -192,8 +192,8 @@ def materials(candidates: DataFrame, seeds: DataFrame, chunks: DataFrame, per_ca
     cases = candidates.select("candidate_id", low(F.col("hint")).alias("hint"), F.explode("case_ids").alias("case_id"))
     texts = chunks.where(F.trim(F.coalesce("text_redacted", F.lit(""))) != "").select("case_id", "chunk_id", "ordinal", low(F.col("text_redacted")).alias("text"))
     wanted = cases.where("hint <> ''").select("hint", "case_id").distinct().withColumn("pattern_id", F.xxhash64("case_id", "hint"))
-    hits = search.held(wanted.select("pattern_id", F.col("hint").alias("pattern"), "case_id"), texts.select(F.col("chunk_id").alias("text_id"), "text", "case_id"), ("case_id",))
-    hits = hits.join(texts.select(F.col("chunk_id").alias("text_id"), "ordinal"), "text_id").join(wanted, "pattern_id")
+    hits = search.held(wanted.select("pattern_id", F.col("hint").alias("pattern"), "case_id"), texts.select(F.col("chunk_id").alias("text_id"), "text", "case_id", "ordinal"), ("case_id",), carry=("ordinal",))
+    hits = hits.join(wanted, "pattern_id")
     hits = hits.withColumn("k", F.row_number().over(Window.partitionBy("pattern_id").orderBy("ordinal", "text_id"))).where(F.col("k") <= per_case)
     found = cases.join(hits.select("hint", "case_id", F.col("text_id").alias("chunk_id"), "k"), ["hint", "case_id"]).select("candidate_id", "case_id", "chunk_id", F.lit(1).alias("kind"), F.col("k").cast("long").alias("at"))
     own = seeds.join(texts.select("case_id", "chunk_id"), "chunk_id").join(cases.select("candidate_id", "case_id"), ["candidate_id", "case_id"])

@@ -63,8 +63,9 @@ def additions_found(chunks: DataFrame, additions: DataFrame, items: DataFrame) -
     holds the place, of one original's own the earlier."""
     texts = chunks.select(F.col("chunk_id").alias("text_id"), F.col("text_raw").alias("text"))
     a = additions.where("original <> ''").groupBy("fingerprint").agg(F.min("rank").alias("rank"), F.first("original").alias("original"))
-    met = search.held(a.select(F.col("fingerprint").alias("pattern_id"), F.col("original").alias("pattern")), texts)
-    j = met.join(a.withColumnRenamed("fingerprint", "pattern_id"), "pattern_id").join(texts, "text_id")
+    a = storage.cut(a)
+    met = search.held(a.select(F.col("fingerprint").alias("pattern_id"), F.col("original").alias("pattern")), texts, carry=("text",))
+    j = met.join(a.withColumnRenamed("fingerprint", "pattern_id"), "pattern_id")
     at = j.select("rank", F.col("pattern_id").alias("fingerprint"), F.col("text_id").alias("chunk_id"), F.explode(citations.occurrences(F.col("text"), F.col("original"))).alias("char_start"), F.length("original").alias("n"))
     at = at.select("rank", "fingerprint", "chunk_id", F.col("char_start").cast("int"), (F.col("char_start") + F.col("n")).cast("int").alias("char_end"))
     at = storage.cut(at.withColumn("span_id", F.concat_ws(":", "chunk_id", "rank", "char_start")))

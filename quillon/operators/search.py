@@ -1,8 +1,9 @@
 """Many patterns against many texts: an inverted index of grams with document frequencies.
 
 A pattern is looked up by its rarest gram only, so a pattern costs as many rows as the texts that
-hold that gram, and what meets is verified. Grams travel as 64-bit hashes; texts are fetched for
-what meets. Nothing goes to the driver but the lengths of patterns shorter than a gram.
+hold that gram, and what meets is verified. Grams travel as 64-bit hashes. Of a bounded number of
+patterns the lookup goes to the texts, of more both meet in a shuffle. Nothing is collected but
+the lengths of patterns shorter than a gram.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from . import storage
 
 GRAM = 5
+FEW = 500_000  # grams of patterns that are sent to all tasks: some 30 MB
 
 
 def grams(c: Column, n: int) -> Column:
@@ -23,11 +25,10 @@ def grams(c: Column, n: int) -> Column:
 
 def keys(df: DataFrame, text: str, sizes: list[int], *scope: str) -> DataFrame:
     """Rows of df with `h`, one for each distinct gram of each of the sizes, told apart by `scope`."""
-    each = [df.withColumn("h", F.explode(grams(F.col(text), n))).withColumn("h", F.xxhash64(F.lit(n), *scope, "h")) for n in sizes]
-    out = each[0]
-    for x in each[1:]:
-        out = out.unionByName(x)
-    return out
+    hashed = lambda n: F.transform(grams(F.col(text), n), lambda g: F.xxhash64(F.lit(n), *scope, g))
+    each = [hashed(n) for n in sizes]
+    every = F.concat(*(F.coalesce(x, F.array().cast("array<bigint>")) for x in each)) if len(each) > 1 else each[0]
+    return df.withColumn("h", F.explode(every))
 
 
 def anchors(patterns: DataFrame, postings: DataFrame, key: str) -> DataFrame:
@@ -37,20 +38,33 @@ def anchors(patterns: DataFrame, postings: DataFrame, key: str) -> DataFrame:
     return ranked.select(key, F.col("m.h").alias("h"), F.col("m.df").alias("df")).where("df > 0")
 
 
-def held(patterns: DataFrame, texts: DataFrame, scope: tuple[str, ...] = (), gram: int = GRAM) -> DataFrame:
-    """(pattern_id, text_id) where a text holds a pattern (of the same scope); null and empty patterns
-    are held by none. patterns: (pattern_id, pattern, *scope); texts: (text_id, text, *scope)."""
-    p = patterns.where("pattern <> ''").select("pattern_id", "pattern", *scope)
-    short = sorted(r["n"] for r in p.where(F.length("pattern") < gram).select(F.length("pattern").alias("n")).distinct().collect())  # fewer than `gram`
-    own = keys(p.where(F.length("pattern") >= gram), "pattern", [gram], *scope)
-    for n in short:
-        own = own.unionByName(keys(p.where(F.length("pattern") == n), "pattern", [n], *scope))
+def held(patterns: DataFrame, texts: DataFrame, scope: tuple[str, ...] = (), gram: int = GRAM, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(pattern_id, text_id) where a text holds a pattern (of the same scope), with the columns `carry` of
+    texts; null and empty patterns are held by none. patterns: (pattern_id, pattern, *scope); texts:
+    (text_id, text, *scope).
+
+    Patterns up to a checked number go to all tasks, so texts are read twice (to count grams, to look
+    patterns up and verify them) and never shuffled, and only what is held leaves its task. More
+    patterns meet the texts' postings in a shuffle."""
+    p = storage.cut(patterns.where("pattern <> ''").select("pattern_id", "pattern", *scope))
+    lengths = p.select(F.least(F.length("pattern"), F.lit(gram)).alias("n")).distinct().collect()  # at most `gram`
+    sizes = sorted(r["n"] for r in lengths) or [gram]
+    own = None
+    for n in sizes:
+        each = keys(p.where(F.length("pattern") >= gram if n == gram else F.length("pattern") == n), "pattern", [n], *scope)
+        own = each if own is None else own.unionByName(each)
     own = storage.cut(own.select("pattern_id", "h"))
-    postings = keys(texts.select("text_id", "text", *scope), "text", [*short, gram], *scope).select("text_id", "h")
-    postings = storage.cut(postings.join(own.select("h").distinct(), "h"))
-    met = postings.join(anchors(own, postings, "pattern_id"), "h").select("pattern_id", "text_id")
-    j = met.join(p.select("pattern_id", "pattern"), "pattern_id").join(texts.select("text_id", "text"), "text_id")
-    return j.where(F.contains("text", F.col("pattern"))).select("pattern_id", "text_id")
+    few = own.count() <= FEW
+    asked = own.select("h").distinct()
+    if few:
+        a = anchors(own, keys(texts.select("text", *scope), "text", sizes, *scope).select("h").join(F.broadcast(asked), "h"), "pattern_id")
+        a = storage.cut(a.join(p.select("pattern_id", "pattern"), "pattern_id").select("h", "pattern_id", "pattern"))
+        met = keys(texts.select("text_id", "text", *{*scope, *carry}), "text", sizes, *scope).join(F.broadcast(a), "h")
+        return met.where(F.contains("text", F.col("pattern"))).select("pattern_id", "text_id", *carry)
+    postings = storage.cut(keys(texts.select("text_id", "text", *scope), "text", sizes, *scope).select("text_id", "h").join(asked.hint("merge"), "h"))
+    met = postings.join(anchors(own, postings, "pattern_id").hint("merge"), "h").select("pattern_id", "text_id")
+    j = met.join(p.select("pattern_id", "pattern").hint("merge"), "pattern_id").join(texts.select("text_id", "text", *carry).hint("merge"), "text_id")
+    return j.where(F.contains("text", F.col("pattern"))).select("pattern_id", "text_id", *carry)
 
 
 def most_shared(asks: DataFrame, texts: DataFrame, gram: int = 2) -> DataFrame:

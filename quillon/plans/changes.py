@@ -15,6 +15,11 @@ def _chunks(n: DataFrame) -> DataFrame:
     return n.select("chunk_id", F.col("text").alias("text_raw"))
 
 
+def _dealt(spark, n: DataFrame, *columns: str) -> DataFrame:
+    """The notes, written once on all cores: what follows reads them several times."""
+    return storage.cut(n.repartition(max(spark.sparkContext.defaultParallelism, 1), *columns))
+
+
 def _fp(c: Column) -> Column:
     return F.sha2(F.concat(c, F.lit(SALT)), 256)
 
@@ -51,7 +56,7 @@ SELECT chunk_id, string_agg(substr(text, before + 1, a - before) || ph, '' ORDER
 )
 def redaction_batch(spark, d):
     """Names and phones are in the ledger; 王 are deleted, 李 renamed, accounts and phrases added."""
-    n = notes(spark, d)
+    n = _dealt(spark, notes(spark, d), "chunk_id")
     at, phone_at = F.length("day") + 1, F.instr("text", "以手机") + 2
     items = _items(n, "PERSON", "name", at, at + F.length("name")).unionByName(_items(n, "PHONE", "phone", phone_at, phone_at + 11, F.concat(F.left("phone", F.lit(3)), F.lit("****"), F.right("phone", F.lit(4)))))
     maps = items.select(F.col("map_ref").alias("fingerprint"), F.concat_ws("_", "sens_type", F.left("map_ref", F.lit(8))).alias("anonymous_id"), "sens_type").distinct()

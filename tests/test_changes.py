@@ -243,3 +243,18 @@ def test_pseudonyms_that_two_values_share(spark):
     p = spark.createDataFrame([("a", '{"title":"涉及NAME_7b763dcb"}', "张某甲"), ("b", '{"title":"涉及NAME_7b763dcb"}', "杨某甲")], "payload_id string, payload string, own string")
     shown = display.hydrated(p, m, own="own").select("payload_id", "payload").collect()
     assert sorted(map(tuple, shown)) == [("a", '{"title":"涉及张某甲"}'), ("b", '{"title":"涉及杨某甲"}')]
+
+
+def test_texts_are_not_moved_to_a_few_patterns(spark, monkeypatch):
+    """Texts stay in their tasks: no shuffle and no broadcast of them, whatever the planner takes their size for;
+    a larger number of patterns gives the same."""
+    texts = spark.range(300).selectExpr("id as text_id", "id % 3 as s", "concat('车牌', id % 7, '账户6222', lpad(id % 11, 12, '0'), '甲') as text")
+    patterns = spark.createDataFrame([(1, "622200000000"), (2, "甲"), (3, "牌3账"), (4, "000000000010甲"), (5, "没有的文字"), (6, "")], "pattern_id int, pattern string")
+    got = search.held(patterns, texts, carry=("s",))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and plan.count("BroadcastExchange") == 1
+    rows = sorted(map(tuple, got.collect()))
+    want = sorted((p["pattern_id"], t["text_id"], t["s"]) for p in patterns.collect() if p["pattern"] for t in texts.collect() if p["pattern"] in t["text"])
+    assert rows == want and len(want) > 600
+    monkeypatch.setattr(search, "FEW", 0)
+    assert sorted(map(tuple, search.held(patterns, texts, carry=("s",)).collect())) == want
