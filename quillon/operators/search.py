@@ -47,8 +47,8 @@ def held(patterns: DataFrame, texts: DataFrame, scope: tuple[str, ...] = (), gra
     patterns up and verify them) and never shuffled, and only what is held leaves its task. More
     patterns meet the texts' postings in a shuffle."""
     p = storage.cut(patterns.where("pattern <> ''").select("pattern_id", "pattern", *scope))
-    lengths = p.select(F.least(F.length("pattern"), F.lit(gram)).alias("n")).distinct().collect()  # at most `gram`
-    sizes = sorted(r["n"] for r in lengths) or [gram]
+    lengths = [r["n"] for r in p.select(F.least(F.length("pattern"), F.lit(gram + 1)).alias("n")).distinct().collect()]  # at most gram + 1
+    sizes = sorted({min(n, gram) for n in lengths}) or [gram]
     own = None
     for n in sizes:
         each = keys(p.where(F.length("pattern") >= gram if n == gram else F.length("pattern") == n), "pattern", [n], *scope)
@@ -57,7 +57,9 @@ def held(patterns: DataFrame, texts: DataFrame, scope: tuple[str, ...] = (), gra
     few = own.count() <= FEW
     asked = own.select("h").distinct()
     if few:
-        a = anchors(own, keys(texts.select("text", *scope), "text", sizes, *scope).select("h").join(F.broadcast(asked), "h"), "pattern_id")
+        a = own  # where no pattern is longer than a gram, each has one
+        if max(lengths, default=0) > gram:
+            a = anchors(own, keys(texts.select("text", *scope), "text", sizes, *scope).select("h").join(F.broadcast(asked), "h"), "pattern_id")
         a = storage.cut(a.join(p.select("pattern_id", "pattern"), "pattern_id").select("h", "pattern_id", "pattern"))
         met = keys(texts.select("text_id", "text", *{*scope, *carry}), "text", sizes, *scope).join(F.broadcast(a), "h")
         return met.where(F.contains("text", F.col("pattern"))).select("pattern_id", "text_id", *carry)
