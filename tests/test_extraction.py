@@ -7,6 +7,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from quillon.operators import graph
 from quillon.streaming import extraction
 
@@ -92,3 +94,18 @@ def test_core_view(spark, seed):
         assert (sorted(x.node_id for x in a.collect()), {tuple(x) for x in b.collect()}) == (sorted(_core(nodes, edges, selected)[0]), _core(nodes, edges, selected)[1])
     a, b = graph.core_view(n.limit(0), e.limit(0))
     assert a.count() == 0 and b.count() == 0
+
+
+def test_new_mentions_are_shuffled_once(spark):
+    """Duplicates, stored rows and files share one shuffle, which carries no hash."""
+    rows = [("t", "c", f"k{i % 20}", f"账号6222000000001{i % 20:03d}，电话13000{i % 20:06d}", "PERSON_0a1b2c3d来电") for i in range(40)]  # each chunk twice
+    batch = spark.createDataFrame(rows, "task_id string, case_id string, chunk_id string, text_raw string, text_redacted string")
+    every = extraction.task_mentions(batch)
+    stored = every.where("chunk_id < 'k15' and object_type = 'PHONE'")
+    got = extraction.new_mentions(batch, stored.localCheckpoint())
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "sha2" not in plan.split("Exchange hashpartitioning")[1]
+    cols = ["chunk_id", "object_type", "surface_raw", "char_start", "normalized_value", "payload_hash", "slice"]
+    want = every.withColumn("slice", F.pmod(F.xxhash64("chunk_id"), F.lit(64)).cast("int")).join(stored, ["chunk_id", "payload_hash"], "left_anti")
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
+    assert got.count() == every.count() - stored.count() > 40
