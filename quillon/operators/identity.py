@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 
 from .storage import cut as _cut
 
+PIECE = 500_000  # rows of a task that keeps them in memory
+
+
+def pieces(df: DataFrame, rows: int = PIECE) -> int:
+    """How many partitions keep a task to some `rows` of df. They are counted, as short keys pack so well
+    that the size of a shuffle says little of the memory that its rows take."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of undirected links (a, b): labels spread to neighbours and, through label
@@ -42,8 +50,11 @@ def sequence_edges(events: DataFrame, subject: str, ts: str, key: str) -> DataFr
 def cooccurrence(members: DataFrame, group: str, item: str, least: int = 1) -> DataFrame:
     """Pairs i < j that share groups, with their number. For groups of bounded size (a document's
     or an event's parties): a group of n gives n (n - 1) / 2 pairs."""
-    m = members.select(F.col(group).alias("_g"), F.col(item).alias("i")).distinct()
-    pairs = m.join(m.withColumnRenamed("i", "j"), "_g").where("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"))
+    m = members.select(F.col(group).alias("_g"), F.col(item).alias("i"))
+    n = pieces(m)
+    m = m.repartition(n, "_g").distinct()
+    pairs = m.join(m.withColumnRenamed("i", "j").hint("merge"), "_g").where("i < j").select("i", "j")
+    pairs = pairs.repartition(2 * n, "i", "j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"))
     return pairs.where(F.col("n") >= least)
 
 
