@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import persons
+from . import storage
 
 ASPECTS = {"R004": "FUND", "R005": "TIME"}
 
@@ -22,7 +23,7 @@ def nick_relations(mentions: DataFrame, top: int = 8) -> DataFrame:
     """(kind, subject, names, n_cases): `cross_case_nick`, a nickname in two cases or more;
     `nick_anon`, nicknames and anonymised names of a surname; `case_internal_coparty`, the most
     frequent names of one case only that stand in chunks with people of several cases."""
-    n = usable_names(mentions)
+    n = storage.cut(usable_names(mentions))
     per = n.groupBy("surface", "kind", "surname").agg(F.count_distinct("case_id").alias("cases"))
     nick = per.where("kind = 'nick' and cases >= 2").select(F.lit("cross_case_nick").alias("kind"), F.col("surface").alias("subject"), F.col("surface").alias("names"), F.col("cases").alias("n_cases"))
     family = n.where("kind in ('nick', 'anon') and surname <> ''")
@@ -34,7 +35,7 @@ def nick_relations(mentions: DataFrame, top: int = 8) -> DataFrame:
     cross = per.groupBy("surface").agg(F.max("cases").alias("cases")).where("cases >= 2").select("surface")
     linked = members.join(both.select("surname"), "surname", "left_semi").select("surface")
     chunks = n.join(cross, "surface", "left_semi").select("chunk_id").distinct()
-    own = n.where("case_id is not null").join(cross, "surface", "left_anti").join(linked, "surface", "left_anti").join(chunks, "chunk_id", "left_semi")
+    own = n.where("case_id is not null").join(cross, "surface", "left_anti").join(linked, "surface", "left_anti").join(chunks.hint("merge"), "chunk_id", "left_semi")  # as many as there are texts
     count = own.groupBy("case_id", "surface").agg(F.count(F.lit(1)).alias("c"))
     best = count.withColumn("k", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("c"), "surface"))).where(F.col("k") <= top)
     co = best.groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "surface"))), lambda x: x["surface"]), "、").alias("names"))
