@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import compare, display, labels, mappings, search
+from . import compare, display, labels, mappings, search, storage
 
 # The fields of each type in order with their labels, what a related mention fills, and names.
 FIELDS = {
@@ -77,9 +77,10 @@ def items(candidates: DataFrame, mentions: DataFrame) -> DataFrame:
     return mentions.join(c, ["object_type", "normalized_value"])
 
 
-def cells(candidates: DataFrame, mentions: DataFrame) -> DataFrame:
+def cells(candidates: DataFrame, mentions: DataFrame, places: bool = True) -> DataFrame:
     """(candidate_id, field_key, case_id, value, chunk_id): a candidate's own surfaces, the values that its
-    quotes label, and related mentions of its chunks that may fill a field, each as shown.
+    quotes label, and related mentions of its chunks that may fill a field, each as shown. Without
+    `places` the chunk is left out, so that equal values meet before the shuffle.
 
     mentions: (case_id, chunk_id, object_type, surface_raw, normalized_value, mask_kind, quote)."""
     own = items(candidates, mentions)
@@ -87,12 +88,13 @@ def cells(candidates: DataFrame, mentions: DataFrame) -> DataFrame:
     primary = F.when((F.col("object_type") == "ORGANIZATION") & (F.col("mask_kind") == "credit_code"), "credit_code").otherwise(primary)
     shown = lambda kind: display.without_pseudonyms(F.col("surface_raw"), kind)
     first = own.select("candidate_id", primary.alias("field_key"), "case_id", shown(F.col("object_type")).alias("value"), "chunk_id")
-    said = labels.labelled(own.select("candidate_id", "case_id", "chunk_id", "object_type", "quote").distinct(), ("candidate_id", "case_id", "chunk_id"), text="quote")
-    place = own.select("candidate_id", "case_id", "chunk_id", F.col("object_type").alias("_own")).distinct()
+    said = labels.labelled(own.select("candidate_id", "case_id", "chunk_id", "object_type", "quote"), ("candidate_id", "case_id", "chunk_id"), text="quote")
+    place = own.select("candidate_id", "case_id", "chunk_id", F.col("object_type").alias("_own"))
     near = mentions.where(mappings.related_value_ok(F.col("object_type"), F.col("surface_raw"), F.col("normalized_value"), F.col("mask_kind"))).join(place, ["case_id", "chunk_id"])
     field = related_field(F.col("_own"), F.col("object_type"), F.col("surface_raw"), F.coalesce("mask_kind", F.lit("")))
     near = near.select("candidate_id", field.alias("field_key"), "case_id", shown(F.col("object_type")).alias("value"), "chunk_id").where("field_key is not null")
-    out = first.unionByName(said.select("candidate_id", "field_key", "case_id", "value", "chunk_id")).unionByName(near)
+    columns = ["candidate_id", "field_key", "case_id", "value", *(["chunk_id"] if places else [])]
+    out = first.select(*columns).unionByName(said.select(*columns)).unionByName(near.select(*columns))
     return out.where("value <> ''").distinct()
 
 
@@ -113,10 +115,15 @@ def field_compare(candidates: DataFrame, found: DataFrame, top: int = 20) -> Dat
 
 def evidence(own: DataFrame) -> DataFrame:
     """Per candidate and case its best mention, with a quote and hash first, then by the longest quote; one
-    whose quote does not show the surface is no evidence. own: items()."""
+    whose quote does not show the surface is no evidence. The best is found without quotes, which are
+    looked up for it alone. own: items()."""
     has = (F.coalesce("quote", F.lit("")) != "") & (F.coalesce("quote_hash", F.lit("")) != "")
-    rank = F.struct(F.when(has, 0).otherwise(1).alias("r"), (-F.length(F.coalesce("quote", F.lit("")))).alias("n"), "chunk_id", F.trim(F.coalesce("surface_raw", F.lit(""))).alias("surface"), "quote", "quote_hash")
-    best = own.groupBy("candidate_id", "case_id", "object_type").agg(F.min(rank).alias("m"))
+    rank = F.struct(F.when(has, 0).otherwise(1).alias("r"), (-F.length(F.coalesce("quote", F.lit("")))).alias("n"), "chunk_id", F.trim(F.coalesce("surface_raw", F.lit(""))).alias("surface"))
+    keys = ["candidate_id", "case_id", "object_type"]
+    ranked = own.select(*keys, rank.alias("b"), "quote", "quote_hash")
+    top = ranked.groupBy(*keys).agg(F.min("b").alias("b"))
+    same = ranked.join(top, [*keys, "b"])  # more than one only where a chunk holds a surface several times
+    best = same.groupBy(*keys).agg(F.min(F.struct("b.r", "b.n", "b.chunk_id", "b.surface", "quote", "quote_hash")).alias("m"))
     good = best.where((F.col("m.r") == 0) & ((F.col("m.surface") == "") | F.contains("m.quote", F.col("m.surface"))))
     return good.select("candidate_id", "case_id", "m.chunk_id", "m.quote", "m.quote_hash", display.without_pseudonyms(F.col("m.surface"), F.col("object_type")).alias("value"))
 
@@ -150,7 +157,7 @@ def enriched(candidates: DataFrame, mentions: DataFrame) -> DataFrame:
     recall_method, case_count, mention_count, status, supporting, conflicts, missing, differences
     and evidence (at most one per case, by case)."""
     own = items(candidates, mentions)
-    f = facts(field_compare(candidates, cells(candidates, mentions)))
+    f = facts(field_compare(candidates, storage.cut(cells(candidates, mentions, places=False))))
     seen = own.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("mention_count"), F.min(F.nullif(F.trim("surface_raw"), F.lit(""))).alias("_surface"), F.bool_or(F.coalesce("mask_kind", F.lit("")) == "credit_code").alias("_code"))
     e = evidence(own).groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct("case_id", "chunk_id", "quote_hash", "value"))).alias("evidence"))
     j = candidates.join(f, "candidate_id").join(seen, "candidate_id").join(e, "candidate_id", "left")
