@@ -85,9 +85,12 @@ def most_shared(asks: DataFrame, texts: DataFrame, gram: int = 2) -> DataFrame:
     ranked = storage.cut(ranked.select("ask_id", F.transform("g", lambda x: x["h"]).alias("g")))
     sets = storage.cut(postings.groupBy("text_id").agg(F.collect_list("h").alias("t")))  # a text's own grams that are asked for
 
+    few = own.count() <= FEW
+
     def shared(looked: DataFrame) -> DataFrame:
-        met = looked.join(postings, "h").select("ask_id", "text_id").distinct()
-        j = met.join(ranked, "ask_id").join(sets, "text_id").withColumn("n", F.size(F.array_intersect("g", "t")))
+        # asks go to the tasks where they are few; sets, as many as texts, never do
+        met = postings.join(F.broadcast(looked) if few else looked.hint("merge"), "h").select("ask_id", "text_id").distinct()
+        j = met.join(F.broadcast(ranked) if few else ranked.hint("merge"), "ask_id").join(sets.hint("merge"), "text_id").withColumn("n", F.size(F.array_intersect("g", "t")))
         return j.groupBy("ask_id").agg(F.max(F.struct("n", (-F.col("text_id")).alias("t"))).alias("m")).select("ask_id", (-F.col("m.t")).alias("text_id"), F.col("m.n").alias("n"))
 
     first = storage.cut(shared(ranked.select("ask_id", F.element_at("g", 1).alias("h"))))

@@ -258,3 +258,37 @@ def test_texts_are_not_moved_to_a_few_patterns(spark, monkeypatch):
     assert rows == want and len(want) > 600
     monkeypatch.setattr(search, "FEW", 0)
     assert sorted(map(tuple, search.held(patterns, texts, carry=("s",)).collect())) == want
+
+
+def test_tasks_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    from quillon.operators import identity
+
+    monkeypatch.setattr(identity, "PIECE", 10)
+    m = spark.range(600).selectExpr("id % 200 as g", "id % 7 as x")
+    assert identity.pieces(m, 10) == 60
+    got = identity.cooccurrence(m, "g", "x")
+    sets = {}
+    for g, x in m.collect():
+        sets.setdefault(g, set()).add(x)
+    want = {(i, j): sum(1 for s in sets.values() if {i, j} <= s) for i in range(7) for j in range(i + 1, 7)}
+    assert {(r["i"], r["j"]): r["n"] for r in got.collect()} == {k: n for k, n in want.items() if n}
+
+
+def test_cells_without_places_meet(spark):
+    rows = [(f"c{i % 2}", f"k{i}", kind, v, v, "", f"王伟用账户{v}", "h") for i in range(8) for kind, v in (("ACCOUNT", "6222000000000010"), ("NAME", "王伟"))]
+    m = spark.createDataFrame(rows, "case_id string, chunk_id string, object_type string, surface_raw string, normalized_value string, mask_kind string, quote string, quote_hash string")
+    c = spark.createDataFrame([("a", "ACCOUNT", "6222000000000010", ["c0", "c1"])], "candidate_id string, object_type string, normalized_value string, case_ids array<string>")
+    few, every = candidates.cells(c, m, places=False), candidates.cells(c, m)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, every.drop("chunk_id").distinct().collect()))
+    assert few.count() == 4 and every.count() == 16
+    assert [(e["case_id"], e["chunk_id"], e["quote_hash"]) for e in candidates.enriched(c, m).first()["evidence"]] == [("c0", "k0", "h"), ("c1", "k1", "h")]
+
+
+def test_sets_of_grams_are_not_broadcast(spark):
+    texts = spark.range(200).selectExpr("id as text_id", "concat('法规', id % 50, '号第', id % 7, '条') as text")
+    asks = spark.createDataFrame([(1, "法规7号"), (2, "第3条")], "ask_id int, ask string")
+    got = search.most_shared(asks, texts)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    sides = [line for line in plan.splitlines() if "BroadcastHashJoin [text_id" in line]
+    assert not sides and "SortMergeJoin [text_id" in plan
+    assert {r["ask_id"] for r in got.collect()} == {1, 2}
