@@ -47,6 +47,7 @@ def _window_hashes(raw: bytes, width: int, weights: np.ndarray, inverse: np.ndar
 
 
 _MARK = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+KEYS = 1 << 19  # keys that a scan of texts gathers for a batch: some 10 MB
 _KEY = (T.StructField("n", T.IntegerType()), T.StructField("key", T.LongType()))
 _STEP = 0x9E3779B97F4A7C15
 
@@ -94,7 +95,7 @@ def locate_quotes(quotes: DataFrame, texts: DataFrame, size: int = 24, gram: int
     def scan(batches):
         w, v = _powers(1 << 16)
         for rb in batches:
-            kind, ids, sizes, widths, keys = rb.column("text_id").type, [], [], [], []
+            kind, ids, sizes, widths, keys, held = rb.column("text_id").type, [], [], [], [], 0
             for tid, text in zip(rb.column("text_id").to_pylist(), rb.column("text").to_pylist(), strict=True):
                 raw = _compact_bytes(text)
                 if len(raw) + 1 > len(w):
@@ -105,9 +106,10 @@ def locate_quotes(quotes: DataFrame, texts: DataFrame, size: int = 24, gram: int
                     sizes.append(len(h))
                     widths.append(n)
                     keys.append(h)
-                if sum(sizes[-64:]) > 1 << 20:
+                    held += len(h)
+                if held > KEYS:  # of all texts since the last batch, so memory doesn't grow with the rows of a task
                     yield batch(kind, ids, sizes, widths, keys)
-                    ids, sizes, widths, keys = [], [], [], []
+                    ids, sizes, widths, keys, held = [], [], [], [], 0
             if keys:
                 yield batch(kind, ids, sizes, widths, keys)
 
