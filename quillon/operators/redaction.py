@@ -115,6 +115,7 @@ def repaired(chunks: DataFrame, items: DataFrame, mappings: DataFrame, salt: str
     A span that is no name goes; one that shrinks is taken; one that grows is taken unless it meets another
     row of its chunk as that was stored. A changed span refers to the mapping of its new surface,
     made if there is none, and mappings that no row refers to any more go."""
+    chunks = chunks.hint("merge")  # texts are never broadcast, whatever the planner takes their size for
     own = _inside(items.where(F.col("sens_type").isin(*PERSONS)), chunks)
     places = spans.extended(own.select("item_id", F.col("_t").alias("text"), "char_start", "char_end"), surnames)
     j = storage.cut(own.join(places, "item_id"))
