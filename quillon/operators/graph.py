@@ -129,7 +129,10 @@ def core_view(nodes: DataFrame, edges: DataFrame, selected: str | None = None, h
     of all but the cases only what is at most `hops` edges from the start over what is left.
     Entities that are a breakpoint need an edge. The start is the selected node where it is a case or
     bridges cases, else the default one of these. Events that are linked with kept events only stay out,
-    so that the result doesn't depend on the nodes' order. Without nodes the view is empty."""
+    so that the result doesn't depend on the nodes' order. Without nodes the view is empty.
+
+    Nodes are marked as core or event, and an edge is shuffled for its second end only if the first one is
+    marked; only edges between marked nodes are written."""
     kind = F.col("kind")
     bridge = (kind == "entity") & F.coalesce("bridge", F.lit(False))
     inner = nodes.where((kind == "case") | bridge)
@@ -137,20 +140,26 @@ def core_view(nodes: DataFrame, edges: DataFrame, selected: str | None = None, h
     first = F.min(F.struct("second", "node_id")).alias("m")
     rows = picked.withColumn("second", F.lit(False)).unionByName(default_node(inner).withColumn("second", F.lit(True)))
     start = cut(rows.agg(first).where("m is not null").select("m.node_id"))  # one row
-    ids = nodes.select("node_id").distinct()
-    ends = edges.select(F.col("src").alias("node_id"), F.col("dst").alias("other"), F.col("kind").alias("edge")).where("node_id <> other")
-    ends = ends.unionByName(ends.select(F.col("other").alias("node_id"), F.col("node_id").alias("other"), "edge"))
-    near = ends.where("edge = 'cooccur'").join(F.broadcast(start), "node_id").select(F.col("other").alias("node_id")).join(ids, "node_id", "left_semi")
-    core = inner.select("node_id").union(near).distinct()
-    told = ends.join(nodes.where("kind = 'event'").select("node_id"), "node_id", "left_semi").join(core.withColumnRenamed("node_id", "other"), "other", "left_semi").select("node_id")
-    keep = cut(core.union(told).distinct())
-    among = lambda e, held: e.join(held.withColumnRenamed("node_id", "src"), "src", "left_semi").join(held.withColumnRenamed("node_id", "dst"), "dst", "left_semi").select(*edges.columns)
-    e = cut(among(edges, keep))
-    seen = within_hops(e.select(F.col("src").alias("a"), F.col("dst").alias("b")), start.withColumnRenamed("node_id", "node"), hops).select(F.col("node").alias("node_id"))
+    near = edges.where("kind = 'cooccur' and src <> dst").select("src", "dst").join(F.broadcast(start), (F.col("src") == F.col("node_id")) | (F.col("dst") == F.col("node_id")))
+    near = near.select(F.when(F.col("src") == F.col("node_id"), F.col("dst")).otherwise(F.col("src")).alias("node_id"))
+    mark = lambda df, core, told, here: df.select("node_id", core.alias("core"), told.alias("event"), F.lit(here).alias("here"))
+    marks = mark(nodes, (kind == "case") | bridge, kind == "event", True).unionByName(mark(near, F.lit(True), F.lit(False), False))
+    marks = marks.groupBy("node_id").agg(*(F.bool_or(c).alias(c) for c in ("core", "event", "here"))).where("here and (core or event)").drop("here")
+    # an event's edges point to what it names, so the ends that fewer nodes pass are looked at first
+    met = edges
+    for end in ("dst", "src"):
+        met = met.hint("merge").join(marks.select(F.col("node_id").alias(end), F.col("core").alias(f"_{end}_core"), F.col("event").alias(f"_{end}_event")).hint("merge"), end)
+    met = cut(met)
+    told = met.where("_src_event and _dst_core").select(F.col("src").alias("node_id")).union(met.where("_dst_event and _src_core").select("dst")).distinct()
+    among = lambda e, held: e.join(held.withColumnRenamed("node_id", "src").hint("merge"), "src", "left_semi").join(held.withColumnRenamed("node_id", "dst").hint("merge"), "dst", "left_semi").select(*edges.columns)
+    e = met.where("_src_core or _dst_core").select(*edges.columns).unionByName(among(met.where("not (_src_core or _dst_core)"), told))
     if nodes.where(bridge).isEmpty():
-        seen = keep
-    seen = seen.union(nodes.where("kind = 'case'").select("node_id")).distinct()
-    n, e = nodes.join(keep, "node_id", "left_semi").join(seen, "node_id", "left_semi"), among(e, seen)
+        seen = marks.where("core").select("node_id").union(told)
+    else:
+        seen = within_hops(e.select(F.col("src").alias("a"), F.col("dst").alias("b")), start.withColumnRenamed("node_id", "node"), hops).select(F.col("node").alias("node_id"))
+        seen = seen.union(nodes.where("kind = 'case'").select("node_id"))
+    seen = cut(seen.distinct())
+    n, e = nodes.join(seen.hint("merge"), "node_id", "left_semi"), cut(among(e, seen))
     linked = e.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
     alone = n.where((kind == "entity") & F.coalesce("breakpoint", F.lit(False))).join(linked, "node_id", "left_anti").select("node_id")
     return n.join(alone, "node_id", "left_anti"), e

@@ -217,12 +217,12 @@ def graph_core(spark, d):
     none, no = F.lit(None).cast("array<string>"), F.lit(False)
     entities = node(p, name("e", k), "entity", status, F.when(k % 2 == 0, F.array(case(k), case(k + 1))).otherwise(F.array(case(k))), F.col("p_size") % 10 == 0, F.col("p_size") % 10 == 5)
     cases = node(p, case(k), "case", F.lit(""), none, no, no).distinct()
-    nodes = storage.cut(entities.unionByName(cases).unionByName(node(_t(spark, d, "orders"), name("o", F.col("o_orderkey")), "event", F.lit("recorded"), none, no, no)))
+    nodes = entities.unionByName(cases).unionByName(node(_t(spark, d, "orders"), name("o", F.col("o_orderkey")), "event", F.lit("recorded"), none, no, no))
     edge = lambda df, a, b, kind: df.select(a.alias("src"), b.alias("dst"), F.lit(kind).alias("kind"))
     li = _t(spark, d, "lineitem")
     part = name("e", F.col("l_partkey"))
     edges = edge(li, part, name("e", F.col("l_suppkey") + 1), "cooccur").unionByName(edge(li, name("o", F.col("l_orderkey")), part, "act")).unionByName(edge(p, name("e", k), case(k), "appear"))
-    n, e = graph.core_view(nodes, storage.cut(edges.distinct()))
+    n, e = graph.core_view(nodes, edges)
     both = e.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(e.select("dst", "src")).where("a <> b").distinct()
     start = graph.default_node(nodes.where("kind = 'case' or bridge")).withColumnRenamed("node_id", "_s")  # one row
     out = n.join(both.groupBy(F.col("a").alias("node_id")).agg(F.count(F.lit(1)).alias("neighbours")), "node_id", "left")

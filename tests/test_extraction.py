@@ -96,6 +96,28 @@ def test_core_view(spark, seed):
     assert a.count() == 0 and b.count() == 0
 
 
+def test_core_view_reads_edges_twice(spark):
+    """Edges are read to find what occurs with the start and to meet the nodes; those between events follow
+    what the events name, loops tell nothing."""
+    nodes = [("case:0", "case", "", None, False, False), ("e0", "entity", "confirmed", ["0", "1"], True, False)]
+    nodes += [(f"e{i}", "entity", "pending", ["0"], False, False) for i in range(1, 40)] + [(f"v{i}", "event", "recorded", None, False, False) for i in range(6)]
+    edges = {(f"e{i}", f"e{i + 1}", "appear") for i in range(1, 39)} | {("e0", "e1", "cooccur"), ("e0", "e0", "cooccur"), ("v0", "e0", "act"), ("e1", "v1", "act"), ("v2", "e9", "act")}
+    edges |= {("v0", "v1", "sequence"), ("v1", "v2", "sequence"), ("v3", "v3", "sequence"), ("v4", "gone", "act"), ("v0", "v0", "sequence")}
+    n = spark.createDataFrame(nodes, "node_id string, kind string, status string, case_ids array<string>, bridge boolean, breakpoint boolean")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for rb in batches:
+            seen.add(rb.num_rows)
+            yield rb
+
+    e = spark.createDataFrame(sorted(edges), "src string, dst string, kind string").mapInArrow(counted, "src string, dst string, kind string")
+    a, b = graph.core_view(n, e)
+    got = sorted(x.node_id for x in a.collect()), {tuple(x) for x in b.collect()}
+    assert got == (sorted(_core(nodes, edges, None)[0]), _core(nodes, edges, None)[1]) and ("v0", "v1", "sequence") in got[1]
+    assert seen.value <= 2 * len(edges)
+
+
 def test_new_mentions_are_shuffled_once(spark):
     """Duplicates, stored rows and files share one shuffle, which carries no hash."""
     rows = [("t", "c", f"k{i % 20}", f"账号6222000000001{i % 20:03d}，电话13000{i % 20:06d}", "PERSON_0a1b2c3d来电") for i in range(40)]  # each chunk twice
