@@ -19,6 +19,7 @@ empty table gives no rows. Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import functools
 import math
 import os
 import zlib
@@ -234,21 +235,41 @@ def power(x: np.ndarray) -> np.ndarray:
 def prices_of(live: np.ndarray, rest: np.ndarray, n: np.ndarray, left: int, tokens: int) -> np.ndarray:
     """Of lengths: their tokens times their own eighth root (long ones fit fewer places) times a weight that
     falls exponentially with how far the length is ahead of the whole (`left` of `tokens` tokens)."""
-    root = np.array([math.isqrt(math.isqrt(math.isqrt(int(x) << 64))) for x in live], np.int64)  # times 2 ** 8
-    ahead = np.array([int(r) * tokens * UNIT // (int(m) * left) - UNIT for r, m in zip(rest, n, strict=True)], object)
+    root = roots(int(live[-1]) if len(live) else 0)[live]
+    whole = tokens * UNIT
+    ahead = np.array([r * whole // (m * left) - UNIT for r, m in zip(rest.tolist(), n.tolist(), strict=True)], object)
     ahead = np.clip(ahead, -3 * UNIT, 3 * UNIT).astype(np.int64) * 3 // 2
     return (live * root * power(ahead)) >> 8
 
 
+@functools.cache
+def roots(most: int) -> np.ndarray:
+    """Eighth roots of 0 to `most`, times 2 ** 8."""
+    return np.array([math.isqrt(math.isqrt(math.isqrt(x << 64))) for x in range(most + 1)], np.int64)
+
+
 def price(value: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Knapsack DP over lengths: of each capacity the largest total value, and a length of a
-    configuration that has it (0: the capacity below is as good). `value` is by length, from 0."""
-    best, last = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
+    """Knapsack DP over lengths: of each capacity the largest total value, and the least length of a
+    configuration that has it (0: the capacity below is as good). `value` is by length, from 0.
+
+    A configuration that beats the capacity below fills it, so its least length is at most half of it
+    or it is one piece: the other lengths are not looked at."""
+    back, last = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)  # back[size - c] is the best of c
+    first, single, sums, most = value[1:], value.tolist(), np.empty(size // 2 + 1, np.int64), 0
     for c in range(1, size + 1):
-        v = value[1 : c + 1] + best[c - 1 :: -1][:c]
-        i = int(v.argmax())
-        best[c], last[c] = (v[i], i + 1) if v[i] > best[c - 1] else (best[c - 1], 0)
-    return best, last
+        at, half, found = size - c + 1, c // 2, 0
+        if half:
+            v = np.add(first[:half], back[at : at + half], sums[:half])
+            i = v.argmax()
+            x = v.item(i)
+            if x > most:
+                most, found = x, i + 1
+        if single[c] > most:
+            most, found = single[c], c
+        back[at - 1] = most
+        if found:
+            last[c] = found
+    return back[::-1], last
 
 
 def holding(ln: int, last: list[int], rest: np.ndarray, prices: np.ndarray, size: int) -> dict[int, int]:

@@ -305,6 +305,32 @@ def test_configurations_cover_the_histogram():
     assert op8.solve({})[0] == []
 
 
+def test_packing_prices_are_those_of_the_plain_program(monkeypatch):
+    """The same values and least lengths as the plain program finds; roots are taken once, not for each pricing."""
+    import numpy as np
+
+    def plain(value, size):
+        best, last = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
+        for c in range(1, size + 1):
+            v = value[1 : c + 1] + best[c - 1 :: -1][:c]
+            i = int(v.argmax())
+            best[c], last[c] = (v[i], i + 1) if v[i] > best[c - 1] else (best[c - 1], 0)
+        return best, last
+
+    r = np.random.default_rng(3)
+    for k in range(60):
+        size = (700, 1, 2, 15, 16, 33, 257)[k % 7]
+        value = r.integers(-1, 5, size + 1) if k % 3 == 0 else np.arange(size + 1) * r.integers(900, 1100, size + 1) // (1 if k % 3 == 1 else 300)  # many ties
+        value[r.random(size + 1) < 0.1 * (k % 5)] = -1
+        value[0] = -1
+        assert all((a == b).all() for a, b in zip(op8.price(value, size), plain(value, size), strict=True))
+    live = np.array([3, 50, 2048])
+    ask = lambda: op8.prices_of(live, np.array([5, 1, 7]), np.array([9, 4, 8]), 14401, 16611).tolist()
+    want = ask()
+    monkeypatch.setattr(op8.math, "isqrt", None)
+    assert ask() == want
+
+
 def test_packing_of_a_whole_table_meets_the_bound(monkeypatch):
     """As many sequences as the dual bound at sf0.1, most pieces placed by priced configurations."""
     import numpy as np
