@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import identifiers as ids
 from ..functions import persons
-from . import search
+from . import search, storage
 
+FEW = 100_000  # candidates and surfaces that are sent to all tasks: some 20 MB
 TOKEN = r"[A-Za-z][A-Za-z_]*_[a-f0-9]{1,8}(?![a-f0-9])"
 # What a report body must not hold.
 ENGINEERING = r"[0-9a-f]{16,}|document_version_id|quote_hash|chunk_[A-Za-z0-9_\-]{6,}"
@@ -91,12 +92,17 @@ def related_value_ok(kind: Column, surface: Column, value: Column, mask: Column)
 def clue_links(clues: DataFrame, candidates: DataFrame, least: int = 4) -> DataFrame:
     """(clue_id, candidate_id, how): clues that name a candidate's id, else its fingerprint, else hold one of
     its surfaces of four letters or more, which are looked up by their rarest gram.
-    clues: (clue_id, text, linked_ids, fingerprints); candidates: (candidate_id, fingerprint, surfaces)."""
-    by_id = clues.select("clue_id", F.explode("linked_ids").alias("candidate_id")).join(candidates.select("candidate_id"), "candidate_id").select("clue_id", "candidate_id", F.lit(1).alias("rank"))
-    by_fp = clues.select("clue_id", F.explode("fingerprints").alias("fingerprint")).join(candidates.select("candidate_id", "fingerprint"), "fingerprint").select("clue_id", "candidate_id", F.lit(2).alias("rank"))
-    s = candidates.select("candidate_id", F.explode("surfaces").alias("pattern")).where(F.length("pattern") >= least).withColumn("pattern_id", F.xxhash64("pattern"))
+    clues: (clue_id, text, linked_ids, fingerprints); candidates: (candidate_id, fingerprint, surfaces).
+
+    Candidates up to a checked number go to all tasks at any size of the clues, so that only links are shuffled;
+    more meet the clues in a shuffle."""
+    c = storage.cut(candidates.select("candidate_id", "fingerprint", F.filter(F.array_distinct("surfaces"), lambda x: F.length(x) >= least).alias("surfaces")))
+    s = storage.cut(c.select("candidate_id", F.explode("surfaces").alias("pattern")).withColumn("pattern_id", F.xxhash64("pattern")))
+    to = "broadcast" if c.count() + s.count() <= FEW else "merge"
+    by_id = clues.select("clue_id", F.explode("linked_ids").alias("candidate_id")).join(c.select("candidate_id").hint(to), "candidate_id").select("clue_id", "candidate_id", F.lit(1).alias("rank"))
+    by_fp = clues.select("clue_id", F.explode("fingerprints").alias("fingerprint")).join(c.select("candidate_id", "fingerprint").hint(to), "fingerprint").select("clue_id", "candidate_id", F.lit(2).alias("rank"))
     by_text = search.held(s.select("pattern_id", "pattern").distinct(), clues.select(F.col("clue_id").alias("text_id"), "text")).withColumnRenamed("text_id", "clue_id")
-    by_text = by_text.join(s.select("pattern_id", "candidate_id"), "pattern_id").select("clue_id", "candidate_id", F.lit(3).alias("rank"))
+    by_text = by_text.join(s.select("pattern_id", "candidate_id").hint(to), "pattern_id").select("clue_id", "candidate_id", F.lit(3).alias("rank"))
     best = by_id.unionByName(by_fp).unionByName(by_text).groupBy("clue_id", "candidate_id").agg(F.min("rank").alias("rank"))
     return best.select("clue_id", "candidate_id", F.when(F.col("rank") == 1, "id").when(F.col("rank") == 2, "fingerprint").otherwise("text").alias("how"))
 

@@ -292,3 +292,27 @@ def test_sets_of_grams_are_not_broadcast(spark):
     sides = [line for line in plan.splitlines() if "BroadcastHashJoin [text_id" in line]
     assert not sides and "SortMergeJoin [text_id" in plan
     assert {r["ask_id"] for r in got.collect()} == {1, 2}
+
+
+@pytest.mark.parametrize("few", (100, 0))
+def test_clues_are_not_shuffled_to_few_candidates(spark, monkeypatch, few):
+    """Whatever Spark thinks of the tables' sizes; more candidates than `FEW` meet the clues in a shuffle."""
+    from quillon.operators import mappings
+
+    clues = spark.createDataFrame([(f"k{i}", f"付给候选人{i % 7}号，另有甲", [f"c{i % 5}"] if i % 3 == 0 else [], [f"f{i % 4}"] if i % 3 == 1 else None) for i in range(40)], "clue_id string, text string, linked_ids array<string>, fingerprints array<string>")
+    found = spark.createDataFrame([(f"c{i}", f"f{i}", [f"候选人{i}号", f"候选人{i}号", "甲", None]) for i in range(4)] + [("c9", None, None)], "candidate_id string, fingerprint string, surfaces array<string>")
+    monkeypatch.setattr(mappings, "FEW", few)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = mappings.clue_links(clues, found)
+        got, plan = sorted(map(tuple, out.collect())), out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = {}
+    for i in range(40):
+        for j in range(4):
+            how = "id" if i % 3 == 0 and i % 5 == j else "fingerprint" if i % 3 == 1 and i % 4 == j else "text" if i % 7 == j else None
+            if how:
+                want[f"k{i}", f"c{j}"] = how
+    assert got == sorted((*k, v) for k, v in want.items())
+    assert ("SortMergeJoin" in plan) == (not few) and (not few or plan.count("Exchange hashpartitioning") == 1)
