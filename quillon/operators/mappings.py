@@ -48,23 +48,29 @@ def deletion(mappings: DataFrame, wanted: DataFrame, ledger: DataFrame) -> DataF
     return w.withColumn("deleted", F.col("references") == 0)
 
 
-def rendered(texts: DataFrame, mapping: DataFrame, key: str, text: str = "text", own: str | None = None) -> DataFrame:
-    """Texts with pseudonyms replaced by mapping (anonymous_id, value): by the whole id, else by a
-    tail of eight digits that one id has, else by a beginning that one id has. Tokens are joined, so
-    neither the mapping nor its ids go to a task as a whole. Ids are short hashes, so several values may
-    have one id: `own` names the column with the value that a text means, else the greatest stands; a
-    key may then come once with each."""
+def valued(tokens: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Rows with a token that mapping (anonymous_id, value) has a value for, and the value as `to`: by the whole
+    id, else by a tail of eight digits that one id has, else by a beginning that one id has. A row comes
+    once with each value of its id."""
     m = mapping.select("anonymous_id", "value")
     tail = F.regexp_extract("anonymous_id", "_([a-f0-9]{8})$", 1)
     tails = m.withColumn("tail", tail).where("tail <> ''").groupBy("tail").agg(F.max("value").alias("by_tail"), F.count(F.lit(1)).alias("c")).where("c = 1").drop("c")
     stem = F.length("anonymous_id") - 8
     starts = m.where(F.col("anonymous_id").rlike("_[a-f0-9]{8}$")).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(7)))).select(F.left("anonymous_id", stem + F.col("n")).alias("start"), "value")
     starts = starts.groupBy("start").agg(F.max("value").alias("by_start"), F.count(F.lit(1)).alias("c")).where("c = 1").drop("c")
+    t = tokens.join(m.select(F.col("anonymous_id").alias("token"), "value"), "token", "left").join(starts.withColumnRenamed("start", "token"), "token", "left")
+    t = t.withColumn("tail", F.regexp_extract("token", "_([a-f0-9]{8})$", 1)).join(tails, "tail", "left")
+    return t.withColumn("to", F.coalesce("value", "by_tail", "by_start")).where("to is not null").select(*tokens.columns, "to")
+
+
+def rendered(texts: DataFrame, mapping: DataFrame, key: str, text: str = "text", own: str | None = None) -> DataFrame:
+    """Texts with pseudonyms replaced by mapping (anonymous_id, value): by the whole id, else by a
+    tail of eight digits that one id has, else by a beginning that one id has. Tokens are joined, so
+    neither the mapping nor its ids go to a task as a whole. Ids are short hashes, so several values may
+    have one id: `own` names the column with the value that a text means, else the greatest stands; a
+    key may then come once with each."""
     mine = F.lit(None).cast("string") if own is None else F.col(own)
-    t = texts.select(F.col(key).alias("__k"), mine.alias("__own"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))).alias("token"))
-    t = t.join(m.select(F.col("anonymous_id").alias("token"), "value"), "token", "left")
-    t = t.withColumn("tail", F.regexp_extract("token", "_([a-f0-9]{8})$", 1)).join(tails, "tail", "left").join(starts.withColumnRenamed("start", "token"), "token", "left")
-    t = t.withColumn("to", F.coalesce("value", "by_tail", "by_start")).where("to is not null")
+    t = valued(texts.select(F.col(key).alias("__k"), mine.alias("__own"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))).alias("token")), mapping)
     # a token is gone once it is replaced, so the first of its values counts
     each = F.struct(F.length("token").alias("n"), "token", F.col("to").eqNullSafe(F.col("__own")).alias("mine"), "to")
     per = t.groupBy("__k", "__own").agg(F.reverse(F.array_sort(F.collect_list(each))).alias("__t"))

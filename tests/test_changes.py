@@ -316,3 +316,33 @@ def test_clues_are_not_shuffled_to_few_candidates(spark, monkeypatch, few):
                 want[f"k{i}", f"c{j}"] = how
     assert got == sorted((*k, v) for k, v in want.items())
     assert ("SortMergeJoin" in plan) == (not few) and (not few or plan.count("Exchange hashpartitioning") == 1)
+
+
+def test_shown_texts_in_the_pass_are_those_of_the_columns(spark):
+    r = random.Random(7)
+    words = ["PERSON_ab12", "name_0", "NAME_ab12cd34", "PHONE_FF", "ID_1", "ORG_ab", "、", "，", ",", " ", "\n", "\r\n", " ", "\t", "脱敏人员", "王", "x_ab12cd34", "_", "a", "9", "\\", "ſ", "K", "BANK_CARD_12"]
+    texts = sorted({"".join(r.choice(words) for _ in range(r.randrange(0, 8))) for _ in range(3000)})
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    assert [display._display(x.t) for x in df.collect()] == [x.s for x in df.select(display.without_pseudonyms(F.col("t")).alias("s")).collect()]
+
+
+def test_payloads_move_once_and_texts_never(spark):
+    """Quotes are neither checkpointed nor shuffled by themselves: without tokens a payload stays in its task, others
+    meet their tokens' values, which one text has and not another."""
+    quote = lambda i: f"第{i}段" + "无代称的摘录" * 40
+    rows = [(f"p{i}", json.dumps({"evidence": [{"quote": quote(i)}], "n": i}, ensure_ascii=False)) for i in range(200)]
+    rows += [("a", json.dumps({"quote": "ME_ab12cd34", "u": ["NAME_ab12cd34", "NAME_0a0a0a0a"]})), ("b", '{"x": "N\\u0041ME\\u005f\\u0030a0a0a0a"}'), ("c", '{"x": "NAME_00000001"}'), (None, '{"x": "NAME_0a0a0a0a"}'), ("p0", '{"x": "NAME_0a0a0a0a"}')]
+    rows += [("d", json.dumps({"x": "NAME_ab12cd34", "quote": "NAME_0a0a0a0a、NAME_ab12"}))]
+    df = spark.createDataFrame(rows, "payload_id string, payload string")
+    m = spark.createDataFrame([("ME_ab12cd34", "我"), ("X_ab12cd34", "你"), ("NAME_0a0a0a0a", "a\\$1甲")], "anonymous_id string, value string")
+    out = display.hydrated(df, m)
+    got = {}
+    for x in out.collect():
+        got.setdefault(x.payload_id, []).append(json.loads(x.payload))
+    assert all({"evidence": [{"quote": quote(i), "quote_storage": quote(i), "quote_display": quote(i)}], "n": i} in got[f"p{i}"] for i in range(200))
+    # NAME_ab12cd34 has the tail of two ids; in its text ME_ab12cd34 is no token of its own
+    assert got["a"] == [{"quote": "我", "quote_storage": "ME_ab12cd34", "quote_display": "我", "u": ["脱敏人员", "a\\$1甲"]}] and got["b"] == [{"x": "a\\$1甲"}] and got["c"] == [{"x": "脱敏人员"}]
+    assert got[None] == [{"x": "a\\$1甲"}] and {"x": "a\\$1甲"} in got["p0"] and len(got["p0"]) == 2
+    assert got["d"] == [{"x": "脱敏人员", "quote": "a\\$1甲脱敏人员", "quote_storage": "NAME_0a0a0a0a、NAME_ab12", "quote_display": "a\\$1甲脱敏人员"}]
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "sha2" not in plan and plan.count("Exchange hashpartitioning(coalesce(payload_id") <= 1
