@@ -4,12 +4,13 @@ import hashlib
 import json
 import os
 import random
+import re
 
 import pytest
 
 from pyspark.sql import functions as F
 
-from quillon.operators import graph
+from quillon.operators import graph, recognise
 from quillon.streaming import extraction
 
 SCHEMA = "task_id string, case_id string, chunk_id string, text_raw string, text_redacted string"
@@ -131,3 +132,58 @@ def test_new_mentions_are_shuffled_once(spark):
     want = every.withColumn("slice", F.pmod(F.xxhash64("chunk_id"), F.lit(64)).cast("int")).join(stored, ["chunk_id", "payload_hash"], "left_anti")
     assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
     assert got.count() == every.count() - stored.count() > 40
+
+
+PARTS = ["张伟", "某", "随后", "用账户", "以手机", "，", " ", "138", "13812345678", "6222021234567890128", "62220212345678901", "公司", "贸易有限公司", "商户号：", "MCC-", "mcc-Ab12", "NAME_0123abcd", "PERSON_ffff0000", "NAME_1380013800", "A", "x", "*", "10.0.0.1", "1.", "尾号", "1234", "-", "_", "2020", "110101199003077715", "K", "０", "²", "到案"]
+
+
+def test_texts_are_looked_at_where_something_may_match(monkeypatch):
+    """Placeholders are claimed by the catalogue only if a match may reach them, digits are tried where a run
+    starts, repairs see the letters near a span: all as if the whole text was looked at."""
+    r, rec = random.Random(3), recognise.Recogniser()
+    texts = ["".join(r.choice(PARTS) for _ in range(r.randrange(1, 12))) for _ in range(6000)]
+    whole = [(k, re.compile(p, re.IGNORECASE), s) for k, p, s in recognise.CATALOGUE]
+    claimed = 0
+    for t in texts:
+        assert sorted(rec.matches(t)) == sorted((-s, m.start(), m.start() - m.end(), k) for k, p, s in whole for m in p.finditer(t)), t
+        want = [x for x in rec.find(t) if x[4] == "placeholder"]
+        assert rec.placeholders(t) == want, t
+        claimed += len(want) < len(list(rec.placeholder.finditer(t)))
+        a = r.randrange(len(t))
+        b = r.randrange(a, min(a + 5, len(t))) + 1
+        assert rec.repair.extend(t, a, b) == rec.repair._extended(t, a, b) and rec.repair.clamp(t, a, b) == rec.repair._clamped(t, a, b), (t, a, b)
+    assert claimed > 50
+    monkeypatch.setattr(recognise.Recogniser, "find", None)  # not called where nothing reaches a placeholder
+    assert rec.placeholders("，NAME_0123abcd用账户6222021234567890128向某伟贸易有限公司转账") == [("NAME", "NAME_0123abcd", 1, 14, "placeholder")]
+
+
+def test_texts_and_spans_of_a_batch_meet_once(spark):
+    """Both texts, spans and stored rows share one shuffle and one pass; of equal mentions the least stays."""
+    rows = [(f"t{j}", f"c{j}", f"k{i}", f"张伟说账号622200000000{i:04d}，电话1380000{i:04d}", f"PERSON_0a1b2c3d说账号622200000000{i:04d}") for i in range(30) for j in ((1, 0) if i % 3 == 0 else (1,))]
+    batch = spark.createDataFrame(rows + [(None, None, "k0", "电话13900000000", None), ("t", "c", None, "电话13900000000", None)], SCHEMA)
+    spans = spark.createDataFrame([(f"k{i}", "NAME", 0, 2, 0.9) for i in range(40)], "chunk_id string, object_type string, char_start int, char_end int, score double")
+    every = extraction.task_mentions(batch, spans)
+    stored = every.where("chunk_id < 'k15'").unionByName(every.where("chunk_id < 'k15'").withColumn("chunk_id", F.lit("other"))).localCheckpoint()
+    got = extraction.new_mentions(batch, stored, spans)
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("MapInArrow") == 1
+    cols = ["chunk_id", "object_type", "surface_raw", "char_start", "char_end", "mask_kind", "normalized_value", "payload_hash"]
+    want = every.where("chunk_id >= 'k15'")
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect())) and got.count() > 60
+    assert {(x.chunk_id, x.task_id, x.case_id) for x in got.collect()} == {(f"k{i}", *(("t0", "c0") if i % 3 == 0 else ("t1", "c1"))) for i in range(30) if f"k{i}" >= "k15"}
+    held = extraction._of_batch(stored, batch)  # rows of other chunks are not moved
+    assert held.count() == every.where("chunk_id < 'k15'").count() == stored.count() / 2
+    assert {(x.task_id, x.surface_raw) for x in extraction.new_mentions(batch, stored.limit(0)).where("chunk_id = 'k0' and char_start = 2").collect()} == {(None, "13900000000")}
+
+
+def test_values_of_plain_surfaces(spark):
+    """Surfaces of which nothing goes are their own value, as by the whole rule."""
+    cases = [("PHONE", "8613812345678", "13812345678"), ("PHONE", "86138", "86138"), ("ACCOUNT", "8613812345678", "8613812345678"), ("PHONE", "１３８", "138"), ("NAME", "张 伟", "张伟"), ("NAME", "张伟", "张伟"), ("ORGANIZATION", "某（伟）公司", "某伟公司"), ("MERCHANT", "AB-1", "AB-1"), ("MERCHANT", "AB12", "AB12"), ("ACCOUNT", "6222**12", "6222**12"), ("NAME", "张伟\n", "张伟"), ("PHONE", "138\n", "138"), ("IP", "10.0.0.1", "10001"), (None, "12", "12"), ("NAME", None, "")]
+    df = spark.createDataFrame([(a, b, "", c) for a, b, c in cases], "object_type string, surface_raw string, mask_kind string, want string")
+    assert [(x.object_type, x.surface_raw, x.normalized_value) for x in recognise.with_value(df).collect()] == cases
+
+
+def test_values_are_made_in_small_code(spark):
+    """Each step of a value is made once: generated code stays short enough to be compiled."""
+    plan = recognise.with_value(spark.range(1).selectExpr("'PHONE' as object_type", "concat('8', id) as surface_raw", "'' as mask_kind"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1
